@@ -128,26 +128,25 @@ def run_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
     if len(words) < n:
         return np.empty(0, np.uint64)
     end = len(words) - n + 1
-    out, width = words[: len(words)].copy(), 1
+    out, width = words, 1
     # doubling: a run of 2w words is run(i) * M^w + run(i + w)
-    todo, acc, acc_width = n, None, 0
-    step = np.uint64(_MUL[lane])
-    factor = step
+    todo, acc, acc_width, power = n, None, 0, int(_MUL[lane])
     while True:
+        factor = np.uint64(power)
         if todo & 1:
             if acc is None:
                 acc, acc_width = out, width
             else:
                 size = len(out) - acc_width
-                acc = acc[: size] * factor + out[acc_width : acc_width + size]
+                acc = acc[:size] * factor + out[acc_width : acc_width + size]
                 acc_width += width
         todo >>= 1
         if not todo:
             break
         out = out[:-width] * factor + out[width:]
-        factor = factor * factor
+        power = power * power % (1 << 64)
         width *= 2
-    return mix(acc[:end] + np.uint64(n) * _GAP)
+    return mix(acc[:end] + np.uint64(n * int(_GAP) % (1 << 64)))
 
 
 def id_column(df: DataFrame, name: str):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup
+from . import bpe, decontamination, line_dedup, near_dedup, nearest, quality, substring_dedup, token_files
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+    "op4_nearest_neighbours": nearest.op4_nearest_neighbours,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
