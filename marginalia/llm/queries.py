@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, near_dedup, nearest, quality, substring_dedup, token_files
+from . import bpe, decontamination, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_nearest_neighbours": nearest.op4_nearest_neighbours,
