@@ -37,10 +37,7 @@ def _digest(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.left(F.sha2(text.cast("binary"), 256), F.lit(20)))
 
 
-@F.pandas_udf("string")
-def canonical(body: pd.Series) -> pd.Series:
-    """JSON text with sorted keys and no blanks, other characters kept; null where it does not parse."""
-
+def _canonical(body: pd.Series) -> pd.Series:
     def one(text):
         try:
             return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -50,6 +47,11 @@ def canonical(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
+def canonical(body_json: Column) -> Column:
+    """JSON text with sorted keys and no blanks, other characters kept; null where it does not parse."""
+    return F.pandas_udf(_canonical, "string")(body_json)
+
+
 def content_id(prefix: str, body_json: Column) -> Column:
     """The id of an open body, given as JSON text in any order of keys."""
     return _digest(prefix, canonical(body_json))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import named, readers, revisions, spans, words
+from . import ledgers, named, readers, revisions, spans, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (words, named, readers, spans, revisions):
+for _module in (words, named, readers, spans, revisions, ledgers):
     QUERIES |= _module.PLANS.queries
     SQL |= _module.PLANS.sql

@@ -1 +1 @@
-
+"""Structured Streaming over a ledger that is still being written."""
