@@ -168,7 +168,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = materialize(owners, "owners")
     branching = single.join(owners, [F.col(c) == F.col(f"w_{c}") for c in same]).filter("id > owner").select("id", "row", "start", F.expr(f"start + {window}").alias("end"))
     spans = compact.unionByName(branching).groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("_m_spans"))
-    touched = read.filter("_m_found is not null").join(spans, (F.col("_m_id") == F.col("id")) & (F.col("_m_row") == F.col("row")), "left")
+    spans = spans.withColumnsRenamed({"id": "_m_span_id", "row": "_m_span_row"})
+    touched = read.filter("_m_found is not null").join(spans, (F.col("_m_id") == F.col("_m_span_id")) & (F.col("_m_row") == F.col("_m_span_row")), "left")
     columns = ["_m_text", "_m_sha", "_m_spans", *others, "_m_words"]
     rest = read.filter("_m_found is null").withColumn("_m_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*others, "_m_words").schema.fields)
