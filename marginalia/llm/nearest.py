@@ -63,7 +63,8 @@ def _links(vectors: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
             rest = near[i, spare[i]][: most - far - count[i]]
             kept[i, count[i] : count[i] + len(rest)] = rest
             away = (mix(np.arange(1, far + 1, dtype=np.uint64) + np.uint64((at + i) * 64)) % np.uint64(n)).astype(np.int64)
-            kept[i, most - far :] = np.where(away == at + i, -1, away)
+            away = [x for x in dict.fromkeys(away.tolist()) if x != at + i and x not in kept[i]]
+            kept[i, most - far : most - far + len(away)] = away
         out[rows] = np.where(kept >= 0, nodes[kept], -1)
     return out
 
