@@ -6,8 +6,10 @@ of the document. Bands of registers propose pairs, the collision-corrected Jacca
 out hopeless ones, and the full sets confirm the rest.
 
 Only connectivity is asked for, so a band never emits all its pairs: each member meets two leaders of its band (the
-first and last in an order of the band's own), best leaders first; only what still lies in different components is
-compared further, until no band holds two components whose members were not compared.
+member with most company in all its bands, and one at random), best leaders first. Bands that hold several components
+after that are looked at again: members whose own shingles, found in no other of these documents, rule out every link
+leave, and pairs go on only if their sizes and own shingles leave a link possible. So no link is lost, and a
+group of thousands of copies costs a few comparisons each.
 """
 
 from __future__ import annotations
@@ -126,8 +128,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, 0):
-        sets = [s.tobytes() for s in shingle_sets(block.column(0))]
-        yield pa.RecordBatch.from_arrays([block.column(1), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        sets = [s.view(np.int64) for s in shingle_sets(block.column(0))]
+        yield pa.RecordBatch.from_arrays([block.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,8 +154,8 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(keep, pa.bool_()))
@@ -221,50 +223,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(keyed: DataFrame, signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` between the smallest ids of classes: enough of them to connect what links connect."""
     rows = signed.filter("node is not null").select("node", F.explode("bands").alias("band"))
-    order = F.col("node").bitwiseXOR(F.xxhash64("band"))  # an order of the band's own, from which the node can be had again
-    buckets = rows.groupBy("band").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
-    buckets = buckets.select(F.col("band").alias("bucket"), *(F.col(c).bitwiseXOR(F.xxhash64("band")).alias(c) for c in ("first", "last")))
+    buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(F.col("band").alias("bucket"))
     buckets = materialize(buckets, "buckets")
-    shared = materialize(rows.join(buckets, F.col("band") == F.col("bucket")).select("node", "bucket", "first", "last").distinct(), "members")
+    shared = materialize(rows.join(buckets, F.col("band") == F.col("bucket")).select("node", "bucket").distinct(), "members")
     sigs = signed.filter("node is not null").join(classes.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("id") == F.col("low"))).select("node", "sig")
     wanted = shared.select("node").distinct()
     sigs = materialize(sigs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "signatures")
 
-    leaders = shared.select("node", F.explode(F.array("first", "last")).alias("leader")).filter("node <> leader")
+    company = materialize(shared.groupBy("bucket").agg(F.count("*").alias("company")).withColumnRenamed("bucket", "in"), "company")
+    central = shared.join(company, F.col("bucket") == F.col("in")).groupBy("node").agg(F.sum("company").alias("company")).withColumnRenamed("node", "member")
+    central = materialize(central, "central")
+    # the node with most company leads; an order of the bucket's own gives a second leader
+    placed = shared.join(central, F.col("node") == F.col("member"))
+    order = F.col("node").bitwiseXOR(F.xxhash64("bucket"))
+    heads = placed.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("first"), F.min(order).bitwiseXOR(F.xxhash64("bucket")).alias("second"))
+    heads = materialize(heads.select(F.col("bucket").alias("headed"), F.array("first.node", "second").alias("heads")), "leaders")
+    leaders = shared.join(heads, F.col("bucket") == F.col("headed")).select("node", F.explode(F.array_distinct("heads")).alias("leader")).filter("node <> leader")
     counted = materialize(leaders.groupBy(*_pair(F.col("node"), F.col("leader"))).agg(F.count("*").alias("n")), "candidates")
     hopeful = materialize(_estimated(counted, sigs, percent), "hopeful")
     both = hopeful.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"), "n").select("e.*", "n")
-    best = both.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")).select(*_pair(F.col("u"), F.col("m.v"))).distinct()
+    best = materialize(both.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")), "best")
 
     sets: list[DataFrame] = []
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among pairs; sets that are not there yet are read from the texts."""
-        pairs = materialize(pairs, "pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    def known(nodes: DataFrame) -> DataFrame | None:
+        """Sets of at least these nodes; those that are not there yet are read from the texts."""
+        need = nodes.distinct()
         for have in sets:
-            need = need.join(have.select(F.col("node").alias("need")), "need", "left_anti")
+            need = need.join(have.select("node"), "node", "left_anti")
         need = materialize(need, "need")
         if not need.isEmpty():
-            ids = materialize(classes.join(need, F.col("node") == F.col("need")).select("low", "node"), "need-ids")
-            found = keyed.join(ids, F.col("_m_id") == F.col("low")).select("_m_text", "node").mapInArrow(_sets, "node long, shingles binary")
-            sets.append(materialize(found.filter("length(shingles) > 0"), "sets"))
-        if not sets:
-            return pairs
-        known = sets[0]
+            ids = classes.join(need.withColumnRenamed("node", "needed"), F.col("node") == F.col("needed")).select("low", "node")
+            found = keyed.join(materialize(ids, "need-ids").hint("merge"), F.col("_m_id") == F.col("low")).select("_m_text", "node").mapInArrow(_sets, "node long, shingles array<long>")
+            sets.append(materialize(found.filter("size(shingles) > 0"), "sets"))
+        out = sets[0] if sets else None
         for more in sets[1:]:
-            known = known.unionByName(more)
-        left = known.select(F.col("node").alias("l"), F.col("shingles").alias("ls"))
-        right = known.select(F.col("node").alias("r"), F.col("shingles").alias("rs"))
+            out = out.unionByName(more)
+        return out
+
+    def confirmed(pairs: DataFrame, have: DataFrame) -> DataFrame:
+        """Links among pairs whose sets are known."""
+        pairs = materialize(pairs, "pairs")
+        left = have.select(F.col("node").alias("l"), F.col("shingles").alias("ls"))
+        right = have.select(F.col("node").alias("r"), F.col("shingles").alias("rs"))
         met = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r")).select("ls", "rs", "a", "b")
         return materialize(met.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
 
-    links = confirmed(best)
-    groups = materialize(components(links), "first-groups")
-    crossing = _crossing(hopeful.select("a", "b"), groups)
-    links = links.unionByName(confirmed(crossing))
+    have = known(best.select(F.col("u").alias("node")))
+    if have is None:
+        links = best.select(*_pair(F.col("u"), F.col("m.v")))
+    else:
+        links = confirmed(best.select(*_pair(F.col("u"), F.col("m.v"))).distinct(), have)
+        groups = materialize(components(links), "first-groups")
+        links = links.unionByName(confirmed(_crossing(hopeful.select("a", "b"), groups), have))
     groups = materialize(components(links), "second-groups")
-    links = links.unionByName(confirmed(_estimated(_between(shared, groups), sigs, percent).select("a", "b")))
+    mixed = _mixed(_labelled(shared, groups, "node", "comp"))
+    have = known(mixed.select("node"))
+    if have is not None:
+        links = links.unionByName(confirmed(_estimated(_possible(mixed, have, percent), sigs, percent), have))
     low = classes.select(F.col("node").alias("of"), "low")
     return links.join(low, F.col("a") == F.col("of")).select(F.col("low").alias("x"), "b").join(low, F.col("b") == F.col("of")).select(F.col("x").alias("a"), F.col("low").alias("b"))
 
@@ -286,13 +302,28 @@ def _crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, groups, "a", "ga"), groups, "b", "gb").filter("ga <> gb").select("a", "b")
 
 
-def _between(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of one band whose ends lie in different components; bands of one component have none."""
-    placed = materialize(_labelled(shared.select("node", "bucket"), groups, "node", "comp"), "placed")
-    mixed = materialize(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("bucket").alias("mixed")), "mixed")
-    rest = materialize(placed.join(mixed, F.col("bucket") == F.col("mixed"), "left_semi"), "mixed-members")
-    other = rest.select(F.col("node").alias("y"), F.col("bucket").alias("other"), F.col("comp").alias("its"))
-    return rest.join(other, (F.col("bucket") == F.col("other")) & (F.col("comp") < F.col("its"))).select(*_pair(F.col("node"), F.col("y"))).distinct()
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    placed = materialize(placed, "placed")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("bucket").alias("mixed"))
+    return materialize(placed.join(materialize(several, "mixed"), F.col("bucket") == F.col("mixed"), "left_semi"), "mixed-members")
+
+
+def _possible(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and different components that can be links. Of two sets of n and m shingles, of which u and v
+    occur in no other set here, at most min(n - u, m - v) are common."""
+    here = sets.dropDuplicates(["node"]).join(mixed.select("node").distinct(), "node", "left_semi")
+    here = materialize(here, "mixed-sets")
+    single = here.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("node").alias("node")).filter("holders = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    sizes = here.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").select(F.col("node").alias("sized"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    sizes = materialize(sizes.filter(F.col("common") * 100 >= F.col("n") * percent), "sizes")
+    rest = mixed.join(sizes, F.col("node") == F.col("sized")).select("node", "bucket", "comp", "n", "common")
+    rest = _mixed(rest)
+    other = rest.select(F.col("node").alias("y"), F.col("bucket").alias("other"), F.col("comp").alias("its"), F.col("n").alias("m"), F.col("common").alias("its_common"))
+    most = F.least("common", "its_common")
+    can = (F.col("comp") < F.col("its")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
+    return rest.join(other, (F.col("bucket") == F.col("other")) & can).select(*_pair(F.col("node"), F.col("y"))).distinct()
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
