@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns
+from .common import materialize, table, with_columns
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,13 +33,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line. Rows with the same id count as one document and are cut alike; rows with a
     null id count together as one document, smaller than all others. An empty table gives an empty result.
 
-    Lines travel as 128-bit digests. A line common to very many documents costs one partially aggregated row per
+    Lines travel as 128-bit digests, made once and kept in the shared folder. A line common to very many documents costs one partially aggregated row per
     task when counted, and its rows are dealt anew by the skew handling of the join when dropped. Each text
     is shuffled once.
     """
     id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(id_.alias("_m_id"), F.xxhash64(text).alias("_m_row"), F.split(text, "\n", -1).alias("_m_lines"))
-    found = _occurrences(slim, min_chars)
+    found = materialize(_occurrences(slim, min_chars), "lines")
     holders = found.groupBy("_m_key", "_m_id").agg(F.lit(1).alias("_m_one"))
     common = (
         holders.groupBy("_m_key")
@@ -47,6 +47,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("_m_n") >= min_docs)
         .select(F.col("_m_key").alias("_m_common"), "_m_keep")
     )
+    common = materialize(common, "common-lines")  # joined from files, so that skewed partitions can be split
     dropped = (
         found.join(common, (F.col("_m_key") == F.col("_m_common")) & ~F.col("_m_id").eqNullSafe(F.col("_m_keep")))
         .groupBy("_m_id", "_m_row")
