@@ -40,7 +40,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text that is left, encoded and decoded."""
-    coded = bpe.digests(bpe.encode(docs))
+    coded = bpe.encode(docs, digest=True)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -10,9 +10,13 @@ exactly those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table, text_blocks, with_columns, words_of
 
-#: Words whose ids a worker keeps at most.
-CACHE_WORDS = 1_500_000
+#: Words, and pieces of words, whose ids a worker keeps; beyond that the words of the last block stay.
+CACHE_WORDS = 300_000
+CACHE_PIECES = 400_000
 #: Bytes that decide about a cut; a cut falls after one byte in ``CHUNK`` on average.
 ROLL, CHUNK = 16, 1024
 #: Middles shorter than this are not worth sharing.
@@ -39,52 +44,127 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters alone (no apostrophe, no ``<``) split into letters, single digits and the rest, whatever
+#: stands around them; composing and white space change nothing in them.
+_SIMPLE = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+_PIECES = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+").findall
+
+
+def _simple(word: str):
+    return word.isprintable() and "'" not in word and "<" not in word if word.isascii() else _SIMPLE(word)
+
+
+#: The pre-tokenizer and normalizer for which that holds.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others,
+    in order, for those from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer whose tokens never cross ASCII blanks, each distinct word once."""
+    """Encodes texts with a tokenizer whose tokens never cross ASCII blanks, each distinct word once. Where the
+    tokenizer splits words as ``_SPLIT`` says, simple words are put together from pieces that are encoded once each."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.plain = None
+        if (told.get("normalizer") or {}).get("normalizers") == _NORMAL and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert"):
+            self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": []}))
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.shown = byte_characters()
         self.known: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {}
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers."""
+        split = [_PIECES(w.lower()) if self.plain and _simple(w) else None for w in words]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known = self.pieces
+        new = list({p for parts in split if parts for p in parts if p not in known})
+        said = [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in new]
+        for at in range(0, len(new), 256):
+            group = said[at : at + 256]
+            coded = self.plain.encode(" ".join(group), add_special_tokens=False)
+            raw = np.array(coded.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(coded.word_ids, minlength=len(group)))).tolist()
+            known.update((p, raw[a:b]) for p, a, b in zip(new[at : at + 256], [0, *ends], ends, strict=False))
+        whole = [w for w, parts in zip(words, split, strict=True) if parts is None]
+        rest = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)] if whole else [])
+        get = known.__getitem__
+        return [next(rest) if parts is None else get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in split]
+
     def learn(self, words: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int32, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(sizes.sum()))
+        coded = self._encoded(words)
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        self._add(words, sizes, np.frombuffer(b"".join(coded), "<u4"))
+
+    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
         at = len(self.known)
         while len(self.ids) < self.n_ids + len(flat):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while len(self.starts) < at + len(words):
             self.starts, self.sizes = np.concatenate((self.starts, self.starts)), np.concatenate((self.sizes, self.sizes))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.starts[at : at + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.starts[at : at + len(words)] = self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes
         self.sizes[at : at + len(words)] = sizes
         self.known.update(zip(words, range(at, at + len(words)), strict=True))
         self.n_ids += len(flat)
 
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words one after another, and where each word's ids end."""
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(self.starts[place] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def keep_only(self, words: list[str], place: np.ndarray) -> None:
+        flat, _ = self._gather(place)
+        sizes = self.sizes[place]
+        self.known, self.n_ids = {}, 0
+        self._add(words, sizes, flat)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids start (one entry more than texts)."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and walking millions of small objects takes longer than the encoding
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         index, offsets, distinct = words_of(texts)
         words = distinct.to_pylist()
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[index] if words else np.empty(0, np.int64)
-        sizes = self.sizes[word]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[word] - (ends - sizes), sizes)
-        return self.ids[at], np.concatenate(([0], ends))[offsets]
+        places = list(map(self.known.get, words))
+        new = [w for w, place in zip(words, places, strict=True) if place is None]
+        if new:
+            first = len(self.known)
+            self.learn(new)
+            fresh = iter(range(first, first + len(new)))
+            places = [next(fresh) if place is None else place for place in places]
+        place = np.array(places, np.int64)
+        ids, ends = self._gather(place[index])
+        if len(self.known) > CACHE_WORDS:
+            self.keep_only(words, place)
+        return ids, np.concatenate(([0], ends))[offsets]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -158,8 +238,8 @@ def _encode_owned(path: str):
     return run
 
 
-def _assemble(path: str):
-    """Ids of whole texts from shared middles and from what lies between them."""
+def _assemble(path: str, digest: bool):
+    """Ids of whole texts, or their digests, from shared middles and from what lies between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
@@ -183,6 +263,11 @@ def _assemble(path: str):
                 parts.append(raw[done:].decode())
             ids, starts = encoder(path).encode(pa.array(parts, pa.string()))
             out = [[ids[starts[x] : starts[x + 1]] if isinstance(x, int) else x for x in plan] for plan in plans]
+            if digest:
+                said = [_digest(np.concatenate(plan).tolist(), *_strings(path)) for plan in out]
+                cols = [pa.array([x[k] for x in said], t) for k, t in enumerate(_DIGEST)]
+                yield pa.RecordBatch.from_arrays([*block.columns[2:], *cols], names=[*block.schema.names[2:], "_m_n", "_m_ids_sha", "_m_text_sha"])
+                continue
             sizes = [sum(map(len, x)) for x in out]
             flat = np.concatenate([x for plan in out for x in plan]) if out else np.empty(0, np.uint32)
             offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
@@ -192,8 +277,9 @@ def _assemble(path: str):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Add ``ids``, the token ids of each whole text without special tokens around it, in place of the text.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:
+    """Add ``ids``, the token ids of each whole text without special tokens around it, in place of the text. With
+    ``digest``, what digests() gives stands in place of the ids, made where they are.
 
     Null or empty texts have no ids; repeated rows are encoded alike; rows may share an id or have none; an empty table
     gives an empty result. The tokenizer must not let a token cross an ASCII blank; its file must be there on
@@ -204,7 +290,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     reach them by joins whose skewed partitions can be split.
     """
     path, spark = path or default_tokenizer(), docs.sparkSession
-    others = [c for c in docs.columns if c.lower() not in {text_col.lower(), "ids"}]
+    made = {"n_tokens": "_m_n", "ids_sha256": "_m_ids_sha", "decoded_sha256": "_m_text_sha"} if digest else {"ids": "_m_ids"}
+    others = [c for c in docs.columns if c.lower() not in {text_col.lower(), *made}]
     text, id_ = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
     keyed = docs.select(text.alias("_m_text"), id_.alias("_m_id"), F.xxhash64(text).alias("_m_row"), *others)
     chunks = keyed.select("_m_text", "_m_id", "_m_row").mapInArrow(_chunk_rows, "chunk binary, id long, row long, no int")
@@ -219,12 +306,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     same = (F.col("_m_id") == F.col("_m_list_id")) & (F.col("_m_row") == F.col("_m_list_row"))
     owned = of_document(shared.select("owner.*", F.col("shared").alias("chunk")), F.struct("no", "chunk"))
-    coded = dealt.join(owned, same).select("_m_text", "_m_list").mapInArrow(_encode_owned(path), "chunk binary, ids binary")
-    coded = materialize(coded.dropDuplicates(["chunk"]).withColumnRenamed("chunk", "shared"), "chunk-ids")
+    # the same columns as below, so that the exchange is the same
+    coded = dealt.join(owned, same).select("_m_text", "_m_list", *others).mapInArrow(_encode_owned(path), "chunk binary, ids binary")
+    coded = coded.withColumnRenamed("chunk", "shared")  # one plan with the rest, so that both readings share one exchange
     known = of_document(chunks.join(coded, F.col("chunk") == F.col("shared")).select("id", "row", "no", "ids"), F.struct("no", "ids"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*others).schema.fields)
     joined = dealt.join(known, same, "left").select("_m_text", "_m_list", *others)
-    return with_columns(joined.mapInArrow(_assemble(path), f"{fields + ', ' if fields else ''}_m_ids array<int>"), ids=F.col("_m_ids")).drop("_m_ids")
+    kinds = "_m_n long, _m_ids_sha string, _m_text_sha string" if digest else "_m_ids array<int>"
+    out = joined.mapInArrow(_assemble(path, digest), f"{fields + ', ' if fields else ''}{kinds}")
+    return with_columns(out, **{k: F.col(v) for k, v in made.items()}).drop(*made.values())
 
 
 def token_strings(path: str) -> list[str | None]:
@@ -235,21 +325,36 @@ def token_strings(path: str) -> list[str | None]:
     return [tokenizer.id_to_token(i) for i in range(size)]
 
 
+_DIGEST = (pa.int64(), pa.string(), pa.string())
+_known_strings: dict[str, tuple[list, list]] = {}
+
+
+def _strings(path: str) -> tuple[list, list]:
+    """Tokens and decimal numbers of all ids."""
+    if path not in _known_strings:
+        token = token_strings(path)
+        _known_strings[path] = token, [str(i) for i in range(len(token))]
+    return _known_strings[path]
+
+
+def _text_of(ids: list[int], token: list) -> str:
+    return " ".join([token[i] for i in ids if token[i] is not None])
+
+
+def _digest(ids: list[int], token: list, number: list) -> tuple[int, str, str]:
+    said = " ".join([number[i] for i in ids])
+    return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(_text_of(ids, token).encode()).hexdigest()
+
+
 def _decode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_strings(path)
-        number = [str(i) for i in range(len(token))]
+        token, number = _strings(path)
         for batch in batches:
             out = []
             for ids in batch.column(0):
                 ids = ids.values.to_pylist() if ids.is_valid else []
-                text = " ".join([token[i] for i in ids if token[i] is not None])
-                if digest:
-                    said = " ".join([number[i] for i in ids])
-                    out.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                else:
-                    out.append((text,))
-            kinds, names = ((pa.int64(), pa.string(), pa.string()), ["_m_n", "_m_ids_sha", "_m_text_sha"]) if digest else ((pa.string(),), ["_m_text"])
+                out.append(_digest(ids, token, number) if digest else (_text_of(ids, token),))
+            kinds, names = (_DIGEST, ["_m_n", "_m_ids_sha", "_m_text_sha"]) if digest else ((pa.string(),), ["_m_text"])
             cols = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names])
 
@@ -276,5 +381,5 @@ def _from_ids(coded: DataFrame, ids_col: str, path: str | None, digest: bool, na
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles in one go.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _GAP = np.uint64(0xA0761D6478BD642F)

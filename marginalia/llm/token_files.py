@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, encoder
-from .common import materialize, partitions, shared_dir, table, text_blocks
+from .common import BLOCK_BYTES, materialize, partitions, shared_dir, table, text_blocks
 
 #: Tokens that a block holds at most, unless a single document has more.
 BLOCK_TOKENS = 1 << 18
@@ -58,7 +58,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 0):
+        for block in text_blocks(batches, 0, 2 * BLOCK_BYTES):
             ids, starts = encoder(path).encode(block.column(0))
             coded = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             kind = np.uint16 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
