@@ -320,10 +320,14 @@ def _possible(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = materialize(sizes.filter(F.col("common") * 100 >= F.col("n") * percent), "sizes")
     rest = mixed.join(sizes, F.col("node") == F.col("sized")).select("node", "bucket", "comp", "n", "common")
     rest = _mixed(rest)
-    other = rest.select(F.col("node").alias("y"), F.col("bucket").alias("other"), F.col("comp").alias("its"), F.col("n").alias("m"), F.col("common").alias("its_common"))
+    # each pair is looked at once, in the first band that its members share
+    own_bands = rest.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("bands")).withColumnRenamed("node", "banded")
+    rest = materialize(rest.join(own_bands, F.col("node") == F.col("banded")).select("node", "bucket", "comp", "n", "common", "bands"), "possible")
+    other = rest.select(F.col("node").alias("y"), F.col("bucket").alias("other"), F.col("comp").alias("its"), F.col("n").alias("m"), F.col("common").alias("its_common"), F.col("bands").alias("its_bands"))
     most = F.least("common", "its_common")
     can = (F.col("comp") < F.col("its")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    return rest.join(other, (F.col("bucket") == F.col("other")) & can).select(*_pair(F.col("node"), F.col("y"))).distinct()
+    first = F.element_at(F.array_intersect("bands", "its_bands"), 1) == F.col("bucket")
+    return rest.join(other, (F.col("bucket") == F.col("other")) & can & first).select(*_pair(F.col("node"), F.col("y")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
