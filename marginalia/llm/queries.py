@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
+from . import bpe, chat_format, decontamination, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_nearest_neighbours": nearest.op4_nearest_neighbours,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_files": token_files.op9_token_files,
