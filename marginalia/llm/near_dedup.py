@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, run_hashes, table, text_blocks, with_columns, word_hashes, words_of
 
 WORDS = 5
-#: A pair of Jaccard similarity 0.85 shares no band with probability (1 - 0.85**8)**48, about 2e-7.
-BANDS, ROWS = 48, 8
-REGISTERS = BANDS * ROWS
+REGISTERS = 384
+#: Most registers of a band, and the probability at most that a pair at the threshold shares no band.
+ROWS, MISS = 8, 3e-7
 #: Registers kept for the estimate, and the bits of a mantissa.
 SAMPLE, MANTISSA = 128, 10
 #: Chance that registers of different minima agree: equal leading-zero counts (about 1/3) and equal mantissas.
@@ -41,6 +41,15 @@ _STEPS = 48
 _DONOR = (mix(np.arange(1, REGISTERS * _STEPS + 1, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64).reshape(_STEPS, REGISTERS)
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """Bands and registers of each, as many as keep a pair of that similarity from sharing no band: 48 of 8 at 85 (2e-7),
+    64 of 6 at 80 (4e-9)."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return REGISTERS // rows, rows
+    raise ValueError(f"registers are too few to find pairs of {percent} percent")
+
+
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; words are lower-cased in A-Z, fewer than n are one shingle."""
     index, offsets, distinct = words_of(pc.ascii_lower(texts))
@@ -103,27 +112,34 @@ def mix_order(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return inside * np.uint64(REGISTERS)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in text_blocks(batches, 0):
-        sets = shingle_sets(block.column(0))
-        full = [s for s in sets if len(s)]
-        regs = registers(full)
-        parts = np.ascontiguousarray(regs).view(np.uint64).reshape(len(full), BANDS, -1)
-        bands = mix(mix(parts[:, :, 0] + np.arange(1, BANDS + 1, dtype=np.uint64)) + parts[:, :, 1]).view(np.int64)
-        sample = np.ascontiguousarray(regs[:, :: REGISTERS // SAMPLE])
-        node, got, sig, k = [], [], [], 0
-        for s in sets:
-            if len(s):
-                node.append(int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0]))
-                got.append(bands[k])
-                sig.append(sample[k].tobytes())
-                k += 1
-            else:
-                node.append(None)
-                got.append(None)
-                sig.append(None)
-        cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-        yield pa.RecordBatch.from_arrays([block.column(1), *cols], names=["id", "n", "node", "bands", "sig"])
+def _sign(percent: int):
+    count, rows = bands_of(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 0):
+            sets = shingle_sets(block.column(0))
+            full = [s for s in sets if len(s)]
+            regs = registers(full)
+            padded = np.zeros((len(full), count, ROWS), np.uint16)
+            padded[:, :, :rows] = regs[:, : count * rows].reshape(len(full), count, rows)
+            parts = padded.view(np.uint64)
+            bands = mix(mix(parts[:, :, 0] + np.arange(1, count + 1, dtype=np.uint64)) + parts[:, :, 1]).view(np.int64)
+            sample = np.ascontiguousarray(regs[:, :: REGISTERS // SAMPLE])
+            node, got, sig, k = [], [], [], 0
+            for s in sets:
+                if len(s):
+                    node.append(int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0]))
+                    got.append(bands[k])
+                    sig.append(sample[k].tobytes())
+                    k += 1
+                else:
+                    node.append(None)
+                    got.append(None)
+                    sig.append(None)
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([block.column(1), *cols], names=["id", "n", "node", "bands", "sig"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long"))
     keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_m_text"), id_.alias("_m_id"))
-    signed = materialize(keyed.mapInArrow(_sign, "id long, n long, node long, bands array<long>, sig binary"), "signed")
+    signed = materialize(keyed.mapInArrow(_sign(percent), "id long, n long, node long, bands array<long>, sig binary"), "signed")
     classes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("low")), "classes")
     links = _links(keyed, signed, classes, percent)
     members = signed.filter("node is not null").select("id", "node").join(classes, "node").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
