@@ -3,13 +3,13 @@
 A document's set is its distinct 5-word shingles. Shingle hashes are dealt to buckets; a bucket's register keeps the
 leading-zero count and the first mantissa bits of its smallest hash, empty buckets borrow a register from another bucket
 of the document. Bands of registers propose pairs, the collision-corrected Jaccard estimate of the registers sorts
-out hopeless ones, and the full sets confirm the rest.
+out hopeless ones unless a set is small, and the full sets confirm the rest.
 
 Only connectivity is asked for, so a band never emits all its pairs: each member meets two leaders of its band (the
 member with most company in all its bands, and one at random), best leaders first. Bands that hold several components
 after that are looked at again: members whose own shingles, found in no other of these documents, rule out every link
-leave, and pairs go on only if their sizes and own shingles leave a link possible. So no link is lost, and a
-group of thousands of copies costs a few comparisons each.
+leave, and pairs go on only if their sizes and own shingles leave a link possible. So no link is lost but those that
+share no band or fall 6 standard deviations below the threshold by chance, and a group of thousands of copies costs a few comparisons each.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SAMPLE, MANTISSA = 128, 10
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be compared.
 SLACK = 6.0
+#: Sets under so many shingles skip the estimate: most of their registers are borrowed and agree or differ together.
+FEW = 32
 NULL_ID = -(2**63)
 
 _STEPS = 48
@@ -160,8 +162,8 @@ def _hopeful(least: float):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SAMPLE) for i in (0, 1))
-                keep = pa.array(estimate(a, b) >= floor)
-                yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(keep)
+                keep = pc.or_(batch.column(2), pa.array(estimate(a, b) >= floor))
+                yield pa.RecordBatch.from_arrays(batch.columns[3:], names=batch.schema.names[3:]).filter(keep)
 
     return run
 
@@ -242,7 +244,7 @@ def _links(keyed: DataFrame, signed: DataFrame, classes: DataFrame, percent: int
     buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(F.col("band").alias("bucket"))
     buckets = materialize(buckets, "buckets")
     shared = materialize(rows.join(buckets, F.col("band") == F.col("bucket")).select("node", "bucket").distinct(), "members")
-    sigs = signed.filter("node is not null").join(classes.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("id") == F.col("low"))).select("node", "sig")
+    sigs = signed.filter("node is not null").join(classes.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("id") == F.col("low"))).select("node", "sig", (F.col("n") < FEW).alias("few"))
     wanted = shared.select("node").distinct()
     sigs = materialize(sigs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "signatures")
 
@@ -302,8 +304,8 @@ def _links(keyed: DataFrame, signed: DataFrame, classes: DataFrame, percent: int
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    left, right = (sigs.select(F.col("node").alias(f"n{s}"), F.col("sig").alias(f"s{s}")) for s in "lr")
-    met = pairs.join(left, F.col("a") == F.col("nl")).join(right, F.col("b") == F.col("nr")).select("sl", "sr", *pairs.columns)
+    left, right = (sigs.select(F.col("node").alias(f"n{s}"), F.col("sig").alias(f"s{s}"), F.col("few").alias(f"few{s}")) for s in "lr")
+    met = pairs.join(left, F.col("a") == F.col("nl")).join(right, F.col("b") == F.col("nr")).select("sl", "sr", (F.col("fewl") | F.col("fewr")).alias("few"), *pairs.columns)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return met.mapInArrow(_hopeful(percent / 100), fields)
 

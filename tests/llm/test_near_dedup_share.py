@@ -35,3 +35,13 @@ def test_pairs_from_80_percent_are_found(spark):
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), percent=80).filter("kept")
     assert sorted(r.doc_id for r in found.collect()) == sorted(r[0] for r in near_dedup.brute_force(rows, 80) if r[3])
     assert found.count() == 60 + 120
+
+
+def test_short_texts_keep_their_links(spark):
+    """6 against 7 shingles: the registers' estimate alone would reject some of so many pairs."""
+    rows = []
+    for i in range(3000):
+        words = [f"s{i}_{j}" for j in range(11)]
+        rows += [(2 * i, " ".join(words[:10])), (2 * i + 1, " ".join(words))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert found.filter("kept").count() == 3000
