@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a folder in the warehouse, which they share
+    as well; on a single machine a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="marginalia-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        at = tempfile.mkdtemp(prefix="marginalia-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marginalia-scratch"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -46,6 +48,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder on the way to a result. A table that later steps no longer need is dropped;
+    ``keep`` writes the table that the result is read from and drops all others."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.at}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for path in [p for p, df in self.paths.items() if df is not None and any(df is f for f in frames)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.paths[path] = None
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = self.write(df, name)
+        self.drop(*(x for x in self.paths.values() if x is not None and x is not out))
+        return out
+
+
+def small_enough(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """df marked for broadcast if its rows, counted, stay under ``most`` bytes; else df, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,11 +5,12 @@ leading-zero count and the first mantissa bits of its smallest hash, empty bucke
 of the document. Bands of registers propose pairs, the collision-corrected Jaccard estimate of the registers sorts
 out hopeless ones unless a set is small, and the full sets confirm the rest.
 
-Only connectivity is asked for, so a band never emits all its pairs: each member meets two leaders of its band (the
-member with most company in all its bands, and one at random), best leaders first. Bands that hold several components
-after that are looked at again: members whose own shingles, found in no other of these documents, rule out every link
-leave, and pairs go on only if their sizes and own shingles leave a link possible. So no link is lost but those that
-share no band or fall 6 standard deviations below the threshold by chance, and a group of thousands of copies costs a few comparisons each.
+Only connectivity is asked for, so a band never emits its pairs. First each member meets leaders of its bands, the ones
+with most company: that links nearly all of a family of copies at the cost of one or two comparisons a member. Bands that
+still hold several components are then compared block by block, all members against those outside the band's largest
+component: a block pair is one group of a few hundred sets, compares each pair in the first band it shares, and hands on
+at most one link for each member. So no link is lost but those that share no band or fall 6 standard deviations below
+the threshold by chance.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, run_hashes, table, text_blocks, with_columns, word_hashes, words_of
+from .common import Scratch, mix, run_hashes, small_enough, table, text_blocks, with_columns, word_hashes, words_of
 
 WORDS = 5
 REGISTERS = 384
@@ -36,7 +37,9 @@ COLLISION = 2.0**-MANTISSA / 3
 #: Standard deviations of the estimate that a pair may lie below the threshold and still be compared.
 SLACK = 6.0
 #: Sets under so many shingles skip the estimate: most of their registers are borrowed and agree or differ together.
-FEW = 32
+FEW = 64
+#: Leaders that a member is compared with first, and members of a block.
+LEADERS, BLOCK = 2, 192
 NULL_ID = -(2**63)
 
 _STEPS = 48
@@ -114,40 +117,44 @@ def mix_order(values: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return inside * np.uint64(REGISTERS)
 
 
-def _sign(percent: int):
+def _bands(regs: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of the registers of each band, different for different bands."""
     count, rows = bands_of(percent)
+    padded = np.zeros((len(regs), count, ROWS), np.uint16)
+    padded[:, :, :rows] = regs[:, : count * rows].reshape(len(regs), count, rows)
+    parts = padded.view(np.uint64)
+    return mix(mix(parts[:, :, 0] + np.arange(1, count + 1, dtype=np.uint64)) + parts[:, :, 1]).view(np.int64)
+
 
+def _sign(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
             sets = shingle_sets(block.column(0))
-            full = [s for s in sets if len(s)]
-            regs = registers(full)
-            padded = np.zeros((len(full), count, ROWS), np.uint16)
-            padded[:, :, :rows] = regs[:, : count * rows].reshape(len(full), count, rows)
-            parts = padded.view(np.uint64)
-            bands = mix(mix(parts[:, :, 0] + np.arange(1, count + 1, dtype=np.uint64)) + parts[:, :, 1]).view(np.int64)
-            sample = np.ascontiguousarray(regs[:, :: REGISTERS // SAMPLE])
-            node, got, sig, k = [], [], [], 0
-            for s in sets:
-                if len(s):
-                    node.append(int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0]))
-                    got.append(bands[k])
-                    sig.append(sample[k].tobytes())
-                    k += 1
-                else:
-                    node.append(None)
-                    got.append(None)
-                    sig.append(None)
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([block.column(1), *cols], names=["id", "n", "node", "bands", "sig"])
+            bands = iter(_bands(registers([s for s in sets if len(s)]), percent))
+            cols = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([next(bands) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([block.column(1), block.column(2), *cols], names=["id", "row", "n", "node", "bands"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in text_blocks(batches, 0):
-        sets = [s.view(np.int64) for s in shingle_sets(block.column(0))]
-        yield pa.RecordBatch.from_arrays([block.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+def _sets(percent: int):
+    """Full sets with their bands and the registers for the estimate, where the text is one of that class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 0):
+            sets = shingle_sets(block.column(0))
+            keep = np.flatnonzero([xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(sets, block.column(1).to_pylist(), strict=True)])
+            sets = [sets[i] for i in keep]
+            regs = registers(sets)
+            sample = np.ascontiguousarray(regs[:, :: REGISTERS // SAMPLE])
+            cols = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (_bands(regs, percent), sample, sets)]
+            yield pa.RecordBatch.from_arrays([block.column(1).take(pa.array(keep)), *cols], names=["node", "bands", "sig", "shingles"])
+
+    return run
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,61 +162,104 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION)
 
 
-def _hopeful(least: float):
-    floor = least - SLACK * (least * (1 - least) / SAMPLE) ** 0.5
+def _floor(percent: int) -> float:
+    least = percent / 100
+    return least - SLACK * (least * (1 - least) / SAMPLE) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SAMPLE) for i in (0, 1))
-                keep = pc.or_(batch.column(2), pa.array(estimate(a, b) >= floor))
-                yield pa.RecordBatch.from_arrays(batch.columns[3:], names=batch.schema.names[3:]).filter(keep)
 
-    return run
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirm(percent: int):
+    """Pairs ``node, leader`` with the registers and full sets of both: estimate, then confirm."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SAMPLE) for i in (2, 3)]
+            hopeful = estimate(*sigs) >= _floor(percent)
             keep = []
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(keep, pa.bool_()))
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                keep.append((bool(hopeful[i]) or min(len(a), len(b)) < FEW) and _linked(a, b, percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` for every node of edges ``a, b``; comp is the smallest node reachable. Alternates large-star and
-    small-star steps; minima are written before they are joined back, so that a node of very many edges can be split."""
-    spark = edges.sparkSession
+def _compare(percent: int):
+    """Members outside a band's largest component against a block of all its members: at most one link for each member
+    and component it reaches."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, comp = group["node"].to_pylist(), group["comp"].to_pylist()
+        side = group["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        bands = np.frombuffer(b"".join(group["bands"].to_pylist()), np.int64).reshape(len(node), -1)
+        sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(len(node), SAMPLE)
+        _, part = np.unique(np.array(comp, object), return_inverse=True)
+        root = list(range(int(part.max()) + 1)) if len(part) else []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        here, band = np.flatnonzero(side == 1), key[0].as_py()
+        out = []
+        for i in np.flatnonzero(side == 0).tolist():
+            able = (part[here] != part[i]) & (np.minimum(size[here], size[i]) * 100 >= percent * np.maximum(size[here], size[i]))
+            can = here[able]
+            same = bands[can] == bands[i]  # a pair is looked at in the first band that it shares
+            can = can[(bands[i][same.argmax(axis=1)] == band) & same.any(axis=1)] if len(can) else can
+            few = np.minimum(size[can], size[i]) < FEW
+            can = can[few | (estimate(sigs[can], sigs[i][None]) >= _floor(percent))]
+            for j in can.tolist():
+                x, y = find(part[i]), find(part[j])
+                if x != y and _linked(sets[i], sets[j], percent):
+                    root[y] = x
+                    out.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
-    def star(now: DataFrame, large: bool) -> DataFrame:
-        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-        both = now.select(F.explode(ends).alias("e")).select("e.*") if large else now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).withColumnRenamed("u", "of"), "minima")
-        met = both.join(low, F.col("u") == F.col("of"))
-        if large:
-            out = met.filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
-        return out
+    return run
 
-    def same(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now, before = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"), None
-    while (seen := same(now)) != before and seen[0]:
-        # what the small-star step gets from the large-star step also holds the links that the latter leaves as they are
-        large = star(now, True)
-        now, before = materialize(star(materialize(large.distinct(), "large-star"), False).distinct(), "small-star"), seen
-    return spark.createDataFrame([], "node long, comp long") if not before else now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, comp`` for every node of edges ``a, b`` that has a neighbour; comp is one node of its component, the same
+    for all. Each round sends every node to the neighbour (or itself) that is first in an order of the round's own and
+    joins what now goes by one name, so even a long chain shrinks by a share each time. Two tables are written a round;
+    as joins read written tables, a node of very many edges can be split."""
+    steps: list[DataFrame] = []
+    now = scratch.write(edges.select("a", "b").filter("a <> b"), "edges")
+    while not now.isEmpty():
+        level = F.lit(len(steps))
+        order = lambda c: F.struct(F.xxhash64(c, level).alias("h"), F.col(c).alias("to"))
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        step = both.groupBy("u").agg(F.min(order("v")).alias("m")).select(F.col("u").alias("node"), F.least(order("u"), F.col("m"))["to"].alias("comp"))
+        steps.append(scratch.write(step, "step"))
+        left, right = (steps[-1].select(F.col("node").alias(f"{s}_of"), F.col("comp").alias(s)) for s in ("x", "y"))
+        met = now.join(left, F.col("a") == F.col("x_of")).select("x", "b").join(right, F.col("b") == F.col("y_of")).filter("x <> y")
+        last, now = now, scratch.write(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        scratch.drop(last)
+    scratch.drop(now)
+    if not steps:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
+    out = steps.pop()
+    while steps:
+        out = _follow(steps.pop(), out)
+    return out
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _follow(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Names of ``first`` renamed once more by ``then`` where it knows them."""
+    more = then.select(F.col("node").alias("_m_then"), F.col("comp").alias("_m_comp"))
+    return first.join(more, F.col("comp") == F.col("_m_then"), "left").select("node", F.coalesce("_m_comp", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -217,135 +267,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Adds ``n_shingles``, ``component_id`` (smallest id reachable, itself included) and ``kept`` (id = component).
 
     Null, empty or blank texts have no shingles and no links. Rows with one id count as one document with several texts;
-    a null id is smaller than all others. An empty table gives an empty result. Shingles are 64-bit hashes.
+    a null id is smaller than all others. Output columns replace input columns of the same name, others pass through.
+    An empty table gives an empty result. Shingles are 64-bit hashes, sets are told apart by 128 bits.
 
-    Documents with equal sets form a class of which only one member goes on, whatever the number of copies. Band rows
-    are aggregated to a band's first and last member before the shuffle; joins read written tables on the narrow
-    side, so that a band or leader of very many members can be split.
+    Documents with equal sets form a class of which only one member goes on, whatever the number of copies. Band rows are
+    counted before the shuffle, and joins read written tables on the narrow side, so that a band or a leader of very many
+    members can be split. The texts are read twice: to sign them, and for the full sets of those that share a band.
     """
+    scratch = Scratch(docs.sparkSession)
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long"))
-    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_m_text"), id_.alias("_m_id"))
-    signed = materialize(keyed.mapInArrow(_sign(percent), "id long, n long, node long, bands array<long>, sig binary"), "signed")
-    classes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("low")), "classes")
-    links = _links(keyed, signed, classes, percent)
-    members = signed.filter("node is not null").select("id", "node").join(classes, "node").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    groups = materialize(components(members.unionByName(links)), "groups").select(F.col("node").alias("_m_node"), F.col("comp").alias("_m_comp"))
-    sizes = signed.select(F.col("id").alias("_m_of"), "n")
-    repeated = sizes.groupBy("_m_of").agg(F.max("n").alias("_m_n"))
-    out = docs.withColumn("_m_id", id_).join(repeated, F.col("_m_id") == F.col("_m_of")).join(groups, F.col("_m_id") == F.col("_m_node"), "left")
-    comp = F.coalesce("_m_comp", "_m_id")
-    out = with_columns(out, n_shingles=F.col("_m_n"), component_id=F.nullif(comp, F.lit(NULL_ID).cast("long")), kept=comp == F.col("_m_id"))
-    return out.drop("_m_id", "_m_of", "_m_n", "_m_node", "_m_comp")
-
-
-def _links(keyed: DataFrame, signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links ``a, b`` between the smallest ids of classes: enough of them to connect what links connect."""
-    rows = signed.filter("node is not null").select("node", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select(F.col("band").alias("bucket"))
-    buckets = materialize(buckets, "buckets")
-    shared = materialize(rows.join(buckets, F.col("band") == F.col("bucket")).select("node", "bucket").distinct(), "members")
-    sigs = signed.filter("node is not null").join(classes.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("id") == F.col("low"))).select("node", "sig", (F.col("n") < FEW).alias("few"))
-    wanted = shared.select("node").distinct()
-    sigs = materialize(sigs.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "signatures")
-
-    company = materialize(shared.groupBy("bucket").agg(F.count("*").alias("company")).withColumnRenamed("bucket", "in"), "company")
-    central = shared.join(company, F.col("bucket") == F.col("in")).groupBy("node").agg(F.sum("company").alias("company")).withColumnRenamed("node", "member")
-    central = materialize(central, "central")
-    # the node with most company leads; an order of the bucket's own gives a second leader
-    placed = shared.join(central, F.col("node") == F.col("member"))
-    order = F.col("node").bitwiseXOR(F.xxhash64("bucket"))
-    heads = placed.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("first"), F.min(order).bitwiseXOR(F.xxhash64("bucket")).alias("second"))
-    heads = materialize(heads.select(F.col("bucket").alias("headed"), F.array("first.node", "second").alias("heads")), "leaders")
-    leaders = shared.join(heads, F.col("bucket") == F.col("headed")).select("node", F.explode(F.array_distinct("heads")).alias("leader")).filter("node <> leader")
-    counted = materialize(leaders.groupBy(*_pair(F.col("node"), F.col("leader"))).agg(F.count("*").alias("n")), "candidates")
-    hopeful = materialize(_estimated(counted, sigs, percent), "hopeful")
-    both = hopeful.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"), "n").select("e.*", "n")
-    best = materialize(both.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")), "best")
-
-    sets: list[DataFrame] = []
-
-    def known(nodes: DataFrame) -> DataFrame | None:
-        """Sets of at least these nodes; those that are not there yet are read from the texts."""
-        need = nodes.distinct()
-        for have in sets:
-            need = need.join(have.select("node"), "node", "left_anti")
-        need = materialize(need, "need")
-        if not need.isEmpty():
-            ids = classes.join(need.withColumnRenamed("node", "needed"), F.col("node") == F.col("needed")).select("low", "node")
-            found = keyed.join(materialize(ids, "need-ids").hint("merge"), F.col("_m_id") == F.col("low")).select("_m_text", "node").mapInArrow(_sets, "node long, shingles array<long>")
-            sets.append(materialize(found.filter("size(shingles) > 0"), "sets"))
-        out = sets[0] if sets else None
-        for more in sets[1:]:
-            out = out.unionByName(more)
-        return out
-
-    def confirmed(pairs: DataFrame, have: DataFrame) -> DataFrame:
-        """Links among pairs whose sets are known."""
-        pairs = materialize(pairs, "pairs")
-        left = have.select(F.col("node").alias("l"), F.col("shingles").alias("ls"))
-        right = have.select(F.col("node").alias("r"), F.col("shingles").alias("rs"))
-        met = pairs.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r")).select("ls", "rs", "a", "b")
-        return materialize(met.mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
-
-    have = known(best.select(F.col("u").alias("node")))
-    if have is None:
-        links = best.select(*_pair(F.col("u"), F.col("m.v")))
-    else:
-        links = confirmed(best.select(*_pair(F.col("u"), F.col("m.v"))).distinct(), have)
-        groups = materialize(components(links), "first-groups")
-        links = links.unionByName(confirmed(_crossing(hopeful.select("a", "b"), groups), have))
-    groups = materialize(components(links), "second-groups")
-    mixed = _mixed(_labelled(shared, groups, "node", "comp"))
-    have = known(mixed.select("node"))
-    if have is not None:
-        links = links.unionByName(confirmed(_estimated(_possible(mixed, have, percent), sigs, percent), have))
-    low = classes.select(F.col("node").alias("of"), "low")
-    return links.join(low, F.col("a") == F.col("of")).select(F.col("low").alias("x"), "b").join(low, F.col("b") == F.col("of")).select(F.col("x").alias("a"), F.col("low").alias("b"))
-
-
-def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    left, right = (sigs.select(F.col("node").alias(f"n{s}"), F.col("sig").alias(f"s{s}"), F.col("few").alias(f"few{s}")) for s in "lr")
-    met = pairs.join(left, F.col("a") == F.col("nl")).join(right, F.col("b") == F.col("nr")).select("sl", "sr", (F.col("fewl") | F.col("fewr")).alias("few"), *pairs.columns)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return met.mapInArrow(_hopeful(percent / 100), fields)
-
-
-def _labelled(rows: DataFrame, groups: DataFrame, col: str, name: str) -> DataFrame:
-    of = groups.select(F.col("node").alias(f"{name}_of"), F.col("comp").alias(f"{name}_comp"))
-    return rows.join(of, F.col(col) == F.col(f"{name}_of"), "left").withColumn(name, F.coalesce(f"{name}_comp", col)).drop(f"{name}_of", f"{name}_comp")
-
-
-def _crossing(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    return _labelled(_labelled(pairs, groups, "a", "ga"), groups, "b", "gb").filter("ga <> gb").select("a", "b")
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    placed = materialize(placed, "placed")
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select(F.col("bucket").alias("mixed"))
-    return materialize(placed.join(materialize(several, "mixed"), F.col("bucket") == F.col("mixed"), "left_semi"), "mixed-members")
-
-
-def _possible(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that can be links. Of two sets of n and m shingles, of which u and v
-    occur in no other set here, at most min(n - u, m - v) are common."""
-    here = sets.dropDuplicates(["node"]).join(mixed.select("node").distinct(), "node", "left_semi")
-    here = materialize(here, "mixed-sets")
-    single = here.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("holders"), F.min("node").alias("node")).filter("holders = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    sizes = here.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").select(F.col("node").alias("sized"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-    sizes = materialize(sizes.filter(F.col("common") * 100 >= F.col("n") * percent), "sizes")
-    rest = mixed.join(sizes, F.col("node") == F.col("sized")).select("node", "bucket", "comp", "n", "common")
-    rest = _mixed(rest)
-    # each pair is looked at once, in the first band that its members share
-    own_bands = rest.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("bands")).withColumnRenamed("node", "banded")
-    rest = materialize(rest.join(own_bands, F.col("node") == F.col("banded")).select("node", "bucket", "comp", "n", "common", "bands"), "possible")
-    other = rest.select(F.col("node").alias("y"), F.col("bucket").alias("other"), F.col("comp").alias("its"), F.col("n").alias("m"), F.col("common").alias("its_common"), F.col("bands").alias("its_bands"))
-    most = F.least("common", "its_common")
-    can = (F.col("comp") < F.col("its")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    first = F.element_at(F.array_intersect("bands", "its_bands"), 1) == F.col("bucket")
-    return rest.join(other, (F.col("bucket") == F.col("other")) & can & first).select(*_pair(F.col("node"), F.col("y")))
+    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_m_text"), id_.alias("_m_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_m_row"))
+    signed = scratch.write(keyed.mapInArrow(_sign(percent), "id long, row long, n long, node binary, bands array<long>"), "signed")
+    # an id with several texts ties their classes together
+    several = signed.filter("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select(F.col("id").alias("of"), "a")
+    ties = signed.filter("node is not null").join(scratch.write(several, "several"), F.col("id") == F.col("of")).select("a", F.col("node").alias("b"))
+    classes = scratch.write(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("id", "row", "bands")).alias("first"), F.count("*").alias("copies")).select("node", "first.*", "copies"), "classes")
+    comps = _components(keyed, classes, ties, percent, scratch)
+
+    linked = classes.select("node", "copies").join(comps.select(F.col("node").alias("of"), "comp"), F.col("node") == F.col("of"), "left")
+    grouped = scratch.write(linked.filter("copies > 1 or comp is not null").select(F.col("node").alias("of"), F.coalesce("comp", "node").alias("comp")), "grouped")
+    members = scratch.write(signed.join(grouped, F.col("node") == F.col("of")).select("id", "comp"), "members")
+    lowest = scratch.write(members.groupBy("comp").agg(F.min("id").alias("low")).withColumnRenamed("comp", "its"), "lowest")
+    groups = members.join(lowest, F.col("comp") == F.col("its")).groupBy("id").agg(F.min("low").alias("low"))
+    sizes = signed.groupBy("id").agg(F.max("n").alias("_m_n"))
+    found = sizes.join(groups.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(F.col("id").alias("_m_of"), "_m_n", F.coalesce("low", "id").alias("_m_comp"))
+    found = scratch.keep(found, "found")
+    out = docs.withColumn("_m_id", id_).join(found, F.col("_m_id") == F.col("_m_of"))
+    out = with_columns(out, n_shingles=F.col("_m_n"), component_id=F.nullif("_m_comp", F.lit(NULL_ID).cast("long")), kept=F.col("_m_comp") == F.col("_m_id"))
+    return out.drop("_m_id", "_m_of", "_m_n", "_m_comp")
+
+
+def _components(keyed: DataFrame, classes: DataFrame, ties: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``node, comp`` of all classes that links or ties connect with others."""
+    rows = classes.select("node", F.explode("bands").alias("band"))
+    shared = scratch.write(rows.groupBy("band").agg(F.count("*").alias("company")).filter("company > 1").withColumnRenamed("band", "bucket"), "buckets")
+    placed = scratch.write(rows.join(shared, F.col("band") == F.col("bucket")).select("node", "bucket", "company"), "placed")
+    # the node with most company leads a bucket; an order of the bucket's own gives a second leader
+    central = scratch.write(placed.groupBy(F.col("node").alias("member")).agg(F.sum("company").alias("central")), "central")
+    order = F.struct(F.xxhash64("node", "bucket").alias("h"), "node")
+    heads = placed.join(central, F.col("node") == F.col("member")).groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("first"), F.min(order).alias("second"))
+    heads = scratch.write(heads.select(F.col("bucket").alias("headed"), F.array_distinct(F.array("first.node", "second.node")).alias("heads")), "heads")
+    met = placed.join(heads, F.col("bucket") == F.col("headed")).select("node", F.explode("heads").alias("leader")).filter("node <> leader")
+    best = met.groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "leader")), False), 1, LEADERS).alias("best"))
+    best = scratch.write(best.select("node", F.explode("best.leader").alias("leader")), "best")
+
+    # full sets of what shares a band: texts of the first documents of those classes
+    wanted = central.join(classes.select("node", "id", "row"), F.col("member") == F.col("node")).select("id", "row", "node")
+    wanted = small_enough(scratch.write(wanted, "wanted"), 64)
+    found = keyed.join(wanted, (F.col("_m_id") == F.col("id")) & (F.col("_m_row") == F.col("row"))).select("_m_text", "node")
+    found = found.mapInArrow(_sets(percent), "node binary, bands binary, sig binary, shingles binary")
+    sets = scratch.write(found.dropDuplicates(["node"]), "sets")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("shingles").alias(f"set_{s}"))
+    pairs = best.join(side("l"), F.col("node") == F.col("l")).join(side("r"), F.col("leader") == F.col("r"))
+    links = pairs.select("node", "leader", "sig_l", "sig_r", "set_l", "set_r").mapInArrow(_confirm(percent), "a binary, b binary")
+    comps = scratch.write(components(links.unionByName(ties), scratch), "first-components")
+
+    labelled = placed.join(comps.select(F.col("node").alias("of"), "comp"), F.col("node") == F.col("of"), "left").select("node", "bucket", F.coalesce("comp", "node").alias("comp"))
+    labelled = scratch.write(labelled, "labelled")
+    shares = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).filter("main.n < all")
+    mixed = scratch.write(mixed.select(F.col("bucket").alias("band"), F.col("main.comp").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("others")), "mixed")
+    rest = labelled.join(mixed, F.col("bucket") == F.col("band"))
+    rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "all"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = rest.filter("comp <> main").select("band", "node", "comp", F.lit(0).alias("side"), own(rows).alias("i"), cells(columns).alias("j"))
+    inside = rest.select("band", "node", "comp", F.lit(1).alias("side"), own(columns).alias("j"), cells(rows).alias("i")).select(outside.columns)
+    asked = outside.unionByName(inside).join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    more = asked.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a binary, b binary")
+    comp_of = lambda s: comps.select(F.col("node").alias(f"of_{s}"), F.col("comp").alias(f"comp_{s}"))
+    across = more.distinct().join(comp_of("a"), F.col("a") == F.col("of_a"), "left").join(comp_of("b"), F.col("b") == F.col("of_b"), "left")
+    later = components(across.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")), scratch)
+    later = scratch.write(later, "later-components")
+    # components joined later get their new name; nodes that stood alone until then are in the later ones only
+    alone = later.join(comps.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
+    return _follow(comps, later).unionByName(alone)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
