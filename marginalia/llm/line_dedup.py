@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_columns
+from .common import Scratch, table, with_columns
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,13 +33,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line. Rows with the same id count as one document and are cut alike; rows with a
     null id count together as one document, smaller than all others. An empty table gives an empty result.
 
-    Lines travel as 128-bit digests, made once and kept in the shared folder. A line common to very many documents costs one partially aggregated row per
-    task when counted, and its rows are dealt anew by the skew handling of the join when dropped. Each text
-    is shuffled once.
+    Columns other than those added pass through, whatever their names. Lines travel as 128-bit digests, made once and
+    kept in the shared folder until the positions to drop are known. A line common to very many documents costs one
+    partially aggregated row per task when counted, and its rows are dealt anew by the skew handling of the join when
+    dropped. Each text is shuffled once and split once to be cut, so a text of very many lines takes time in proportion.
     """
     id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(id_.alias("_m_id"), F.xxhash64(text).alias("_m_row"), F.split(text, "\n", -1).alias("_m_lines"))
-    found = materialize(_occurrences(slim, min_chars), "lines")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(_occurrences(slim, min_chars), "lines")
     holders = found.groupBy("_m_key", "_m_id").agg(F.lit(1).alias("_m_one"))
     common = (
         holders.groupBy("_m_key")
@@ -47,18 +49,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("_m_n") >= min_docs)
         .select(F.col("_m_key").alias("_m_common"), "_m_keep")
     )
-    common = materialize(common, "common-lines")  # joined from files, so that skewed partitions can be split
+    common = scratch.write(common, "common-lines")  # joined from files, so that skewed partitions can be split
     dropped = (
         found.join(common, (F.col("_m_key") == F.col("_m_common")) & ~F.col("_m_id").eqNullSafe(F.col("_m_keep")))
         .groupBy("_m_id", "_m_row")
         .agg(F.collect_set("_m_pos").alias("_m_drop"))
         .select(F.col("_m_id").alias("_m_drop_id"), F.col("_m_row").alias("_m_drop_row"), "_m_drop")
     )
+    dropped = scratch.keep(dropped, "dropped")
     rows = docs.withColumns({"_m_id": id_, "_m_row": F.xxhash64(text)})
     joined = rows.join(dropped, F.col("_m_id").eqNullSafe(F.col("_m_drop_id")) & (F.col("_m_row") == F.col("_m_drop_row")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_m_drop"))
-    rest = F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_m_drop"))
+        return F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
+
+    # as the variable of an outer function the lines are split once, not for every line that stays
+    rest = F.get(F.transform(F.array(lines), left), 0)
     out = with_columns(
         joined,
         **{
