@@ -1,10 +1,16 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over normalised benchmark texts."""
+"""Benchmark decontamination with an Aho-Corasick automaton over the normalised words of benchmark texts.
+
+A window of n words always holds one of the blocks of n // 2 words that start at every (n - n // 2 + 1)-th word of its
+item, so the automaton needs only those blocks (and items shorter than a window whole): its size is below that of the
+benchmark in words, not ten times as much. Where a block occurs, the windows around it are looked up by a 128-bit hash.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -12,58 +18,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_blocks, with_columns
+from .common import mix, run_hashes, table, text_blocks, with_columns
 
 #: Letters A-Z become a-z; digits, letters and all bytes of characters beyond ASCII stay; the rest separates words.
 NORMAL = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Benchmark bytes that one automaton holds at most; a larger benchmark is dealt over several automata.
-BLOCK = 32 << 20
+#: Benchmark bytes that one automaton holds at most (some 80 MB in a worker); a larger one is dealt over several automata.
+BLOCK = 8 << 20
 
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, "Windows"] = {}
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes], n: int) -> list[str]:
-    """Windows as the automaton's keys: words between single blanks, a blank on either side, one character a byte."""
-    return [f" {b' '.join(words[i : i + n]).decode('latin-1')} " for i in range(max(1, len(words) - n + 1))] if words else []
-
-
-def automaton(items: list[tuple], n: int) -> ahocorasick.Automaton:
-    """Over all windows of all items; a key's value is its length and the items it belongs to."""
-    of = defaultdict(set)
-    for item, text in items:
-        for w in windows_of(normal_words(text), n):
-            of[w].add(item)
-    built = ahocorasick.Automaton()
-    for w, ids in of.items():
-        built.add_word(w, (len(w), tuple(ids)))
-    if of:
-        built.make_automaton()
-    return built
-
-
-def scan(text: str, found: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
+class Windows:
+    """All windows of all items: the automaton of their blocks, and a table of window hashes with their items."""
+
+    def __init__(self, items: list[tuple], n: int):
+        self.n, self.size = n, max(1, n // 2)
+        self.word: dict[bytes, int] = {}
+        whole, blocks = defaultdict(set), set()
+        hashes, owners = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)]], [np.empty(0, np.int64)]
+        for item, text in items:
+            words = [self.word.setdefault(w, len(self.word) + 1) for w in normal_words(text)]
+            if len(words) < n:
+                if words:
+                    whole[tuple(words)].add(item)
+                continue
+            blocks.update(tuple(words[i : i + self.size]) for i in range(0, len(words) - self.size + 1, n - self.size + 1))
+            for lane in (0, 1):
+                hashes[lane].append(self.hashes(np.array(words), lane))
+            owners.append(np.full(len(words) - n + 1, item, np.int64))
+        first, second, owner = np.concatenate(hashes[0]), np.concatenate(hashes[1]), np.concatenate(owners)
+        order = np.lexsort((owner, second, first))
+        self.first, self.second, self.owner = first[order], second[order], owner[order]
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key in blocks | whole.keys():  # length of a whole item and its ids; whether the key is a block of windows
+            self.found.add_word(key, (len(key), tuple(whole.get(key, ())), key in blocks))
+        if len(self.found):
+            self.found.make_automaton()
+
+    def hashes(self, words: np.ndarray, lane: int) -> np.ndarray:
+        return run_hashes(mix(words.astype(np.uint64) + np.uint64(1 + lane << 40)), self.n, lane)
+
+    def items_at(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, set]:
+        """Those of the starts where a window begins, and the items it belongs to."""
+        first, second = (self.hashes(words, lane)[starts] for lane in (0, 1))
+        low, high = np.searchsorted(self.first, first), np.searchsorted(self.first, first, side="right")
+        good, items = [], set()
+        for i in np.flatnonzero(high > low).tolist():
+            a, b = low[i], high[i]
+            same = self.owner[a:b][self.second[a:b] == second[i]]
+            if len(same):
+                good.append(i)
+                items.update(same.tolist())
+        return starts[good], items
+
+
+def scan(text: str, windows: Windows) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, merged ranges of hit words (end exclusive), items that occur."""
     words = normal_words(text)
-    if not len(found) or not words:
-        return len(words), [], set()
-    flat = f" {b' '.join(words).decode('latin-1')} "
-    hits = [(end - size + 1, end, ids) for end, (size, ids) in found.iter(flat)]
-    if not hits:
+    if not len(windows.found) or not words:
         return len(words), [], set()
-    blanks = np.flatnonzero(np.frombuffer(flat.encode("latin-1"), np.uint8) == 32)
-    first = np.searchsorted(blanks, [h[0] for h in hits])
-    last = np.searchsorted(blanks, [h[1] for h in hits])
+    known = tuple(map(windows.word.get, words, repeat(0)))
+    ranges, items, starts = [], set(), set()
+    for end, (size, whole, block) in windows.found.iter(known):
+        if whole:
+            ranges.append((end - size + 1, end + 1))
+            items.update(whole)
+        if block:
+            starts.update(range(max(0, end - windows.n + 1), min(end - size + 1, len(words) - windows.n) + 1))
+    if starts:
+        good, more = windows.items_at(np.array(known), np.array(sorted(starts)))
+        ranges += [(a, a + windows.n) for a in good.tolist()]
+        items |= more
     spans: list[list[int]] = []
-    for a, b in sorted(zip(first.tolist(), last.tolist(), strict=True)):
+    for a, b in sorted(ranges):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    return len(words), [tuple(s) for s in spans], {i for h in hits for i in h[2]}
+    return len(words), [tuple(s) for s in spans], items
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -82,7 +118,7 @@ def _scanner(name: str, items, n: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:
             _built.clear()
-            _built[name] = automaton(items.value, n)
+            _built[name] = Windows(items.value, n)
         for block in text_blocks(batches, 0):
             out = []
             for text in block.column(0).to_pylist():
@@ -107,7 +143,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     Null or empty texts have no words and no hits, and come back empty; items without words match nothing; items of
     a null id are left out; repeated items and rows count as they stand; an empty table gives an empty result.
 
-    All windows form one automaton and each text is scanned once, without a shuffle. The benchmark's size is checked
+    Other columns pass through, whatever their names; a text of any length is scanned in one go, in time and memory in
+    proportion. All windows form one automaton and each text is scanned once, without a shuffle. The benchmark's size is checked
     before it is broadcast: beyond ``block_bytes`` its items are dealt over several automata, which scan one after
     another and whose hits are united, so that no worker holds more than a block.
     """
