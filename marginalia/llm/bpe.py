@@ -2,10 +2,10 @@
 
 Texts are cut where a rolling hash of their bytes says so, which is at the same places wherever the same passage
 stands. A chunk that occurs more than once is encoded once, by the document that owns it, and its ids travel to the
-other documents. A chunk's ends usually lie inside words, so only its middle (whole words between its first and last
-blank) is reused; what straddles a join is encoded anew from the last agreed word before the join to the first one
-after it, over as many chunks as that takes. The tokenizer never lets a token cross a blank, so the repaired ids are
-exactly those of the whole text.
+other documents. A chunk's ends usually lie inside words, so its middle is reused: whole words, each with the blanks
+before it. Every join of a middle with what stands beside it is checked: the last words before it and the first ones
+after it are encoded together, and where that does not agree with the ids on both sides, twice as many words are encoded
+together, until the outer ones agree exactly or the whole text has been encoded anew.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, text_blocks, with_columns, words_of
+from .common import BLOCK_BYTES, materialize, partitions, table, text_blocks, with_columns, words_of
 
 #: Words, and pieces of words, whose ids a worker keeps; beyond that the words of the last block stay.
 CACHE_WORDS = 300_000
@@ -67,24 +68,54 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer whose tokens never cross ASCII blanks, each distinct word once. Where the
-    tokenizer splits words as ``_SPLIT`` says, simple words are put together from pieces that are encoded once each."""
+def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+class TextEncoder:
+    """Encodes texts as the tokenizers library does, whatever the tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def together(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's ids start (one entry more than texts)."""
+        coded = self.together(texts.to_pylist())
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in coded], dtype=np.int64)))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(starts[-1])), starts
+
+
+def splits_words(tokenizer) -> bool:
+    """Whether the tokenizer drops white space and splits words as ``_SPLIT`` says, so that words can be encoded one by one."""
+    told = json.loads(tokenizer.to_str())
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    return bool(split) and (told.get("normalizer") or {}).get("normalizers") == _NORMAL and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in told.get("added_tokens") or [])
+
+
+class WordEncoder(TextEncoder):
+    """Encodes texts with a tokenizer of which splits_words() holds, each distinct word once; simple words are put
+    together from pieces that are encoded once each."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(load_tokenizer(path))
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        if not splits_words(self.tokenizer):
+            raise ValueError("tokens of this tokenizer may cross white space; use TextEncoder")
         told = json.loads(self.tokenizer.to_str())
-        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.plain = None
-        if (told.get("normalizer") or {}).get("normalizers") == _NORMAL and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert"):
-            self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": []}))
-            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.shown = byte_characters()
+        self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": []}))
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.shown = byte_characters()
         self.known: dict[str, int] = {}
         self.pieces: dict[str, bytes] = {}
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
@@ -92,7 +123,7 @@ class WordEncoder:
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
-        split = [_PIECES(w.lower()) if self.plain and _simple(w) else None for w in words]
+        split = [_PIECES(w.lower()) if _simple(w) else None for w in words]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         known = self.pieces
@@ -141,7 +172,6 @@ class WordEncoder:
         self._add(words, sizes, flat)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text's ids start (one entry more than texts)."""
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and walking millions of small objects takes longer than the encoding
         try:
@@ -167,12 +197,13 @@ class WordEncoder:
         return ids, np.concatenate(([0], ends))[offsets]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        tokenizer = load_tokenizer(path)
+        _encoders[path] = WordEncoder(path) if splits_words(tokenizer) else TextEncoder(tokenizer)
     return _encoders[path]
 
 
@@ -192,19 +223,52 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.append(cut, len(data))
 
 
-def middles(data: np.ndarray) -> list[tuple[int, int, int]]:
-    """Chunks with a middle worth sharing: number, and the middle's start and end, at blanks on either side."""
+def word_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a blank follows something else: words begin there, with the blanks before them."""
+    blank = _BLANK[data]
+    return np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+
+
+def middles(data: np.ndarray, cuts: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Chunks with a middle worth sharing: number, and the middle's start and end, between words."""
     ends = chunk_ends(data)
-    blanks = np.flatnonzero(_BLANK[data])
-    if not len(ends) or not len(blanks):
+    cuts = word_cuts(data) if cuts is None else cuts
+    if not len(ends) or not len(cuts):
         return []
     starts = np.concatenate(([0], ends[:-1]))
-    a, b = np.searchsorted(blanks, starts), np.searchsorted(blanks, ends) - 1
+    a, b = np.searchsorted(cuts, starts, side="right"), np.searchsorted(cuts, ends) - 1
     good = np.flatnonzero(b > a)
-    first, last = blanks[a[good]] + 1, blanks[b[good]]
+    first, last = cuts[a[good]], cuts[b[good]]
     return [(int(k), int(s), int(e)) for k, s, e in zip(good, first, last, strict=True) if e - s >= LEAST]
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the exchange."""
+    press = zstandard.ZstdCompressor(level=3)
+    for block in text_blocks(batches, 0):
+        packed = pa.array([press.compress(t.encode()) for t in block.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed, *block.columns[1:]], names=block.schema.names)
+
+
+def _unzip(packed: pa.Array) -> list[bytes]:
+    unpress = zstandard.ZstdDecompressor()
+    return [unpress.decompress(x) for x in packed.to_pylist()]
+
+
+def _packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose first column holds compressed texts of about BLOCK_BYTES in all."""
+    for batch in batches:
+        sizes = [zstandard.frame_content_size(x) for x in batch.column(0).to_pylist()]
+        at = held = 0
+        for i, size in enumerate(sizes):
+            if i > at and held + size > BLOCK_BYTES:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, 0):
         doc, no, digest = [], [], []
@@ -222,10 +286,9 @@ def _encode_owned(path: str):
     """Encode the chunks that a document owns: ``chunk, ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 0):
+        for block in _packed_blocks(batches):
             chunks, parts = [], []
-            for text, owned in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                raw = text.encode()
+            for raw, owned in zip(_unzip(block.column(0)), block.column(1).to_pylist(), strict=True):
                 at = {k: (s, e) for k, s, e in middles(np.frombuffer(raw, np.uint8))}
                 for x in owned:
                     s, e = at[x["no"]]
@@ -238,31 +301,100 @@ def _encode_owned(path: str):
     return run
 
 
+class _Joined:
+    """A text in parts, given by the byte each ends at, with the ids of each part as if it stood alone."""
+
+    def __init__(self, raw: bytes, ends: list[int], parts: list[np.ndarray], cuts: np.ndarray):
+        self.raw, self.ends, self.parts, self.cuts = raw, ends, parts, cuts
+
+    def words(self, join: int, n: int) -> tuple[int, int, int, int] | None:
+        """Bytes where the last n words before a join begin, where the first of them and the last but one of the n words
+        after it end, and where the last ends; nothing where these words are not all in the two parts."""
+        low, at, high = (0, *self.ends)[join], self.ends[join], self.ends[join + 1]
+        k = int(np.searchsorted(self.cuts, at))
+        marks = [0, *self.cuts[max(0, k - n) : k + n + 1].tolist(), len(self.raw)] if k < n else [*self.cuts[k - n : k + n + 1].tolist(), len(self.raw)]
+        here = marks.index(at)
+        if here < n or len(marks) <= here + n or marks[here - n] < low or marks[here + n] > high:
+            return None
+        return marks[here - n], marks[here - n + 1], marks[here + n - 1], marks[here + n]
+
+    def repair(self, join: int, coder: TextEncoder) -> bool:
+        """Encode ever more words around a join together until the outer ones agree with both sides."""
+        n, at = 2, self.ends[join]
+        while (found := self.words(join, n)) is not None:
+            a, a_end, b_start, b = found
+            said = [self.raw[x:y].decode() for x, y in ((a, b), (a, at), (at, b), (a, a_end), (b_start, b))]
+            both, left, right, first, last = coder.together(said)
+            x, y = self.parts[join], self.parts[join + 1]
+            agrees = x[len(x) - len(left) :].tolist() == left and y[: len(right)].tolist() == right
+            outer = first and last and both[: len(first)] == left[: len(first)] == first and both[-len(last) :] == right[-len(last) :] == last
+            if agrees and outer:
+                self.parts[join] = np.concatenate((x[: len(x) - len(left)], np.array(both, np.uint32)))
+                self.parts[join + 1] = y[len(right) :]
+                return True
+            n *= 2
+        return False
+
+
+def join_ids(texts: list[bytes], ends: list[list[int]], parts: list[list[np.ndarray]], coder: TextEncoder) -> list[list[np.ndarray]]:
+    """Ids of texts whose parts were encoded alone. At each join the word before it and the one after it are encoded
+    together; where that is not what both sides have, repair() widens, and if it finds no agreement inside the two parts
+    the whole text is encoded."""
+    todo, asked, sides = [], [], []
+    joined = []
+    for i, (raw, at, have) in enumerate(zip(texts, ends, parts, strict=True)):
+        text = _Joined(raw, at, have, word_cuts(np.frombuffer(raw, np.uint8)) if len(at) > 1 else np.empty(0, np.int64))
+        joined.append(text)
+        for k in range(len(at) - 1):
+            found = text.words(k, 1)
+            if found is None:
+                todo.append((i, k, False))
+                continue
+            a, _, _, b = found
+            todo.append((i, k, True))
+            asked.append(raw[a:b].decode())
+            sides += [raw[a : at[k]].decode(), raw[at[k] : b].decode()]
+    both = iter(coder.together(asked))
+    ids, starts = coder.encode(pa.array(sides, pa.string()))
+    alone = iter([ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    bad: dict[int, list[int]] = {}
+    for i, k, known in todo:
+        agrees = False
+        if known:
+            left, right, together = next(alone), next(alone), next(both)
+            x, y = joined[i].parts[k], joined[i].parts[k + 1]
+            agrees = x[len(x) - len(left) :].tolist() + y[: len(right)].tolist() == together == left.tolist() + right.tolist()
+        if not agrees:
+            bad.setdefault(i, []).append(k)
+    for i, joins in bad.items():
+        if not all(joined[i].repair(k, coder) for k in joins):
+            joined[i].parts = [np.array(coder.together([texts[i].decode()])[0], np.uint32)]
+    return [x.parts for x in joined]
+
+
 def _assemble(path: str, digest: bool):
     """Ids of whole texts, or their digests, from shared middles and from what lies between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 0):
-            texts, shared = block.column(0), block.column(1)
-            parts: list[str] = []  # what is encoded here
+        for block in _packed_blocks(batches):
+            texts, coder = _unzip(block.column(0)), encoder(path)
+            said: list[str] = []  # what is encoded here
+            ends: list[list[int]] = []
             plans: list[list] = []  # for each text: number of a part, or the ids of a shared middle
-            for i, known in enumerate(shared.to_pylist()):
-                text = texts[i].as_py()
-                if not known:
-                    plans.append([len(parts)])
-                    parts.append(text)
-                    continue
-                raw, plan, done = text.encode(), [], 0
-                have = {x["no"]: x["ids"] for x in known}
-                for k, s, e in middles(np.frombuffer(raw, np.uint8)):
+            for raw, known in zip(texts, block.column(1).to_pylist(), strict=True):
+                plan, cut, done = [], [], 0
+                have = {x["no"]: x["ids"] for x in known or ()}
+                for k, s, e in middles(np.frombuffer(raw, np.uint8)) if have else ():
                     if k in have:
-                        plan += [len(parts), np.frombuffer(have[k], np.uint32)]
-                        parts.append(raw[done:s].decode())
+                        plan += [len(said), np.frombuffer(have[k], np.uint32)]
+                        said.append(raw[done:s].decode())
+                        cut += [s, e]
                         done = e
-                plans.append([*plan, len(parts)])
-                parts.append(raw[done:].decode())
-            ids, starts = encoder(path).encode(pa.array(parts, pa.string()))
-            out = [[ids[starts[x] : starts[x + 1]] if isinstance(x, int) else x for x in plan] for plan in plans]
+                plans.append([*plan, len(said)])
+                ends.append([*cut, len(raw)])
+                said.append(raw[done:].decode())
+            ids, starts = coder.encode(pa.array(said, pa.string()))
+            out = join_ids(texts, ends, [[ids[starts[x] : starts[x + 1]] if isinstance(x, int) else x for x in plan] for plan in plans], coder)
             if digest:
                 said = [_digest(np.concatenate(plan).tolist(), *_strings(path)) for plan in out]
                 cols = [pa.array([x[k] for x in said], t) for k, t in enumerate(_DIGEST)]
@@ -282,11 +414,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     ``digest``, what digests() gives stands in place of the ids, made where they are.
 
     Null or empty texts have no ids; repeated rows are encoded alike; rows may share an id or have none; an empty table
-    gives an empty result. The tokenizer must not let a token cross an ASCII blank; its file must be there on
-    every worker.
+    gives an empty result; other columns pass through, whatever their names. Any tokenizer of the tokenizers library will
+    do; its file must be there on every worker. Words are encoded one by one only where splits_words() holds.
 
-    Shuffled are a digest for each chunk, the texts once (both readings of them share the exchange), and the ids of
-    chunks that occur more than once. A chunk held by very many documents is found by partial aggregation, and its ids
+    Shuffled are a digest for each chunk, the compressed texts once (both readings of them share the exchange), and the
+    ids of chunks that occur more than once. A chunk held by very many documents is found by partial aggregation, and its ids
     reach them by joins whose skewed partitions can be split.
     """
     path, spark = path or default_tokenizer(), docs.sparkSession
@@ -299,7 +431,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     place = F.struct("id", "row", "no")
     shared = chunks.groupBy("chunk").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner < other").select(F.col("chunk").alias("shared"), "owner")
     shared = materialize(shared, "shared-chunks")
-    dealt = keyed.repartition(partitions(spark), "_m_id", "_m_row")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[1:])
+    dealt = keyed.mapInArrow(_zip, f"_m_text binary, {kinds}").repartition(partitions(spark), "_m_id", "_m_row")
 
     def of_document(rows: DataFrame, item) -> DataFrame:
         return rows.groupBy("id", "row").agg(F.collect_set(item).alias("_m_list")).withColumnsRenamed({"id": "_m_list_id", "row": "_m_list_row"})
@@ -326,22 +459,24 @@ def token_strings(path: str) -> list[str | None]:
 
 
 _DIGEST = (pa.int64(), pa.string(), pa.string())
-_known_strings: dict[str, tuple[list, list]] = {}
+_known_strings: dict[str, tuple] = {}
 
 
-def _strings(path: str) -> tuple[list, list]:
-    """Tokens and decimal numbers of all ids."""
+def _strings(path: str) -> tuple:
+    """What _text_of() needs, and the decimal numbers of all ids."""
     if path not in _known_strings:
-        token = token_strings(path)
-        _known_strings[path] = token, [str(i) for i in range(len(token))]
+        token, tokenizer = token_strings(path), load_tokenizer(path)
+        number = [str(i) for i in range(len(token))]
+        _known_strings[path] = (token if tokenizer.decoder is None else lambda ids: tokenizer.decode(ids, skip_special_tokens=False)), number
     return _known_strings[path]
 
 
-def _text_of(ids: list[int], token: list) -> str:
-    return " ".join([token[i] for i in ids if token[i] is not None])
+def _text_of(ids: list[int], token) -> str:
+    """As the library's decode(): a tokenizer without a decoder puts blanks between tokens, else the decoder is asked."""
+    return token(ids) if callable(token) else " ".join([token[i] for i in ids if token[i] is not None])
 
 
-def _digest(ids: list[int], token: list, number: list) -> tuple[int, str, str]:
+def _digest(ids: list[int], token, number: list) -> tuple[int, str, str]:
     said = " ".join([number[i] for i in ids])
     return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(_text_of(ids, token).encode()).hexdigest()
 
@@ -362,8 +497,8 @@ def _decode(path: str, digest: bool):
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Replace ``ids_col`` by ``decoded``: the tokens joined by blanks, as the tokenizer without a decoder does. Null
-    ids decode to an empty text; ids without a token are left out."""
+    """Replace ``ids_col`` by ``decoded``, as the library's decode() with special tokens kept. Null ids decode to an empty
+    text; ids without a token are left out."""
     return _from_ids(coded, ids_col, path, False, {"decoded": "_m_text"})
 
 
