@@ -1,4 +1,11 @@
-"""Quality classifier: positive-unlabelled learning with the non-negative risk estimator."""
+"""Quality classifier: positive-unlabelled learning with the non-negative risk estimator.
+
+Trusted positives are documents labelled good; unlabelled text is a sample of all documents that are not held out, whatever
+their labels, which are not looked at. The class prior is estimated from the two: a first model tells positives from
+unlabelled text, and the share of unlabelled text among the best scores, against that of positives there, bounds the prior
+(the best cut after a correction for the sizes of both samples). The risk is then minimised with that prior. Labelled
+negatives take no part in either step; the labels of both kinds only set the curve from the model's output to a score.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import table, text_blocks, with_columns
 
-#: Labelled rows to learn from, at most: those with the smallest hashes of their ids.
-MAX_LABELLED = 20_000
+#: Labelled rows, and rows of unlabelled text, to learn from, at most: those with the smallest hashes of their ids.
+MAX_LABELLED = MAX_UNLABELLED = 20_000
 BINS = 12
 THRESHOLD = 0.7
+UNLABELLED = -1
 
 _CLASSES = [
     [*range(65, 91)], [*range(97, 123)], [*range(48, 58)], [32], [10], [9, 11, 12, 13], [*range(128, 256)],
@@ -45,56 +53,93 @@ def features(text: str) -> list[float]:
     ]
 
 
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+
+
+def minimise(slope, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
+    """Weights after so many Adam steps along a risk's slope."""
+    w, m, v = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
+    for t in range(1, steps + 1):
+        g = slope(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    return w
+
+
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The class prior from scores of held-back positives and unlabelled rows: above a cut where hardly a negative is
+    found, the unlabelled rows number as many as the prior's share of the positives. The cut is the one of the smallest
+    upper bound at that doubt."""
+    cuts = np.sort(np.concatenate((positive, unlabelled)))
+    p, u = (1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (positive, unlabelled))
+    slack = np.sqrt(np.log(4 / doubt) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    p, u = p[p > 0.02], u[p > 0.02]
+    at = ((u + slack) / p).argmin()
+    return float(min(1.0, u[at] / p[at]))
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 150, ridge: float = 1e-2) -> float:
+    """Two models of positives against unlabelled rows, each scoring the half that it has not seen."""
+    half_p, half_u = np.arange(len(p)) % 2, np.arange(len(u)) % 2
+    scores = np.empty(len(p)), np.empty(len(u))
+    for h in (0, 1):
+        a, b = p[half_p != h], u[half_u != h]
+        if not len(a) or not len(b):
+            return 0.5
+        w = minimise(lambda w: b.T @ _sigmoid(b @ w) / len(b) - a.T @ _sigmoid(-(a @ w)) / len(a) + ridge * w, p.shape[1], steps)  # noqa: B023
+        scores[0][half_p == h], scores[1][half_u == h] = p[half_p == h] @ w, u[half_u == h] @ w
+    return best_cut(*scores)
+
+
 class Model:
     """An additive model over binned and plain features, with a calibrated output."""
 
     def __init__(self, prior: float):
         self.prior, self.weights = prior, None
+        self.a, self.b = 1.0, 0.0
 
     def basis(self, x: np.ndarray) -> np.ndarray:
         bins = (x[:, :, None] > self.edges[None]).reshape(len(x), -1)
         plain = np.clip((x - self.mean) / self.scale, -4, 4)
-        return np.concatenate((np.ones((len(x), 1)), plain, bins), axis=1)
-
-    def fit(self, x: np.ndarray, label: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-        """Positives are the rows of label 1; the unlabelled text is all rows with their labels hidden. Labels of
-        either kind serve afterwards to estimate the class prior and to calibrate the output."""
-        if not len(x) or label.all() or not label.any():
-            return self
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        self.edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-        z = self.basis(x)
-        p, w = z[label == 1], np.zeros(z.shape[1])
-        prior, m, v = self.prior, np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, steps + 1):
-            gp, gu = p @ w, z @ w
+        return np.concatenate((np.ones((len(x), 1)), plain, bins), axis=1, dtype=np.float32)
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300, ridge: float = 1e-2) -> Model:
+        """Minimise the non-negative risk of positives and unlabelled rows under the estimated prior. The ridge is wider for
+        few positives."""
+        ridge = ridge + 5 / len(positive)
+        self.mean, self.scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-9
+        self.edges = np.quantile(unlabelled, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+        p, u = self.basis(positive), self.basis(unlabelled)
+        self.prior = prior = estimate_prior(p, u)
+
+        def slope(w: np.ndarray) -> np.ndarray:
+            gp, gu = p @ w, u @ w
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            up, down = 1 / (1 + np.exp(gp)), 1 / (1 + np.exp(-gp))  # slopes of the two losses on positives
-            slope = z.T @ (1 / (1 + np.exp(-gu))) / len(z) - prior * (p.T @ down) / len(p)
-            if negative < 0:  # the non-negative correction: step back from an impossible negative risk
-                grad = -slope
-            else:
-                grad = slope - prior * (p.T @ up) / len(p) + ridge * w
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.weights = w
-        return self.calibrate(z @ w, label)
+            down = u.T @ _sigmoid(gu) / len(u) - prior * (p.T @ _sigmoid(gp)) / len(p)
+            # the non-negative correction: step back from an impossible negative risk
+            return -down if negative < 0 else down - prior * (p.T @ _sigmoid(-gp)) / len(p) + ridge * w
+
+        self.weights = minimise(slope, p.shape[1], steps)
+        return self
 
     def calibrate(self, g: np.ndarray, label: np.ndarray) -> Model:
-        """A logistic curve from the model's output to the share of label 1."""
+        """A logistic curve from the model's output to the share of label 1; it stays as it is without both labels."""
+        if label.all() or not label.any():
+            return self
         a, b = 1.0, 0.0
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
             s, e = q * (1 - q) + 1e-9, q - label
-            h = np.array([[(s * g * g).sum() + 1e-3, (s * g).sum()], [(s * g).sum(), s.sum() + 1e-3]])
-            a, b = np.array([a, b]) - np.linalg.solve(h, [(e * g).sum() + 1e-3 * (a - 1), e.sum() + 1e-3 * b])
-        self.a, self.b = (a, b) if a > 0 else (1.0, 0.0)
+            h = np.array([[(s * g * g).sum() + 1e-2, (s * g).sum()], [(s * g).sum(), s.sum() + 1e-2]])
+            a, b = np.array([a, b]) - np.linalg.solve(h, [(e * g).sum() + 1e-2 * (a - 1), e.sum() + 1e-2 * b])
+        self.a, self.b = (a, b) if 0 < a < 100 else (1.0, 0.0)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.a * (self.basis(x) @ self.weights) + self.b, -30, 30)))
+        return _sigmoid(self.a * (self.basis(x) @ self.weights).astype(np.float64) + self.b)
 
 
 def held_out(id_: Column) -> Column:
@@ -107,19 +152,29 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([block.column(1), x], names=["label", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from at most ``max_labelled`` labelled rows that are not held out. Rows without id or label are left out.
-    Without two kinds of labels every text scores the share of label 1, or 1 if there are no labels at all."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """Learn from at most ``max_labelled`` labelled rows and ``max_unlabelled`` rows of unlabelled text, none of them held
+    out. Rows without id are left out, as are labels that are neither 0 nor 1. Null texts are empty ones; rows that repeat
+    an id all count; columns other than those named are not looked at. Without positives or without documents every text
+    scores the share of label 1, or 1 if there are no labels at all."""
     known = labels.select(F.col(id_col).cast("long").alias("_m_label_id"), F.col(label_col).cast("int").alias("label")).filter("_m_label_id is not null and label in (0, 1)")
     known = known.filter(~held_out(F.col("_m_label_id"))).orderBy(F.xxhash64("_m_label_id"), "_m_label_id", "label").limit(max_labelled)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_m_id"), text.alias("_m_text")).join(F.broadcast(known), F.col("_m_id") == F.col("_m_label_id"))  # no more rows than max_labelled
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.select(id_.alias("_m_label_id")).filter(F.col("_m_label_id").isNotNull() & ~held_out(F.col("_m_label_id")))
+    some = some.orderBy(F.xxhash64("_m_label_id", F.lit("unlabelled")), "_m_label_id").limit(max_unlabelled).distinct().withColumn("label", F.lit(UNLABELLED))
+    wanted = F.broadcast(known.unionByName(some))  # no more rows than both bounds
+    rows = docs.select(id_.alias("_m_id"), text.alias("_m_text")).join(wanted, F.col("_m_id") == F.col("_m_label_id"))
     got = rows.select("_m_text", "label").mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
     if not len(got):
         return Model(1.0)
     x, label = np.array(got["x"].tolist()), got["label"].to_numpy()
     order = np.lexsort((*x.T, label))  # the same sums whatever the order of rows
-    return Model(float(label.mean())).fit(x[order], label[order])
+    x, label = x[order], label[order]
+    marked = label != UNLABELLED
+    if not (label == 1).any():
+        return Model(0.0 if marked.any() else 1.0)
+    model = Model(1.0).fit(x[label == 1], x[~marked])
+    return model.calibrate(model.basis(x[marked]) @ model.weights, label[marked])
 
 
 def _scorer(model):
@@ -132,8 +187,9 @@ def _scorer(model):
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on). Null texts are scored as empty ones. Only the
-    text enters a score. There is no shuffle; the model's size does not depend on the data."""
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on). Null texts are scored as empty ones, rows with
+    null or repeated ids like any other; output columns replace input columns of the same name; an empty table gives an
+    empty result. Only the text enters a score. There is no shuffle; the model's size does not depend on the data."""
     spark = docs.sparkSession
     rest = [c for c in docs.columns if keep_text or c != text_col]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
