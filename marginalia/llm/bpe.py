@@ -21,11 +21,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, materialize, partitions, table, text_blocks, with_columns, words_of
+from .common import materialize, partitions, table, text_blocks, with_columns, words_of
 
 #: Words, and pieces of words, whose ids a worker keeps; beyond that the words of the last block stay.
 CACHE_WORDS = 300_000
@@ -242,33 +241,6 @@ def middles(data: np.ndarray, cuts: np.ndarray | None = None) -> list[tuple[int,
     return [(int(k), int(s), int(e)) for k, s, e in zip(good, first, last, strict=True) if e - s >= LEAST]
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the exchange."""
-    press = zstandard.ZstdCompressor(level=3)
-    for block in text_blocks(batches, 0):
-        packed = pa.array([press.compress(t.encode()) for t in block.column(0).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([packed, *block.columns[1:]], names=block.schema.names)
-
-
-def _unzip(packed: pa.Array) -> list[bytes]:
-    unpress = zstandard.ZstdDecompressor()
-    return [unpress.decompress(x) for x in packed.to_pylist()]
-
-
-def _packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of batches whose first column holds compressed texts of about BLOCK_BYTES in all."""
-    for batch in batches:
-        sizes = [zstandard.frame_content_size(x) for x in batch.column(0).to_pylist()]
-        at = held = 0
-        for i, size in enumerate(sizes):
-            if i > at and held + size > BLOCK_BYTES:
-                yield batch.slice(at, i - at)
-                at, held = i, 0
-            held += size
-        if at < len(sizes):
-            yield batch.slice(at)
-
-
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, 0):
         doc, no, digest = [], [], []
@@ -282,19 +254,26 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), block.column(1).take(at), block.column(2).take(at), pa.array(no, pa.int32())], names=["chunk", "id", "row", "no"])
 
 
+def _kind(path: str) -> type:
+    """Ids of shared chunks travel in two bytes where the vocabulary allows it."""
+    return np.uint16 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def _encode_owned(path: str):
     """Encode the chunks that a document owns: ``chunk, ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _packed_blocks(batches):
+        for block in text_blocks(batches, 0):
             chunks, parts = [], []
-            for raw, owned in zip(_unzip(block.column(0)), block.column(1).to_pylist(), strict=True):
+            for text, owned in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                raw = text.encode()
                 at = {k: (s, e) for k, s, e in middles(np.frombuffer(raw, np.uint8))}
                 for x in owned:
                     s, e = at[x["no"]]
                     chunks.append(x["chunk"])
                     parts.append(raw[s:e].decode())
             ids, starts = encoder(path).encode(pa.array(parts, pa.string()))
+            ids = ids.astype(_kind(path))
             coded = [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array(coded, pa.binary())], names=["chunk", "ids"])
 
@@ -376,8 +355,8 @@ def _assemble(path: str, digest: bool):
     """Ids of whole texts, or their digests, from shared middles and from what lies between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _packed_blocks(batches):
-            texts, coder = _unzip(block.column(0)), encoder(path)
+        for block in text_blocks(batches, 0):
+            texts, coder = [t.encode() for t in block.column(0).to_pylist()], encoder(path)
             said: list[str] = []  # what is encoded here
             ends: list[list[int]] = []
             plans: list[list] = []  # for each text: number of a part, or the ids of a shared middle
@@ -386,7 +365,7 @@ def _assemble(path: str, digest: bool):
                 have = {x["no"]: x["ids"] for x in known or ()}
                 for k, s, e in middles(np.frombuffer(raw, np.uint8)) if have else ():
                     if k in have:
-                        plan += [len(said), np.frombuffer(have[k], np.uint32)]
+                        plan += [len(said), np.frombuffer(have[k], _kind(path)).astype(np.uint32)]
                         said.append(raw[done:s].decode())
                         cut += [s, e]
                         done = e
@@ -417,7 +396,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     gives an empty result; other columns pass through, whatever their names. Any tokenizer of the tokenizers library will
     do; its file must be there on every worker. Words are encoded one by one only where splits_words() holds.
 
-    Shuffled are a digest for each chunk, the compressed texts once (both readings of them share the exchange), and the
+    Shuffled are a digest for each chunk, the texts once (both readings of them share the exchange), and the
     ids of chunks that occur more than once. A chunk held by very many documents is found by partial aggregation, and its ids
     reach them by joins whose skewed partitions can be split.
     """
@@ -429,10 +408,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     chunks = keyed.select("_m_text", "_m_id", "_m_row").mapInArrow(_chunk_rows, "chunk binary, id long, row long, no int")
     chunks = materialize(chunks, "chunks")
     place = F.struct("id", "row", "no")
-    shared = chunks.groupBy("chunk").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner < other").select(F.col("chunk").alias("shared"), "owner")
+    shared = chunks.groupBy("chunk").agg(F.min(place).alias("owner"), F.count("*").alias("times")).filter("times > 1").select(F.col("chunk").alias("shared"), "owner")
     shared = materialize(shared, "shared-chunks")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[1:])
-    dealt = keyed.mapInArrow(_zip, f"_m_text binary, {kinds}").repartition(partitions(spark), "_m_id", "_m_row")
+    dealt = keyed.repartition(partitions(spark), "_m_id", "_m_row")
 
     def of_document(rows: DataFrame, item) -> DataFrame:
         return rows.groupBy("id", "row").agg(F.collect_set(item).alias("_m_list")).withColumnsRenamed({"id": "_m_list_id", "row": "_m_list_row"})
