@@ -1,10 +1,13 @@
 """Secret scans with DataFrame functions only: known shapes, and strings that look random.
 
 A run of 20 or more characters of an encoding's alphabet is a candidate where its characters suggest hexadecimal, base32
-or base64. Chi-squared uniformity over the alphabet is turned into a p-value under the assumption that the string is
-*not* random (its symbols repeat as those of written words or numbers do), so that long uniform strings get small ones.
-A runs test and a lag-1 serial correlation test must not speak against randomness. Benjamini-Hochberg control over all
-candidates, each p-value weighted by the candidate's length, decides which ones are reported.
+or base64. Two p-values are found under the assumption that a candidate is *not* random: chi-squared uniformity over the
+alphabet, where the symbols of written words or numbers would repeat more often, and the number of runs of one kind of
+symbol (capitals, small letters, digits), where written names change kind less often; Fisher's rule combines them. A runs
+test of high and low symbols and a lag-1 serial correlation test must not speak against randomness; a candidate against
+which one does keeps its place among the hypotheses with p = 1. Benjamini-Hochberg control over all candidates of a length
+class, for each class by itself, decides which ones are reported, so that short strings, which can never have very small
+p-values, neither drown among long dull ones nor hold up long random ones.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random_hex", "random_base32", "random_base64")
 
-#: Alphabet, and the chance that two (three) symbols of a text that is not random are equal: for base32 and base64 that
-#: of English letters, for hexadecimal that of decimal digits.
+#: Alphabet, the chance that two (three) symbols of a text that is not random are equal (for base32 and base64 that of
+#: English letters, for hexadecimal that of decimal digits), and where in the alphabet another kind of symbol begins; too
+#: few symbols of base32 are digits for runs of kinds to tell anything.
 ENCODINGS = {
-    "random_hex": ("0123456789abcdef", 0.1, 0.01),
-    "random_base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0655, 0.0053),
-    "random_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0655, 0.0053),
+    "random_hex": ("0123456789abcdef", 0.1, 0.01, (10,)),
+    "random_base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0655, 0.0053, ()),
+    "random_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0655, 0.0053, (26, 52, 62)),
 }
+#: How often neighbours are of different kinds in names such as someLongNameOf2Words, at most.
+CHANGES = 0.4
+#: Where length classes begin.
+LENGTHS = (24, 32, 48, 96)
 #: False-discovery rate, and the level of the tests that must not reject randomness.
 RATE, LEVEL = 0.01, 0.001
 _BINS, _PER_DECADE = 3000, 50
@@ -67,12 +75,13 @@ def _encoding(said: Column) -> Column:
 
 
 def _tested(rows: DataFrame) -> DataFrame:
-    """Candidates with ``p``, the p-value of being as uniform as this without being random, times the mean length over
-    their own; null where they have no encoding or look far from random."""
+    """Candidates of known encoding with their ``class`` of length and ``p``, the p-value of looking as random as this
+    without being random, or 1 where a test speaks against randomness."""
     out = rows.withColumn("code", _encoding(F.col("said"))).filter("code is not null")
     parts = []
-    for name, (alphabet, pairs, triples) in ENCODINGS.items():
+    for name, (alphabet, pairs, triples, kinds) in ENCODINGS.items():
         own = out.filter(F.col("code") == KINDS.index(name))
+        head, tail = (lambda c: F.slice(c, 1, F.size(c) - 1)), (lambda c: F.slice(c, 2, F.size(c) - 1))
         said = F.lower("said") if name == "random_hex" else F.translate("said", "-_", "+/")
         k = len(alphabet)
         own = own.withColumn("x", F.transform(F.split(said, ""), lambda c: F.instr(F.lit(alphabet), c) - 1))
@@ -84,9 +93,14 @@ def _tested(rows: DataFrame) -> DataFrame:
         var = 4 * n * (n - 1) * (n - 2) * (triples - pairs**2) + 2 * n * (n - 1) * (pairs - pairs**2)
         # chi-squared over k symbols is k / n * (equal + n) - n: fewer equal pairs, more uniform
         own = own.withColumn("p_text", upper_tail((mean - F.col("equal")) / F.sqrt(var)))
+        if kinds:
+            own = own.withColumn("kinds", F.transform("x", lambda v: sum((F.when(v >= at, 1).otherwise(0) for at in kinds), F.lit(0))))
+            own = own.withColumn("changes", F.aggregate(F.zip_with(head("kinds"), tail("kinds"), lambda a, b: (a != b).cast("int")), F.lit(0.0), lambda a, v: a + v))
+            p_kinds = upper_tail((F.col("changes") - 0.5 - (n - 1) * CHANGES) / F.sqrt((n - 1) * (CHANGES * (1 - CHANGES))))
+            both = F.greatest(F.col("p_text") * p_kinds, F.lit(1e-290))
+            own = own.withColumn("p_text", both * (1 - F.log(both)))  # of two p-values, by Fisher's rule
         own = own.withColumn("high", F.transform("x", lambda v: (v * 2 >= k).cast("int")))
         own = own.withColumn("n1", F.aggregate("high", F.lit(0.0), lambda a, v: a + v)).withColumn("n0", n - F.col("n1"))
-        head, tail = (lambda c: F.slice(c, 1, F.size(c) - 1)), (lambda c: F.slice(c, 2, F.size(c) - 1))
         own = own.withColumn("runs", F.aggregate(F.zip_with(head("high"), tail("high"), lambda a, b: F.abs(a - b)), F.lit(1.0), lambda a, v: a + v))
         own = own.withColumn("mu", 2 * F.col("n1") * F.col("n0") / n + 1)
         z_runs = (F.col("runs") - F.col("mu")) / F.sqrt(F.greatest((F.col("mu") - 1) * (F.col("mu") - 2) / (n - 1), F.lit(1e-9)))
@@ -94,21 +108,26 @@ def _tested(rows: DataFrame) -> DataFrame:
         own = own.withColumn("d", F.transform("x", lambda v: v - F.col("m")))
         serial = F.aggregate(F.zip_with(head("d"), tail("d"), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.greatest(F.aggregate("d", F.lit(0.0), lambda a, v: a + v * v), F.lit(1e-9))
         z_serial = (serial + 1 / (n - 1)) * F.sqrt(n)
-        own = own.withColumn("p_runs", 2 * upper_tail(F.abs(z_runs))).withColumn("p_serial", 2 * upper_tail(F.abs(z_serial)))
-        parts.append(own.select(*rows.columns, "code", "p_text", "p_runs", "p_serial"))
+        random = (2 * upper_tail(F.abs(z_runs)) >= LEVEL) & (2 * upper_tail(F.abs(z_serial)) >= LEVEL)
+        length = sum((F.when(n >= at, 1).otherwise(0) for at in LENGTHS), F.lit(0))
+        parts.append(own.select(*rows.columns, "code", length.alias("class"), F.when(random, F.col("p_text")).otherwise(1.0).alias("p")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _cutoff(found: DataFrame, rate: float) -> float | None:
-    """The largest p-value that the weighted Benjamini-Hochberg rule accepts, to a fiftieth of a power of ten."""
+def _cutoffs(tested: DataFrame, rate: float) -> dict[int, float]:
+    """For each class of length the largest p-value that the Benjamini-Hochberg rule accepts over all its candidates, to a
+    fiftieth of a power of ten."""
     step = F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-60))) * _PER_DECADE), F.lit(_BINS)).cast("int")
-    counts = found.filter("p is not null").groupBy(F.greatest(step, F.lit(0)).alias("bin")).count().collect()  # a row for each bin at most
-    total, so_far, best = sum(r["count"] for r in counts), 0, None
-    for r in sorted(counts, key=lambda r: -r["bin"]):
-        so_far += r["count"]
-        if 10.0 ** (-r["bin"] / _PER_DECADE) <= rate * so_far / total:
-            best = 10.0 ** (-r["bin"] / _PER_DECADE)
-    return best
+    counts = tested.groupBy("class", F.greatest(step, F.lit(0)).alias("bin")).count().collect()  # a row for each class and bin at most
+    out = {}
+    for k in range(len(LENGTHS) + 1):
+        mine = sorted(((r["bin"], r["count"]) for r in counts if r["class"] == k), reverse=True)
+        total, so_far = sum(n for _, n in mine), 0
+        for at, n in mine:
+            so_far += n
+            if 10.0 ** (-at / _PER_DECADE) <= rate * so_far / total:
+                out[k] = 10.0 ** (-at / _PER_DECADE)
+    return out
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -116,7 +135,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the counts ``n_assign, n_access, n_hex, n_random``. A random string is reported unless it overlaps a known shape.
 
     Null or empty texts have none; repeated rows are reported alike; rows may share an id or have none; an empty table
-    gives an empty result.
+    gives an empty result; other columns pass through, whatever their names.
 
     Patterns run where the texts are read; only matches travel on, a row each, and are placed by running sums inside
     their document, so that a text of very many matches costs no more than sorting them.
@@ -138,11 +157,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = materialize(placed, "matches")
     base = placed.filter("kind < 3").select("id", "row", "kind", "start", "end", F.lit(None).cast("double").alias("p"))
     tested = materialize(_tested(placed.filter("kind >= 3")), "tested")
-    mean = tested.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0
-    random = tested.filter((F.col("p_runs") >= LEVEL) & (F.col("p_serial") >= LEVEL))
-    random = random.select("id", "row", F.col("code").alias("kind"), "start", "end", (F.col("p_text") * mean / (F.col("end") - F.col("start"))).alias("p"))
-    cutoff = _cutoff(random, rate)
-    random = random.filter(F.col("p") <= (cutoff if cutoff is not None else -1.0))
+    allowed = F.lit(-1.0)
+    for k, cutoff in _cutoffs(tested, rate).items():
+        allowed = F.when(F.col("class") == k, cutoff).otherwise(allowed)
+    random = tested.filter(F.col("p") <= allowed).select("id", "row", F.col("code").alias("kind"), "start", "end", "p")
     before = Window.partitionBy("id", "row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("id", "row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
     both = base.unionByName(random).withColumn("left", F.max(F.when(F.col("kind") < 3, F.col("end"))).over(before)).withColumn("right", F.min(F.when(F.col("kind") < 3, F.col("start"))).over(after))
