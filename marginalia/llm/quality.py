@@ -139,7 +139,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.prior)
-        return _sigmoid(self.a * (self.basis(x) @ self.weights).astype(np.float64) + self.b)
+        # in double precision, so that a score does not depend on which rows are scored together
+        return _sigmoid(self.a * (self.basis(x).astype(np.float64) @ self.weights.astype(np.float64)) + self.b)
 
 
 def held_out(id_: Column) -> Column:
