@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each written and read again before the next.
 
 A stage takes (spark, docs, sf_dir) and returns what is left of docs, with the columns of documents; the last one
-returns token counts and digests of ids and decoded texts.
+returns token counts and digests of ids and decoded texts. Stages keep the rules of their operators: a null text is an
+empty one, rows with a null id pass like any other (in near dedup they are one document), repeated rows are judged alike,
+columns beyond those of documents pass through until the last stage, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from marginalia.llm import bpe, decontamination, line_dedup, near_dedup, quality
 from marginalia.llm.common import materialize, table
 
 
+#: Similarity in percent from which documents are near-duplicates.
+NEAR = 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -28,8 +34,8 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return near_dedup.near_duplicates(docs).filter("kept").select(docs.columns)
+    """Of each group of near-duplicates, from a similarity of 0.8 on, the document with the smallest id stays."""
+    return near_dedup.near_duplicates(docs, percent=NEAR).filter("kept").select(docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text that is left, encoded and decoded."""
     coded = bpe.encode(docs, digest=True)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    about = [c for c in ("doc_id", "lang", "source") if c in coded.columns]
+    return coded.select(*about, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
@@ -52,7 +59,8 @@ STAGES = [
     ("BPE encoding and decoding", token_ids),
 ]
 
-#: SQL can say neither the classifier nor the tokenizer; tests hold each stage against a brute-force version.
+#: SQL can say neither the classifier nor the tokenizer; tests hold the stages against brute-force versions, the
+#: tokenizers library, and the classifier against its own model row by row and the labels.
 ORACLE_SQL = None
 
 
