@@ -68,9 +68,12 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
             self.paths[path] = None
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        self.drop(*(x for x in self.paths.values() if x is not None and not any(x is f for f in frames)))
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         out = self.write(df, name)
-        self.drop(*(x for x in self.paths.values() if x is not None and x is not out))
+        self.keep_only(out)
         return out
 
 

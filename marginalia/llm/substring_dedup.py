@@ -1,10 +1,15 @@
-"""Substring dedup: a sparse de Bruijn graph over word k-mers finds long passages that repeat across documents.
-
-Every window of ``window`` words picks the smallest hash among its k-mers, an *edge* of the graph that depends on the
-window's words alone, so equal windows pick the same edge at the same place. Neighbouring windows mostly pick the same
-edge; such a run of windows is one *path*. An edge whose occurrences all lie in the same path does not branch: it is
-compacted, one row stands for all its windows. Only where occurrences differ (at the borders of repeated passages) are
-single windows compared. Edges that one document alone holds leave after the first aggregation.
+"""Substring dedup: a sparse de Bruijn graph of word k-mers, compacted by joins, finds passages that repeat across documents.
+
+Every window of ``window`` words picks the smallest hash among its k-mers, which depends on the window's words alone, so
+equal windows pick the same k-mer at the same place. Neighbouring windows mostly pick the same one; such a run of windows
+is an *edge* of the graph, told by all its words and by where its k-mer lies, and the edge that starts where it ends comes
+next. Edges whose k-mer one document alone holds leave after the first aggregation.
+
+An edge is straight if its k-mer has it in all places. A straight edge that is always followed by the same straight edge,
+which always follows it, does not branch there: such pairs are linked, and links are compacted to whole paths by doubling
+(each edge learns its path's first edge and how far from it it lies). A path stands in a document as one span of its source
+coordinates, decided by one owner. Only at k-mers whose edges differ (at the borders of repeated passages) are single
+windows compared.
 """
 
 from __future__ import annotations
@@ -15,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, run_hashes, table, text_blocks, word_hashes, words_of
+from .common import Scratch, run_hashes, table, text_blocks, word_hashes, words_of
 
 K = 8
 _PATH = "array<struct<kmer:long,start:int,last:int,at:int>>"
-_FOUND = "array<struct<kmer:long,start:int,last:int,at:int,path:binary,windows:array<long>>>"
+_FOUND = "array<struct<kmer:long,start:int,last:int,at:int,edge:binary,next:binary,before:binary,windows:array<long>>>"
 
 
 def first_minimum(values: np.ndarray, size: int) -> np.ndarray:
@@ -67,8 +72,8 @@ def _paths(window: int, k: int):
 
 
 def _read_at(window: int, digest: bool):
-    """Read documents at the coordinates of their repeated edges: hash of each path's words and of its windows.
-    With ``digest``, a document without such edges keeps the digest of its words instead of the text."""
+    """Read documents at the coordinates of their repeated edges: a digest of each edge (its words, and where its k-mer lies),
+    those of the edges that directly follow and precede it, and hashes of its windows. With ``digest``, a document without such edges keeps the digest of its words instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
@@ -83,9 +88,16 @@ def _read_at(window: int, digest: bool):
                 lanes = [word_hashes(distinct, lane)[index] for lane in (0, 1)]
                 both = np.stack(lanes, axis=1)
                 windows = run_hashes(lanes[1], window, 1).view(np.int64)
-                found = [p | {"path": xxhash.xxh3_128_digest(both[p["start"] : p["last"] + window].tobytes()), "windows": windows[p["start"] : p["last"] + 1]} for p in paths]
+                found = sorted(paths, key=lambda p: p["start"])
+                for p in found:
+                    said = both[p["start"] : p["last"] + window].tobytes() + (p["at"] - p["start"]).to_bytes(8, "little")
+                    p |= {"edge": xxhash.xxh3_128_digest(said), "next": None, "before": None, "windows": windows[p["start"] : p["last"] + 1]}
+                for p, q in zip(found, found[1:], strict=False):
+                    if q["start"] == p["last"] + 1:
+                        p["next"], q["before"] = q["edge"], p["edge"]
                 out.append((text, len(words), None, found))
-            kind = pa.list_(pa.struct([("kmer", pa.int64()), ("start", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), ("path", pa.binary()), ("windows", pa.list_(pa.int64()))]))
+            edge = [(name, pa.binary()) for name in ("edge", "next", "before")]
+            kind = pa.list_(pa.struct([("kmer", pa.int64()), ("start", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), *edge, ("windows", pa.list_(pa.int64()))]))
             cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), kind))]
             yield pa.RecordBatch.from_arrays([*block.columns[2:], *cols], names=[*block.schema.names[2:], "_m_text", "_m_words", "_m_sha", "_m_found"])
 
@@ -129,20 +141,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stands in place of the text.
 
     Null or empty texts and texts of fewer than ``window`` words lose nothing. A null id counts as smaller than all
-    others; rows with one id count as one document and never cut each other. An empty table gives an empty result.
-    Windows are told apart by 128 bits of hash.
+    others; rows with one id count as one document and never cut each other. Columns other than those named pass through.
+    An empty table gives an empty result. Edges are told apart by 128 bits of hash, windows by 128 bits as well.
 
     Shuffled are one row for about every 22 words (edge, id), then the texts once to be read at the coordinates of
     repeated edges, then only texts that hold such an edge. Edges and windows that very many documents share are
     aggregated before the shuffle and joined from written tables, so that skewed partitions can be split.
     """
     assert k < window
+    scratch = Scratch(docs.sparkSession)
     others = [c for c in docs.columns if c.lower() not in {text_col.lower(), "n_words", "n_removed", "removed", "kept_sha256"}]
     text, id_ = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
     keyed = docs.select(text.alias("_m_text"), id_.alias("_m_id"), F.xxhash64(text).alias("_m_row"), *others)
-    cells = materialize(keyed.select("_m_text", "_m_id", "_m_row").mapInArrow(_paths(window, k), "kmer long, id long, row long, start int, last int, at int"), "edges")
+    cells = scratch.write(keyed.select("_m_text", "_m_id", "_m_row").mapInArrow(_paths(window, k), "kmer long, id long, row long, start int, last int, at int"), "edges")
     shared = cells.groupBy("kmer").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select(F.col("kmer").alias("edge"))
-    shared = materialize(shared, "shared-edges")
+    shared = scratch.write(shared, "shared-edges")
     paths = (
         cells.join(shared, F.col("kmer") == F.col("edge"))
         .groupBy("id", "row")
@@ -153,22 +166,27 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried = ["_m_id", "_m_row", *others]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*carried).schema.fields)
     read = joined.select("_m_text", F.col("_m_paths").cast(_PATH), *carried).mapInArrow(_read_at(window, digest), f"{fields}, _m_text string, _m_words long, _m_sha string, _m_found {_FOUND}")
-    read = materialize(read, "read-at")
+    read = scratch.write(read, "read-at")
+    scratch.drop(cells, shared)
 
     found = read.filter("_m_found is not null").select(F.col("_m_id").alias("id"), F.col("_m_row").alias("row"), F.explode("_m_found").alias("f")).select("id", "row", "f.*")
-    shape = F.struct("path", F.expr("at - start"), F.expr("last - start"))
-    graph = materialize(found.groupBy("kmer").agg(F.min("id").alias("owner"), (F.min(shape) == F.max(shape)).alias("straight")).withColumnRenamed("kmer", "edge"), "graph")
-    placed = found.join(graph, F.col("kmer") == F.col("edge"))
-    compact = placed.filter("straight and id > owner").select("id", "row", "start", F.expr(f"last + {window}").alias("end"))
+    graph = scratch.write(_graph(found), "graph")
+    named = graph.join(_compacted(graph, scratch).withColumnRenamed("edge", "linked"), F.col("edge") == F.col("linked"), "left")
+    named = named.select(F.col("kmer").alias("of"), "owner", "straight", F.coalesce("head", "edge").alias("head"), F.coalesce("far", F.lit(0)).alias("far"))
+    placed = found.join(scratch.write(named, "paths"), F.col("kmer") == F.col("of"))
+    # a path in a document: edges that lie as far from one place as they lie from the path's head
+    passages = placed.filter("straight and id > owner").groupBy("id", "row", "head", (F.col("start") - F.col("far")).alias("from"))
+    compact = passages.agg(F.min("start").alias("start"), F.max("last").alias("last")).select("id", "row", "start", F.expr(f"last + {window}").alias("end"))
     single = placed.filter("not straight").select("id", "row", "kmer", "start", "at", F.posexplode("windows").alias("i", "hash"))
     single = single.select("id", "row", (F.col("start") + F.col("i")).alias("start"), "kmer", F.expr("at - start - i").alias("place"), "hash")
-    single = materialize(single, "windows")
+    single = scratch.write(single, "windows")
     same = ["kmer", "place", "hash"]
     owners = single.groupBy(*same).agg(F.min("id").alias("owner"), F.max("id").alias("high")).filter("owner < high").select("owner", *(F.col(c).alias(f"w_{c}") for c in same))
-    owners = materialize(owners, "owners")
+    owners = scratch.write(owners, "owners")
     branching = single.join(owners, [F.col(c) == F.col(f"w_{c}") for c in same]).filter("id > owner").select("id", "row", "start", F.expr(f"start + {window}").alias("end"))
     spans = compact.unionByName(branching).groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("_m_spans"))
-    spans = spans.withColumnsRenamed({"id": "_m_span_id", "row": "_m_span_row"})
+    spans = scratch.write(spans.withColumnsRenamed({"id": "_m_span_id", "row": "_m_span_row"}), "spans")
+    scratch.keep_only(read, spans)
     touched = read.filter("_m_found is not null").join(spans, (F.col("_m_id") == F.col("_m_span_id")) & (F.col("_m_row") == F.col("_m_span_row")), "left")
     columns = ["_m_text", "_m_sha", "_m_spans", *others, "_m_words"]
     rest = read.filter("_m_found is null").withColumn("_m_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
@@ -182,6 +200,35 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*others, *kept, F.col("_m_words").alias("n_words"), size.alias("n_removed"), F.col("_m_cut").alias("removed"))
 
 
+def _graph(found: DataFrame) -> DataFrame:
+    """Each repeated k-mer: the smallest id that holds it, whether all its places have one edge, and then that edge, its size
+    in windows, and the edges that follow and precede it in all places."""
+
+    def only(side: str) -> Column:
+        same = (F.count(side) == F.count("*")) & (F.min(side) == F.max(side)) & (F.min("edge") == F.max("edge"))
+        return F.when(same, F.min(side))
+
+    return found.groupBy("kmer").agg(
+        F.min("id").alias("owner"), (F.min("edge") == F.max("edge")).alias("straight"), F.min("edge").alias("edge"), F.max(F.expr("last - start + 1")).alias("size"),
+        only("next").alias("next"), only("before").alias("before"),
+    )
+
+
+def _compacted(graph: DataFrame, scratch: Scratch) -> DataFrame:
+    """``edge, head, far`` for every edge that follows another one without branching: the first edge of its path and how many
+    windows it lies from it. Distances double each round, so a path of n edges takes log n joins."""
+    ahead = graph.filter("next is not null").select(F.col("edge").alias("x"), F.col("next").alias("y"), "size")
+    behind = graph.filter("straight and before is not null").select("edge", "before")
+    jumps = scratch.write(ahead.join(behind, (F.col("y") == F.col("edge")) & (F.col("x") == F.col("before"))).select("edge", F.col("x").alias("head"), F.col("size").alias("far")), "links")
+    while True:
+        more = jumps.select(F.col("edge").alias("at"), F.col("head").alias("further"), F.col("far").alias("more"))
+        both = jumps.join(more, F.col("head") == F.col("at"), "left")
+        last, jumps = jumps, scratch.write(both.select("edge", F.coalesce("further", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("further").isNotNull().alias("moved")), "jumps")
+        scratch.drop(last)
+        if jumps.filter("moved").isEmpty():
+            return jumps.drop("moved")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return cut_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
