@@ -55,3 +55,10 @@ def canonical(body_json: Column) -> Column:
 def content_id(prefix: str, body_json: Column) -> Column:
     """The id of an open body, given as JSON text in any order of keys."""
     return _digest(prefix, canonical(body_json))
+
+
+def identity_of(kind: Column, body_json: Column) -> Column:
+    """The id that a record's kind and content give; null for kinds whose id does not follow from it."""
+    prefix = F.create_map(*[F.lit(x) for k in CONTENT_ADDRESSED for x in (k, PREFIX[k])])
+    sha = F.left(F.sha2(canonical(body_json).cast("binary"), 256), F.lit(20))
+    return F.concat(F.try_element_at(prefix, kind), F.lit(":"), sha)

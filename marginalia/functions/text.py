@@ -99,6 +99,22 @@ def snippet(text: Column, start: Column, end: Column, width: int) -> Column:
     return F.concat(F.when(low > 0, "…").otherwise(""), body, F.when(high < F.length(text), "…").otherwise(""))
 
 
+def snippet_words(text: Column, start: Column, end: Column, width: int = 160) -> Column:
+    """About ``width`` characters around a match, cut between words and never inside the match, blanks at the ends off."""
+    start, end = start.cast("int"), end.cast("int")
+    size, pad = F.length(text), F.greatest(F.lit(0), F.lit(width) - (end - start))
+    low = F.greatest(F.lit(0), start - F.floor(pad / 2).cast("int"))
+    high = F.least(size, end + pad - (start - low))
+    low = F.greatest(F.lit(0), start - (pad - (high - end)))
+    blank = lambda at: F.substring(text, at, F.lit(1)).rlike(PYWS)
+    word = r"(?:(?!" + PYWS + r").)"
+    left, right = F.substring(text, low + 1, start - low), F.substring(text, end + 1, high - end)
+    left = F.when((low > 0) & ~blank(low), F.regexp_replace(left, rf"(?s)^{word}*", "")).otherwise(left)
+    right = F.when((high < size) & ~blank(high + 1), F.regexp_replace(right, rf"(?s){word}*\z", "")).otherwise(right)
+    match = F.substring(text, start + 1, end - start)
+    return F.concat(F.regexp_replace(left, rf"^{PYWS}+", ""), match, F.regexp_replace(right, rf"{PYWS}+\z", ""))
+
+
 def clip(text: Column, start: Column, end: Column, size: int) -> Column:
     """About ``size`` characters around the middle of the match."""
     middle = F.floor((start + end) / 2).cast("int") - size // 2

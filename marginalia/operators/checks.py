@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import CONTENT_ADDRESSED, identity_of
 from .anchors import check_anchors
 
+#: The sentences below that say what is wrong with a record are the same wherever a ledger is checked.
 #: Kinds of record that a reference field may name; a field without a row may name any.
 REFS = (
     ("source", "derived_from", "source"), ("unit", "source", "source"), ("activity", "lens", "lens"), ("code", "lens", "lens"), ("code", "supersedes", "code"),
@@ -28,7 +30,10 @@ def ledger_conflicts(raw: DataFrame) -> DataFrame:
 
 
 def check_identity(records: DataFrame) -> DataFrame:
-    """``records(id, expected)``: content-addressed records whose id is not what their content gives."""
+    """``records(id, kind, body)`` with the body as JSON text: records of a content-addressed kind whose id is not what their
+    content gives, a body that does not parse included. With a column ``expected`` ids are compared with that."""
+    if "expected" not in records.columns:
+        records = records.filter(F.col("kind").isin(*CONTENT_ADDRESSED)).withColumn("expected", identity_of(F.col("kind"), F.col("body")))
     return _problem(records.filter(~F.col("id").eqNullSafe(F.col("expected"))), "record id does not match its content")
 
 
@@ -144,3 +149,39 @@ def passage_spans(entries: DataFrame, passages: DataFrame) -> DataFrame:
     inside = passages.select(F.col("unit").alias("pu"), F.col("source").alias("ps"), F.col("start").alias("pb"), F.col("end").alias("pe"))
     lone = entries.filter("start is not null").join(inside, (F.col("unit") == F.col("pu")) & (F.col("source") == F.col("ps")) & (F.col("start") >= F.col("pb")) & (F.col("end") <= F.col("pe")), "left_anti")
     return overlap.unionByName(lone.select("unit", F.lit("entry in no passage").alias("reason")))
+
+
+def ledger_fingerprint(digests: DataFrame) -> DataFrame:
+    """One row: a fingerprint over what ledger_digest() gives for each kind, kinds in order (they are few)."""
+    said = F.concat_ws(":", "kind", F.col("records").cast("string"), "digest")
+    whole = F.array_join(F.array_sort(F.collect_list(said)), "\n")
+    return digests.agg(F.sum("records").alias("records"), F.sha2(whole.cast("binary"), 256).alias("digest"))
+
+
+def recount_passages(entries: DataFrame) -> DataFrame:
+    """``name, value`` counted from raw ``entries(id, unit, source, start, end, family)`` by a sweep along each source, not by
+    merging: entries, units, families, entries without a span, passages, the longest passage."""
+    from pyspark.sql import Window
+
+    placed = entries.filter("start is not null and end is not null")
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))
+    along = Window.partitionBy("unit", "source").orderBy("at", "step")  # at one place spans end before others begin
+    swept = placed.select("unit", "source", F.explode(ends).alias("e")).select("unit", "source", "e.*")
+    swept = swept.withColumn("open", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    swept = swept.withColumn("begins", (F.col("open") == 1) & (F.col("step") == 1))
+    swept = swept.withColumn("since", F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = swept.agg(F.count_if("begins").alias("in_spans"), F.max(F.col("at") - F.col("since")).alias("longest"))
+    base = entries.agg(F.count("*").alias("entries"), F.countDistinct("unit").alias("units"), F.countDistinct("family").alias("families"), F.count_if(F.col("start").isNull() | F.col("end").isNull()).alias("without"))
+    names = {"entries": "entries", "units": "units", "families": "families", "entries without a span": "without", "passages": F.col("without") + F.col("in_spans"), "longest passage": F.coalesce("longest", F.lit(0))}
+    rows = [F.struct(F.lit(k).alias("name"), (F.col(v) if isinstance(v, str) else v).cast("long").alias("value")) for k, v in names.items()]
+    return base.crossJoin(whole).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def all_anchors(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """Anchors of several kinds of record in one table for check_all_anchors(): each part names what it is and has ``id, unit,
+    source, start, end, exact``; records without a span are left out."""
+    tables = [df.filter("start is not null").select("id", F.lit(what).alias("what"), "unit", "source", "start", "end", "exact") for what, df in parts]
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, name_key
+from ..sources.folders import shared_folder
+from .lexicon import ranked
 
 
 def gather_names(codings: DataFrame) -> DataFrame:
@@ -16,12 +16,22 @@ def gather_names(codings: DataFrame) -> DataFrame:
     rows = codings.select("by", "code", collapse_ws(F.col("name")).alias("form")).withColumn("key", name_key(F.col("form")))
     forms = rows.groupBy("key", "form").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("form"))).alias("m"))
     counts = rows.groupBy("key").agg(F.count("*").alias("uses"), F.countDistinct("by").alias("readers"), F.countDistinct("code").alias("codes"))
-    # names are numbered over all groups: one sort of as many rows as there are distinct names
-    order = Window.orderBy(F.col("uses").desc(), "key")
-    ranked = counts.join(forms, "key").withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(counts.agg(F.count("*").alias("all"))))
-    width = F.greatest(F.lit(3), F.length(F.col("all").cast("string")))
+    # names are numbered over all groups, ranked inside ranges of uses and first letters
+    piece = F.struct((-F.col("uses")).alias("uses"), F.left("key", F.lit(3)).alias("letters"))
+    ordered = ranked(counts.join(forms, "key"), [], [F.col("uses").desc(), F.col("key")], piece).withColumn("place", F.col("_rn") + 1)
+    width = F.greatest(F.lit(3), F.length(F.col("_n").cast("string")))
     digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(F.col("place").cast("string")))), F.col("place").cast("string"))
-    return ranked.select(F.concat(F.lit("n"), digits).alias("id"), "key", F.col("m.form").alias("name"), "uses", "readers", "codes")
+    return ordered.select(F.concat(F.lit("n"), digits).alias("id"), "key", F.col("m.form").alias("name"), "uses", "readers", "codes")
+
+
+def name_details(codings: DataFrame) -> DataFrame:
+    """``codings(name, code_type, in_vivo_in_unit)``: per name its types with their counts, most used first (``a:3,b:1``), and
+    how many of its codings quote a term that is not in the unit."""
+    rows = codings.select(name_key(F.col("name")).alias("key"), "code_type", "in_vivo_in_unit")
+    kinds = rows.groupBy("key", "code_type").agg(F.count("*").alias("n"), F.count_if(~F.col("in_vivo_in_unit")).alias("absent"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code_type")))
+    said = F.transform("types", lambda x: F.concat(x["code_type"], F.lit(":"), (-x["n"]).cast("string")))
+    return kinds.groupBy("key").agg(listed.alias("types"), F.sum("absent").alias("not_in_unit")).select("key", F.array_join(said, ",").alias("types"), "not_in_unit")
 
 
 def uses_by_reader(codings: DataFrame) -> DataFrame:
@@ -39,9 +49,9 @@ def account_names(pool: DataFrame, placed: DataFrame, left: DataFrame) -> DataFr
 def merge_lineage(codes: DataFrame, roots: DataFrame) -> DataFrame:
     """``codes(code, merges)`` and ``roots(root)``: under each root the codes that merge nothing, reached through ``merges``,
     each once. Steps are joins of a frontier; every step is written, so that lineage and loops end."""
-    spark, at = codes.sparkSession, codes.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+    spark = codes.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     edges = codes.select(F.col("code").alias("from"), F.explode("merges").alias("to")).distinct()
     seen = roots.select("root", F.col("root").alias("code")).distinct().checkpoint()
     front = seen

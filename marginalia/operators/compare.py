@@ -94,7 +94,7 @@ def pair_overlap(read: DataFrame, codings: DataFrame) -> DataFrame:
     """Per pair of lenses: units both read, each one's distinct units and codes over those, common ones, Jaccard (null
     where neither has any). Lenses are few; pairs come from joins on the unit, never of codings with codings alone."""
     lenses = read.select("lens").distinct()
-    pairs = lenses.select(F.col("lens").alias("a")).crossJoin(F.broadcast(lenses.select(F.col("lens").alias("b")))).filter("a < b")
+    pairs = lenses.select(F.col("lens").alias("a")).crossJoin(lenses.select(F.col("lens").alias("b"))).filter("a < b")
     marks = codings.select("unit", "code", F.col("by").alias("lens")).distinct()
     both = read.select("unit", F.col("lens").alias("a")).join(read.select("unit", F.col("lens").alias("b")), "unit").filter("a < b")
     units = both.groupBy("a", "b").agg(F.count("*").alias("units"))
@@ -143,7 +143,7 @@ def coded_by_all(codings: DataFrame, lenses: DataFrame) -> DataFrame:
     n = lenses.select("lens").distinct().agg(F.count("*").alias("all"))
     marks = codings.join(lenses.select(F.col("lens").alias("wanted")).distinct(), F.col("by") == F.col("wanted"), "left_semi")
     counts = marks.select("unit", "code", "by").distinct().groupBy("unit", "code").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(n)).filter(F.col("n") == F.col("all")).select("unit", "code", "n")
+    return counts.crossJoin(n).filter(F.col("n") == F.col("all")).select("unit", "code", "n")
 
 
 def posts_uncoded(read: DataFrame, codings: DataFrame) -> DataFrame:
@@ -153,8 +153,11 @@ def posts_uncoded(read: DataFrame, codings: DataFrame) -> DataFrame:
 
 def not_read_by(units: DataFrame, lenses: DataFrame, read: DataFrame) -> DataFrame:
     """Per unit the sorted lenses that have not read it; units that all have read are left out."""
-    grid = units.select("unit").crossJoin(F.broadcast(lenses.select("lens").distinct()))
-    return grid.join(read, ["unit", "lens"], "left_anti").groupBy("unit").agg(F.sort_array(F.collect_list("lens")).alias("lenses"))
+    every = lenses.agg(F.collect_set("lens").alias("every"))  # lenses are few: one row
+    have = read.join(lenses.distinct(), "lens", "left_semi").groupBy("unit").agg(F.collect_set("lens").alias("have"))
+    missing = F.when(F.col("have").isNull(), F.col("every")).otherwise(F.array_except("every", "have"))
+    out = units.select("unit").join(have, "unit", "left").crossJoin(every).select("unit", F.sort_array(missing).alias("lenses"))
+    return out.filter(F.size("lenses") > 0)
 
 
 def run_readers(activities: DataFrame, units: DataFrame, codings: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def run_readers(activities: DataFrame, units: DataFrame, codings: DataFrame) ->
     units_read = known.groupBy("lens").agg(F.count("*").alias("units_read"))
     coded = count.groupBy(F.col("by").alias("lens")).agg(F.count("*").alias("codings"))
     bare = posts_uncoded(known, count).groupBy("lens").agg(F.count("*").alias("uncoded"))
-    out = acts.join(units_read, "lens", "left").join(coded, "lens", "left").join(bare, "lens", "left").crossJoin(F.broadcast(total))
+    out = acts.join(units_read, "lens", "left").join(coded, "lens", "left").join(bare, "lens", "left").crossJoin(total)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("units_read", "codings", "uncoded")})
     return out.withColumn("complete", (F.col("total") > 0) & (F.col("units_read") == F.col("total"))).drop("total")
 
@@ -185,3 +188,35 @@ def code_names_by_reader(codings: DataFrame, k: int = 40) -> DataFrame:
     rows = codings.groupBy("by", name_key(F.col("name")).alias("name")).agg(F.count("*").alias("uses"), F.countDistinct("batch").alias("batches"))
     order = Window.partitionBy("by").orderBy(F.col("uses").desc(), "name")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def reader_memos(memos: DataFrame, activities: DataFrame) -> DataFrame:
+    """``memos(by, activity, memo_type, anchored, signed)`` that count, per lens: units that no code fits, those of them
+    without a quotation that was found, and field notes."""
+    rows = finished_records(memos, activities)
+    unfit, note = F.col("memo_type") == "unfit", F.col("memo_type") == "field_note"
+    return rows.groupBy(F.col("by").alias("lens")).agg(F.count_if(unfit).alias("unfit"), F.count_if(unfit & ~F.coalesce("anchored", F.lit(False))).alias("unfit_not_found"), F.count_if(note).alias("field_notes"))
+
+
+def reader_signatures(memos: DataFrame, activities: DataFrame) -> DataFrame:
+    """Per lens and signature (null: not signed) its field notes that count."""
+    notes = finished_records(memos.filter("memo_type = 'field_note'"), activities)
+    return notes.groupBy(F.col("by").alias("lens"), F.nullif("signed", F.lit("")).alias("signed")).agg(F.count("*").alias("notes"))
+
+
+def reader_failures(failures: DataFrame, activities: DataFrame) -> DataFrame:
+    """``failures(by, activity, reason)`` per lens and reason: those of a failed reading, whoever's, and those that count."""
+    failed = activities.filter("type = 'read' and status <> 'ok'").select(F.col("id").alias("failed"))
+    rows = failures.join(failed, F.col("activity") == F.col("failed"), "left_semi").unionByName(finished_records(failures, activities))
+    return rows.groupBy(F.col("by").alias("lens"), "reason").agg(F.count("*").alias("failures"))
+
+
+def unit_quotes(read: DataFrame, codings: DataFrame, lost: DataFrame) -> DataFrame:
+    """What unit_detail() counts, in words: per unit, code that some but not all of its readers applied, and reader: its
+    quotations with their notes, and its quotations that were not found. ``codings(unit, code, by, exact, note)``,
+    ``lost(unit, code, by, quote)``; both lists are sorted."""
+    some = _applied(read, codings).filter("n < readers").select("unit", "code")
+    said = codings.groupBy("unit", "code", F.col("by").alias("lens")).agg(F.array_sort(F.collect_list(F.struct("exact", "note"))).alias("quotes"))
+    gone = lost.groupBy("unit", "code", F.col("by").alias("lens")).agg(F.array_sort(F.collect_list("quote")).alias("lost"))
+    out = some.join(read, "unit").join(said, ["unit", "code", "lens"], "left").join(gone, ["unit", "code", "lens"], "left")
+    return out.select("unit", "code", "lens", *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("quotes", "lost")])

@@ -23,7 +23,7 @@ def cross_features(universe: DataFrame, features: DataFrame, items: DataFrame, m
     total = universe.groupBy(*by).agg(F.count("*").alias("posts"))
 
     def with_total(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(total), by) if by else df.crossJoin(F.broadcast(total))
+        return df.join(total, by) if by else df.crossJoin(total)  # one row, or one a key
 
     shown = with_total(features.groupBy(*by, "feature").agg(F.count("*").alias("with"))).filter((F.col("with") >= min_posts) & (F.col("posts") - F.col("with") >= min_posts))
     kept = items.groupBy(*by, "item").agg(F.count("*").alias("posts_and")).filter(F.col("posts_and") >= min_posts)
@@ -56,7 +56,7 @@ def features_by_day(posts: DataFrame, features: DataFrame, k: int = 6) -> DataFr
     """Posts per day for each of the k features that most posts have (tie: name)."""
     rows = features.select("post", "feature").distinct().join(posts.select("post", "day"), "post")
     best = rows.groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "feature").limit(k)
-    return rows.join(F.broadcast(best.select("feature")), "feature").groupBy("day", "feature").agg(F.count("*").alias("posts"))
+    return rows.join(best.select("feature"), "feature").groupBy("day", "feature").agg(F.count("*").alias("posts"))
 
 
 def extremes(cells: DataFrame, k: int) -> DataFrame:
@@ -79,3 +79,11 @@ def largest_pairs(cells: DataFrame, features: DataFrame, items: DataFrame, k: in
     again = Window.partitionBy("item", "pool").orderBy(F.abs("points").desc(), "feature")
     rows = one.join(pool.select("feature", "item", print_.alias("pool")), ["feature", "item"]).withColumn("again", F.row_number().over(again)).filter("again = 1")
     return rows.orderBy(F.abs("points").desc(), "feature", "item").limit(k).select("feature", "item", "points")
+
+
+def feature_days(posts: DataFrame, features: DataFrame) -> DataFrame:
+    """Per feature: posts, the first and the last day of them, the day with most (tie: earliest) and its posts."""
+    days = features.select("post", "feature").distinct().join(posts.select("post", "day"), "post").groupBy("feature", "day").agg(F.count("*").alias("n"))
+    peak = F.min(F.struct((-F.col("n")).alias("n"), "day"))
+    out = days.groupBy("feature").agg(F.sum("n").alias("posts"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), peak.alias("p"))
+    return out.select("feature", "posts", "first_day", "last_day", F.col("p.day").alias("peak_day"), (-F.col("p.n")).alias("peak_posts"))

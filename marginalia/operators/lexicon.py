@@ -38,21 +38,33 @@ def term_hits(units: DataFrame, terms: DataFrame) -> DataFrame:
 def trace_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:
     """Per term: units, occurrences, distinct signers (nulls out), pages, first and last use, busiest day and its count
     (tie: earliest), units later removed. Terms found nowhere have zeros. ``hits`` carries ``term, unit, n, time,
-    signer, page, removed``."""
-    counts = hits.groupBy("term").agg(
-        F.count("unit").alias("units"), F.sum("n").alias("occurrences"), F.countDistinct("signer").alias("signers"), F.countDistinct("page").alias("pages"),
-        F.min("time").alias("first_use"), F.max("time").alias("last_use"), F.count_if("removed").alias("later_removed"),
+    signer, page, removed``; it is read once, and counted by term, and by term with day, signer or page."""
+    rows = hits.select("term", "unit", "n", "time", "signer", "page", "removed", _day(F.col("time")).alias("day"))
+    sets = [[F.col("term")], *([F.col("term"), F.col(c)] for c in ("day", "signer", "page"))]
+    parts = rows.groupingSets(sets, "term", "day", "signer", "page").agg(
+        F.count("unit").alias("units"), F.sum("n").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.count_if("removed").alias("removed"),
+        *[F.grouping(c).alias(f"no_{c}") for c in ("day", "signer", "page")],
     )
-    peak = busiest_day(term_by_day(hits))
-    out = terms.select("term").join(counts, "term", "left").join(peak, "term", "left")
+    by = {c: F.col(f"no_{c}") == 0 for c in ("day", "signer", "page")}
+    whole = ~(by["day"] | by["signer"] | by["page"])
+    peak = F.min(F.when(by["day"], F.struct((-F.col("units")).alias("n"), F.col("day"))))
+    one = lambda c: F.max(F.when(whole, F.col(c)))
+    counts = parts.groupBy("term").agg(
+        one("units").alias("units"), one("n").alias("occurrences"), F.count_if(by["signer"] & F.col("signer").isNotNull()).alias("signers"), F.count_if(by["page"] & F.col("page").isNotNull()).alias("pages"),
+        one("first").alias("first_use"), one("last").alias("last_use"), one("removed").alias("later_removed"), peak.alias("peak"),
+    )
+    counts = counts.select("*", F.col("peak.day").alias("peak_day"), (-F.col("peak.n")).alias("peak_units")).drop("peak")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("units", "occurrences", "signers", "pages", "later_removed", "peak_units")}
-    return out.withColumns(zero)
+    return terms.select("term").join(counts, "term", "left").withColumns(zero)
+
+
+def _day(time: Column) -> Column:
+    return F.substring(F.coalesce(time, F.lit("")), 1, 10)
 
 
 def term_by_day(hits: DataFrame) -> DataFrame:
     """Units per term per day; the day of an undated unit is empty."""
-    day = F.substring(F.coalesce("time", F.lit("")), 1, 10)
-    return hits.groupBy("term", day.alias("day")).agg(F.count("unit").alias("units"))
+    return hits.groupBy("term", _day(F.col("time")).alias("day")).agg(F.count("unit").alias("units"))
 
 
 def busiest_day(by_day: DataFrame) -> DataFrame:
@@ -86,8 +98,11 @@ def adoption(hits: DataFrame, posts: DataFrame, hours: tuple[int, ...] = (1, 3,
     axis = F.explode(F.array(*map(F.lit, hours))).alias("hours")
     rows = took.join(first, "term").select("term", gap.alias("gap"), axis)
     adopters = rows.groupBy("term", "hours").agg(F.count_if(F.col("gap") <= F.col("hours")).alias("adopters"))
-    # the longest span only is joined by range; shorter ones are counted inside it
-    near = posts.join(F.broadcast(first), (F.col("ts") >= F.col("first")) & (micros("ts") <= micros("first") + max(hours) * 3_600_000_000))
+    # the longest span only is joined, by the days it touches; shorter ones are counted inside it
+    days = F.sequence(F.to_date("first"), F.to_date(F.timestamp_micros(micros("first") + max(hours) * 3_600_000_000)))
+    spans = first.select("term", "first", F.explode(days).alias("day"))
+    inside = (F.col("ts") >= F.col("first")) & (micros("ts") <= micros("first") + max(hours) * 3_600_000_000)
+    near = posts.withColumn("day", F.to_date("ts")).join(spans, "day").filter(inside)
     near = near.groupBy("term", "signer").agg(F.min((micros("ts") - micros("first")) / 3.6e9).alias("gap"))
     posting = near.select("term", "gap", axis).groupBy("term", "hours").agg(F.count_if(F.col("gap") <= F.col("hours")).alias("posting"))
     return adopters.join(posting, ["term", "hours"], "left").select("term", "hours", "adopters", F.coalesce("posting", F.lit(0)).cast("long").alias("posting"))
@@ -112,21 +127,37 @@ def top(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
 
 
+def ranked(rows: DataFrame, by: list, order: list, coarse: Column | None = None) -> DataFrame:
+    """``_rn``, a row's place in its group from 0, and ``_n``, the group's size. ``coarse``, a coarser form of the first
+    column of the order (an hour of a time, a prefix of a name), deals a group over many tasks: rows are ranked inside
+    its ranges, and ranges are offset by the counts before them."""
+    piece = F.lit(0) if coarse is None else coarse
+    rows = rows.withColumn("_piece", piece)
+    counts = rows.groupBy(*by, "_piece").agg(F.count("*").alias("_size"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sofar = F.coalesce(F.sum("_size").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(*by, "_piece", sofar.alias("_before"), F.sum("_size").over(whole).alias("_n"))  # a row for each range
+    placed = rows.join(before.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_piece"]}), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_piece"]])
+    rank = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)) - 1 + F.col("_before")
+    return placed.withColumn("_rn", rank).drop("_piece", "_before", *(f"_of_{c}" for c in [*by, "_piece"]))
+
+
 def concordance(units: DataFrame, pattern: str, width: int = 60) -> DataFrame:
-    """Every use of a pattern with the text on either side, numbered in order of time, unit and position: ``n, unit,
-    time, left, said, right`` and the unit's other columns."""
+    """Every use of a pattern with the text on either side, numbered in order of time, unit and position: ``n, use, left,
+    said, right`` and the unit's other columns. Uses are ranked inside hours, so that no task sorts them all."""
     others = [c for c in units.columns if c != "text"]
     rows = units.select(*others, "text", F.posexplode(find_matches(F.col("text"), pattern)).alias("i", "m"))
     low = F.greatest(F.col("m.start") - width, F.lit(0))
     left = collapse_ws(F.substring(F.col("text"), low + 1, F.col("m.start") - low))
     right = collapse_ws(F.substring(F.col("text"), F.col("m.end") + 1, F.lit(width)))
-    return rows.select(*others, F.col("i").alias("use"), left.alias("left"), F.col("m.said").alias("said"), right.alias("right"))
+    found = rows.select(*others, F.col("i").alias("use"), left.alias("left"), F.col("m.said").alias("said"), right.alias("right"))
+    time = F.coalesce("time", F.lit(""))
+    return ranked(found, [], [time, F.col("unit"), F.col("use")], F.substring(time, 1, 13)).withColumn("n", F.col("_rn") + 1).drop("_rn", "_n")
 
 
-def thin(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
+def thin(rows: DataFrame, by: list, order: list, k: int, coarse: Column | None = None) -> DataFrame:
     """At most k rows of each group, evenly spaced with the first and last kept; positions are rounded half to even."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    placed = ranked(rows, by, order, coarse)
     # row r is shown when some i in 0..k-1 has round(i * (n-1) / (k-1)) = r
     step = (F.col("_n") - 1) / F.lit(max(k - 1, 1))
     i = F.round(F.col("_rn") / step).cast("int")
@@ -135,10 +166,9 @@ def thin(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
     return placed.filter((F.col("_n") <= k) | hit).drop("_rn", "_n")
 
 
-def spread_examples(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
+def spread_examples(rows: DataFrame, by: list, order: list, k: int, coarse: Column | None = None) -> DataFrame:
     """At most k rows of each group, evenly spaced by integer position from the first to the last."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    placed = ranked(rows, by, order, coarse)
     # floor(i * (n-1) / (k-1)) = r for i = ceil(r * (k-1) / (n-1))
     gap = F.greatest(F.col("_n") - 1, F.lit(1))
     i = F.ceil(F.col("_rn") * (k - 1) / gap)
@@ -177,3 +207,13 @@ def longer_words(units: DataFrame, stem: str, k: int = 8) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(rf"[a-z]*\Q{stem.lower()}\E[a-z]*"), F.lit(0))
     rows = units.select(F.explode(words).alias("word")).filter(F.col("word") != stem.lower())
     return rows.groupBy("word").agg(F.count("*").alias("uses")).orderBy(F.col("uses").desc(), "word").limit(k)
+
+
+def loose_words(units: DataFrame, stem: str, k: int = 8) -> DataFrame:
+    """``word, uses``: the k most frequent words that hold a stem in any case, as written in ``text``; a word of the unit's
+    ``names`` counts once a unit and is marked as such. Ties by the word."""
+    pattern = F.lit(rf"(?i)[A-Za-z]*\Q{stem}\E[A-Za-z]*")
+    said = F.regexp_extract_all(F.coalesce("text", F.lit("")), pattern, F.lit(0))
+    named = F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce("names", F.lit("")), pattern, F.lit(0))), lambda w: F.concat(w, F.lit(" (in a name)")))
+    rows = units.select(F.explode(F.concat(said, named)).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("uses")).orderBy(F.col("uses").desc(), "word").limit(k)

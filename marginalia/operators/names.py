@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import DATE_CODE, PART, date_codes, date_of, kinds_of, name_parts
+from ..functions.names import DATE_CODE, date_codes, date_of, kinds_of, name_features, name_parts
 
 #: Words of the first person, clock words beside a date code.
 SINGULAR = r"(?<![A-Za-z])(I|[Mm]y|[Mm]e)(?![A-Za-z])"
 PLURAL = r"(?<![A-Za-z])([Ww]e|[Oo]ur|[Uu]s)(?![A-Za-z])"
+TOKEN = r"[A-Za-z0-9_]+"
 
 
 def first_saved(saves: DataFrame) -> DataFrame:
@@ -43,12 +47,34 @@ def signed_as_another(posts: DataFrame) -> DataFrame:
 def mentions(posts: DataFrame, names: DataFrame, least: int = 8) -> DataFrame:
     """``posts(post, body, signature)`` and ``names(name)`` to distinct ``post, name`` where the body uses a known name of
     ``least`` or more characters that is not the post's own signature. Names of letters, digits and underscores are
-    whole tokens, so this is a join on tokens."""
-    known = names.filter((F.length("name") >= least) & F.col("name").rlike(r"^[A-Za-z0-9_]+\z")).select(F.col("name")).distinct()
-    tokens = F.array_distinct(F.regexp_extract_all("body", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
-    long = F.filter(tokens, lambda t: F.length(t) >= least)
-    words = posts.select("post", "signature", F.explode(long).alias("token"))
-    return words.join(known, F.col("token") == F.col("name")).filter(~F.col("name").eqNullSafe(F.col("signature"))).select("post", "name")
+    whole tokens, so this is a join on tokens. A name with other characters joins on its longest token; posts that hold
+    one are searched for all their names at once, the longest first, so that no name counts inside a longer one."""
+    known = names.filter(F.length("name") >= least).select("name").distinct()
+    plain = F.col("name").rlike(rf"^{TOKEN}\z")
+    tokens = F.array_distinct(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)))
+    words = posts.select("post", F.explode(tokens).alias("token"))
+    found = words.filter(F.length("token") >= least).join(known.filter(plain), F.col("token") == F.col("name")).select("post", "name")
+    odd = known.filter(~plain)
+    if not odd.isEmpty():
+        own = F.regexp_extract_all("name", F.lit(TOKEN), F.lit(0))
+        anchor = F.aggregate(own, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+        with_blank = posts.select("post", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))  # the blank is for names without any token
+        near = with_blank.join(odd.withColumn("anchor", anchor), F.col("token") == F.col("anchor")).select("post", "name")
+        near = near.join(posts.select("post", "body"), "post").filter(F.contains("body", "name")).select("post", "name")
+        asked = near.select("post").distinct()
+        several = found.join(asked, "post", "left_semi").unionByName(near).groupBy("post").agg(F.collect_set("name").alias("names"))
+        said = F.pandas_udf(_said, "array<string>")
+        searched = posts.join(several, "post").select("post", F.explode(said("body", "names")).alias("name"))
+        found = found.join(asked, "post", "left_anti").unionByName(searched)
+    return found.join(posts.select("post", "signature"), "post").filter(~F.col("name").eqNullSafe(F.col("signature"))).select("post", "name")
+
+
+def _said(bodies: pd.Series, names: pd.Series) -> pd.Series:
+    def one(body: str, some: list[str]) -> list[str]:
+        longest = "|".join(sorted(map(re.escape, some), key=len, reverse=True))
+        return list(dict.fromkeys(re.findall(rf"(?<![A-Za-z0-9_])(?:{longest})(?![A-Za-z0-9_])", body)))
+
+    return pd.Series([one(b, list(n)) for b, n in zip(bodies, names, strict=True)])
 
 
 def dated_posts(posts: DataFrame) -> DataFrame:
@@ -116,3 +142,14 @@ def busiest_names(saves: DataFrame, k: int = 40) -> DataFrame:
 
 def top_parts(saves: DataFrame, k: int = 70) -> DataFrame:
     return name_parts_usage(saves).orderBy(F.col("names").desc(), "part").limit(k)
+
+
+def signature_parts(posts: DataFrame, k: int = 3) -> DataFrame:
+    """``kind, part, posts, place``: the k parts of each kind (role, institution, date) that most signatures carry; ties by
+    the part."""
+    kinds = F.filter(name_features(F.col("signature")), lambda x: x.rlike("^(role|institution):"))
+    dated = F.array_compact(F.array(F.concat(F.lit("date:"), date_of(F.col("signature")))))
+    rows = posts.filter("signature is not null").select(F.explode(F.concat(kinds, dated)).alias("x"))
+    counts = rows.groupBy(F.split_part("x", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("x", F.lit(":"), F.lit(2)).alias("part")).agg(F.count("*").alias("posts"))
+    order = Window.partitionBy("kind").orderBy(F.col("posts").desc(), "part")
+    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from .lexicon import ranked
 
 
 def merge_passages(entries: DataFrame) -> DataFrame:
@@ -28,14 +29,17 @@ def passages(merged: DataFrame) -> DataFrame:
     return rows.select("passage.unit", "passage.source", "start", "end", "tier", "entries", "first_entry")
 
 
-def number_passages(rows: DataFrame) -> DataFrame:
+def number_passages(rows: DataFrame, hourly: bool = True) -> DataFrame:
     """``number`` such as ``2.014``: within a tier by first seen, page, unit, found before not found, start, first entry;
-    at least three digits."""
-    order = Window.partitionBy("tier").orderBy(F.coalesce("first_seen", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("unit").cast("string"), F.col("start").isNull(), F.coalesce("start", F.lit(0)), "first_entry")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("tier")))
-    width = F.greatest(F.lit(3), F.length(F.col("of").cast("string")))
+    at least three digits. Tiers are few, so passages are ranked inside ranges of the order; ``hourly`` says that times no
+    longer than an hour's form are all of one length, so that an hour is a range."""
+    seen, page, unit = F.coalesce("first_seen", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("unit").cast("string")
+    order = [seen, page, unit, F.col("start").isNull(), F.coalesce("start", F.lit(0)), F.col("first_entry")]
+    piece = F.struct(F.substring(seen, 1, 13).alias("hour"), page.alias("page"), F.left(unit, F.lit(2)).alias("unit")) if hourly else None
+    rows = ranked(rows, ["tier"], order, piece).withColumn("place", F.col("_rn") + 1)
+    width = F.greatest(F.lit(3), F.length(F.col("_n").cast("string")))
     digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(F.col("place").cast("string")))), F.col("place").cast("string"))
-    return rows.withColumn("number", F.concat(F.col("tier").cast("string"), F.lit("."), digits)).drop("place", "of")
+    return rows.withColumn("number", F.concat(F.col("tier").cast("string"), F.lit("."), digits)).drop("place", "_rn", "_n")
 
 
 def passages_by_day(rows: DataFrame) -> DataFrame:
@@ -82,3 +86,18 @@ def top_names(unfit: DataFrame, k: int = 15) -> DataFrame:
     rows = unfit.select("family", fold(F.coalesce("suggested_name", F.lit(""))).alias("name")).filter("name <> ''")
     counts = rows.groupBy("family", "name").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy(F.col("n").desc(), "name"))).filter(F.col("place") <= k)
+
+
+def wordings_by_family(marks: DataFrame) -> DataFrame:
+    """``exact, family, units``: in how many distinct units each family marked a wording."""
+    return marks.groupBy("exact", "family").agg(F.countDistinct("unit").alias("units"))
+
+
+def entries_by_day(entries: DataFrame, read: DataFrame, units: DataFrame) -> DataFrame:
+    """``entries(day, lens)``, ``read(unit, lens)`` and ``units(unit, day)``: per day and lens the entries it made on the day's
+    units and how many of those units it had read; rows of day ``all`` for the totals."""
+    made = entries.groupBy("day", "lens").agg(F.count("*").alias("entries"))
+    had = read.select("unit", "lens").distinct().join(units.select("unit", "day"), "unit").groupBy("day", "lens").agg(F.count("*").alias("units_read"))
+    by = made.join(had, ["day", "lens"], "full").select("day", "lens", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "units_read")])
+    whole = by.groupBy("lens").agg(F.sum("entries").alias("entries"), F.sum("units_read").alias("units_read")).withColumn("day", F.lit("all"))
+    return by.unionByName(whole)

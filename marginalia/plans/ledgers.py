@@ -64,22 +64,26 @@ def a34(spark, sf):
 
 
 def _answers(spark, sf):
-    e = table(spark, sf, "events").filter("user_id < 6 and event_id < 400")
-    return e.select((F.col("event_id") % 20).alias("round"), (F.col("user_id") % 3).alias("seat"), F.col("event_id").cast("string").alias("activity"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+    """Fifty events are a round, so that rounds grow with the table; of the three seats some answer several times, some not
+    at all."""
+    e = table(spark, sf, "events")
+    return e.select(F.floor(F.col("event_id") / 50).alias("round"), (F.col("user_id") % 3).alias("seat"), F.col("event_id").cast("string").alias("activity"), F.when((F.col("event_type") == "error") | (F.col("event_id") % 17 > 0), "failed").otherwise("ok").alias("status"))
+
+
+ROUNDS = """, r AS (SELECT event_id // 50 AS round, user_id % 3 AS seat, CAST(event_id AS VARCHAR) AS activity, event_type <> 'error' AND event_id % 17 = 0 AS ok FROM events), n AS (SELECT round, seat, count(*) AS n, min(activity) AS activity FROM r WHERE ok GROUP BY ALL)"""
 
 
-@PLANS.query("a36_round_status", """, a AS (SELECT event_id % 20 AS round, user_id % 3 AS seat FROM events WHERE user_id < 6 AND event_id < 400 AND event_type <> 'error')
-SELECT round, CAST(sum(n) AS BIGINT) AS answers, CAST(3 AS BIGINT) AS seats, sum(n) = 3 AND count(*) FILTER (n = 1) = 3 AS complete FROM (SELECT round, seat, count(*) AS n FROM a GROUP BY ALL) GROUP BY round""")
+@PLANS.query("a36_round_status", ROUNDS + """ SELECT round, CAST(sum(n) AS BIGINT) AS answers, CAST(3 AS BIGINT) AS seats, sum(n) = 3 AND count(*) FILTER (n = 1) = 3 AS complete FROM n GROUP BY round""")
 def a36(spark, sf):
     seats = table(spark, sf, "events").select((F.col("user_id") % 3).alias("seat")).distinct()
     return B.round_status(_answers(spark, sf), seats)
 
 
-@PLANS.query("j17_round_answers", """, a AS (SELECT event_id % 2000 AS round, user_id % 1 AS seat, min(event_id) AS activity FROM events WHERE event_type <> 'error' GROUP BY ALL HAVING count(*) = 1) SELECT round, seat, CAST(activity AS VARCHAR) AS activity FROM a""")
+@PLANS.query("j17_round_answers", ROUNDS + """ SELECT g.round, s.seat, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN activity END AS activity, CASE WHEN n IS NULL THEN 'no finished answer' WHEN n > 1 THEN 'several finished answers' END AS problem
+FROM (SELECT DISTINCT round FROM r) g, (SELECT DISTINCT seat FROM r) s LEFT JOIN n ON n.round = g.round AND n.seat = s.seat""")
 def j17(spark, sf):
-    e = table(spark, sf, "events").filter("event_type <> 'error'").select((F.col("event_id") % 2000).alias("round"), (F.col("user_id") % 1).alias("seat"), F.col("event_id").cast("string").alias("activity"), F.lit("ok").alias("status"))
-    once = e.groupBy("round").agg(F.count("*").alias("n")).filter("n = 1")
-    return B.round_answers(e.join(once, "round", "left_semi"), e.select("seat").distinct())
+    answers = _answers(spark, sf)
+    return B.refused_rounds(answers, answers.select("seat").distinct())
 
 
 @PLANS.query("u5_later_round_threads", """, m AS (SELECT conv_id, turn, role FROM conversations) SELECT DISTINCT thread FROM threaded WHERE thread IN (SELECT 't' || lpad(CAST(conv_id % 900 + 1 AS VARCHAR), 3, '0') FROM m WHERE conv_id % 4 = 1 UNION ALL SELECT 't' || lpad(CAST(turn * 7 + 1 AS VARCHAR), 3, '0') FROM m WHERE conv_id % 4 = 2)""")

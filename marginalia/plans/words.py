@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
-from ..sources.terms import terms_of
+from ..sources.terms import terms_of, terms_table
 from .tables import Plans, table
 
 TERMS = """# small words
@@ -51,10 +51,15 @@ def uses(spark, sf):
     return e.select(F.col("event_type").alias("term"), F.col("user_id").alias("signer"), "ts", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"))
 
 
-@PLANS.query("s8_terms_table", "SELECT term, heading FROM (VALUES ('the','small words'),('THE','small words'),('not','small words'),('of the','small words'),('and','given'),('zzyzx','given'),('the (2)','given')) t(term, heading) WHERE EXISTS (SELECT 1 FROM documents)")
+@PLANS.query("s8_terms_table", """, l AS (SELECT p_partkey // 25 AS list, p_partkey, p_name, p_partkey % 25 AS line FROM part), t AS (SELECT list, p_partkey, CASE WHEN line % 5 = 3 THEN 'same' ELSE p_name END AS label FROM l WHERE line NOT IN (0, 10)),
+n AS (SELECT *, row_number() OVER (PARTITION BY list, label ORDER BY p_partkey) AS again FROM t)
+SELECT list, p_partkey AS ord, label || CASE WHEN again > 1 THEN ' (' || again || ')' ELSE '' END AS term, (SELECT max_by(p_name, p_partkey) FROM l WHERE l.list = n.list AND l.p_partkey < n.p_partkey AND line IN (0, 10)) AS heading FROM n""")
 def s8(spark, sf):
-    some = table(spark, sf, "documents").select("doc_id").limit(1)
-    return terms_of(spark, TERMS).select("term", "heading").join(some.select(F.lit(1).alias("x")), how="cross").select("term", "heading")
+    """Twenty-five parts are the lines of a list: two of them headings, some of one label, the others plain."""
+    at = F.col("p_partkey") % 25
+    line = F.when(at.isin(0, 10), F.concat(F.lit("# "), "p_name")).when(at % 5 == 3, F.concat(F.lit("same = "), "p_name")).otherwise(F.col("p_name"))
+    lines = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 25).alias("list"), F.col("p_partkey").alias("ord"), line.alias("line"))
+    return terms_table(lines, ["list"]).select("list", "ord", "term", "heading")
 
 
 @PLANS.query("j9_term_hits", "SELECT unit, term, n FROM hits")

@@ -10,14 +10,15 @@ from ..functions.text import PYWS
 EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 
 
-def terms_table(lines: DataFrame) -> DataFrame:
-    """``lines(ord, line)`` to ``term, pattern, ord, heading``.
+def terms_table(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``lines(ord, line)`` to ``term, pattern, ord, heading``; ``by`` names the columns that tell several lists apart.
 
     A plain term matches as a whole word or phrase, with any run of white space, hyphens or underscores between its
     words; written in capitals it matches capitals only. ``#`` starts a comment; a comment directly above a term
     is the heading of that term and of those after it. A label that comes again becomes ``x (2)``.
     """
-    order = Window.orderBy("ord")
+    by = by or []
+    order = Window.partitionBy(*by, F.lit(0)).orderBy("ord")  # a list is written by hand
     bare = F.trim(F.regexp_replace(F.split_part("line", F.lit("#"), F.lit(1)), rf"^{PYWS}+|{PYWS}+\z", ""))
     rows = lines.withColumn("bare", bare).withColumn("is_term", F.col("bare") != "")
     comment = F.trim(F.regexp_replace(F.trim("line"), "^#+", ""))
@@ -31,10 +32,10 @@ def terms_table(lines: DataFrame) -> DataFrame:
     body = F.concat(F.lit(EDGE_LEFT), F.array_join(words, rf"(?:{PYWS}|[-_])+"), F.lit(EDGE_RIGHT))
     shouted = (F.upper("bare") == F.col("bare")) & F.col("bare").rlike(r"\p{L}")
     pattern = F.when(custom, given).when(shouted, body).otherwise(F.concat(F.lit("(?iu)"), body))
-    rows = rows.select(label.alias("label"), pattern.alias("pattern"), "ord", "heading")
-    again = F.row_number().over(Window.partitionBy("label").orderBy("ord"))
+    rows = rows.select(*by, label.alias("label"), pattern.alias("pattern"), "ord", "heading")
+    again = F.row_number().over(Window.partitionBy(*by, "label").orderBy("ord"))
     term = F.when(again > 1, F.concat("label", F.lit(" ("), again.cast("string"), F.lit(")"))).otherwise(F.col("label"))
-    return rows.select(term.alias("term"), "pattern", "ord", "heading")
+    return rows.select(*by, term.alias("term"), "pattern", "ord", "heading")
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
