@@ -164,15 +164,18 @@ def recount_passages(entries: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     placed = entries.filter("start is not null and end is not null")
-    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))
+    event = lambda at, step: F.struct(F.col(at).alias("at"), F.lit(step).alias("step"))
+    ends = F.when(F.col("start") == F.col("end"), F.array(event("start", 0))).otherwise(F.array(event("start", 1), event("end", -1)))
     along = Window.partitionBy("unit", "source").orderBy("at", "step")  # at one place spans end before others begin
     swept = placed.select("unit", "source", F.explode(ends).alias("e")).select("unit", "source", "e.*")
     swept = swept.withColumn("open", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    swept = swept.withColumn("begins", (F.col("open") == 1) & (F.col("step") == 1))
+    # an empty span that no other one covers is a passage of its own
+    swept = swept.withColumn("begins", ((F.col("open") == 1) & (F.col("step") == 1)) | ((F.col("open") == 0) & (F.col("step") == 0)))
     swept = swept.withColumn("since", F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     whole = swept.agg(F.count_if("begins").alias("in_spans"), F.max(F.col("at") - F.col("since")).alias("longest"))
-    base = entries.agg(F.count("*").alias("entries"), F.countDistinct("unit").alias("units"), F.countDistinct("family").alias("families"), F.count_if(F.col("start").isNull() | F.col("end").isNull()).alias("without"))
-    names = {"entries": "entries", "units": "units", "families": "families", "entries without a span": "without", "passages": F.col("without") + F.col("in_spans"), "longest passage": F.coalesce("longest", F.lit(0))}
+    lone = F.col("start").isNull() | F.col("end").isNull()
+    base = entries.agg(F.count("*").alias("entries"), F.countDistinct("unit").alias("units"), F.countDistinct("family").alias("families"), F.count_if(lone).alias("without"), F.countDistinct(F.when(lone, F.struct("unit", "source", "id"))).alias("alone"))
+    names = {"entries": "entries", "units": "units", "families": "families", "entries without a span": "without", "passages": F.col("alone") + F.col("in_spans"), "longest passage": F.coalesce("longest", F.lit(0))}
     rows = [F.struct(F.lit(k).alias("name"), (F.col(v) if isinstance(v, str) else v).cast("long").alias("value")) for k, v in names.items()]
     return base.crossJoin(whole).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

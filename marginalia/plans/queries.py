@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import details, ledgers, named, readers, revisions, spans, words
+from . import details, ledgers, named, readers, revisions, spans, streams, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (words, named, readers, spans, revisions, ledgers, details):
+for _module in (words, named, readers, spans, revisions, ledgers, details, streams):
     QUERIES |= _module.PLANS.queries
     SQL |= _module.PLANS.sql

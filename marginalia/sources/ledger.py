@@ -12,7 +12,7 @@ from ..functions.ids import CONTENT_ADDRESSED
 ENVELOPE = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "v", "at", "by", "activity")])
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, seq, value``: non-blank lines split at ``\\n`` only, numbered so that the order of the ledger is kept."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     return lines.filter(F.trim("value") != "").select("path", F.struct("path", "block", "n").alias("seq"), "value")
@@ -22,7 +22,7 @@ def parsed(lines: DataFrame, schema: T.StructType = ENVELOPE) -> DataFrame:
     """Lines with ``record`` (null where a line is not JSON of an object) and ``last`` (the file's last line)."""
     ok = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
     ends = lines.groupBy("path").agg(F.max("seq").alias("end")).withColumnRenamed("path", "of")
-    rows = lines.join(F.broadcast(ends), F.col("path") == F.col("of")).withColumn("last", F.col("seq") == F.col("end"))
+    rows = lines.join(ends, F.col("path") == F.col("of")).withColumn("last", F.col("seq") == F.col("end"))
     return rows.select("path", "seq", "value", "last", F.when(ok, F.from_json("value", schema)).alias("record"))
 
 

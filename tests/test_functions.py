@@ -14,9 +14,9 @@ def column(spark, values, make, kind="string"):
 
 
 def test_lines(spark):
-    lines = ["= Title =", "* [https://example.org x]", "https://example.org/d.json", "[[SomePage]]", "Will relay. -- Nov07Runner", "* Will relay. -- Nov07Runner", "* [https://example.org x] -- Nov07Runner", "plain words", "ask -- Name_1 ?\u3000", "-- Ab"]
+    lines = ["= Title =", "* [https://example.org x]", "https://example.org/d.json", "[[SomePage]]", "More soon. -- Oct21Keeper", "* More soon. -- Oct21Keeper", "* [https://example.org x] -- Oct21Keeper", "plain words", "ask -- Name_1 ?\u3000", "-- Ab"]
     assert column(spark, lines, T.classify_line) == ["heading", "list", "list", "list", "signed", "signed", "list", "plain", "signed", "plain"]
-    assert column(spark, lines[4:5] + lines[8:], T.signature_of) == ["Nov07Runner", "Name_1", None]
+    assert column(spark, lines[4:5] + lines[8:], T.signature_of) == ["Oct21Keeper", "Name_1", None]
     assert column(spark, lines[4:5] + lines[8:9], T.signature_uncertain) == [False, True]
 
 
@@ -29,8 +29,8 @@ def test_strip_signature(spark):
     rows = spark.createDataFrame([("body text -- A.b ?", "A.b"), ("no end -- X here", "X"), ("t -- Q\\E", "Q\\E"), ("kept", None)], "t string, s string")
     out = [r.x for r in rows.select(T.strip_signature(F.col("t"), F.col("s")).alias("x")).collect()]
     assert out == ["body text ", "no end -- X here", "t ", "kept"]
-    rows = spark.createDataFrame([("words -- Bob", "Bob"), ("words", "Bob")], "t string, s string")
-    assert [r.x for r in rows.select(T.body_of(F.col("t"), F.col("s")).alias("x")).collect()] == ["words", "words"]
+    rows = spark.createDataFrame([("a line -- Cy", "Cy"), ("a line", "Cy")], "t string, s string")
+    assert [r.x for r in rows.select(T.body_of(F.col("t"), F.col("s")).alias("x")).collect()] == ["a line", "a line"]
 
 
 def test_days(spark):
@@ -47,9 +47,9 @@ def test_matches_and_snippets(spark):
 
 
 def test_names(spark):
-    names = ["BlueScoutAug08", "OpenAIAug8Watcher", "SectorAgentMarTen", "AgentMassPointer13", "ResearchAgentMay", "XJan021781880284", "OurTeam", "AugustThirty", "Feb0"]
+    names = ["BlueScoutAug08", "OpenAIAug8Watcher", "RiverScoutAprSix", "BotLongTable22", "ProbeHelperJune", "QFeb031999021455", "OurTeam", "AugustThirty", "Feb0"]
     assert column(spark, names[:1], N.name_parts) == [["Blue", "Scout", "Aug", "08"]]
-    assert column(spark, names, N.date_of) == ["Aug8", "Aug8", "Mar10", None, None, "Jan2", None, "Aug30", None]
+    assert column(spark, names, N.date_of) == ["Aug8", "Aug8", "Apr6", None, None, "Feb3", None, "Aug30", None]
     assert column(spark, names[:4] + names[6:7], N.kinds_of) == [["role", "date"], ["institution", "role", "date"], ["role", "date"], ["role"], ["collective"]]
     assert column(spark, ["OurScoutMay2"], lambda c: N.name_features(c, ("May", "Scout"))) == [["role", "role:Scout", "collective", "collective:Our", "date", "part:Scout", "part:May"]]
     assert column(spark, ["on Aug 8, August 08 and xAug9; Sept 300"], N.date_codes) == [["Aug8"]]
@@ -70,8 +70,8 @@ def test_ids(spark):
 
 
 def test_quotations(spark):
-    texts = ['He wrote "answered with 3s spare" there.', "He wrote ‘answered with 3s spare’ there.", "I don't think the writers' own words say so", "It says 'don't post until the twin is ready' twice.", '"short" then many words between "tiny"', "'the second of the two' after \"the first of the two\" and 'the second of the two'", None]
-    want = [["answered with 3s spare"], ["answered with 3s spare"], [], ["don't post until the twin is ready"], [], ["the second of the two", "the first of the two"], []]
+    texts = ['One line was "the kettle boiled over" again.', "One line was ‘the kettle boiled over’ again.", "It isn't what the cooks' own notes tell", "They ask 'don't open it before the bell rings' of all.", '"brief" and a long way on "small"', "'a lid without a pot' before \"a pot without a lid\" and 'a lid without a pot'", None]
+    want = [["the kettle boiled over"], ["the kettle boiled over"], [], ["don't open it before the bell rings"], [], ["a lid without a pot", "a pot without a lid"], []]
     assert column(spark, texts, An.quotations) == want
     assert column(spark, texts[1:2], lambda c: An.quotations(c, single=False)) == [[]]
 
@@ -79,8 +79,33 @@ def test_quotations(spark):
 def test_answers(spark):
     raw = ['{"a": 1}', '\ufeff {"a": 1}\n', 'See:\n```json\n{"a": [1]}\n```\nDone.', 'The answer is {"a": 1}.', '```\n{"a": 1}\n```\n```\n{"a": 2}\n```', '{"a": NaN}', '{"a": 1, "a": 2}', "[1]", None]
     out = column(spark, raw, An.parse_answer)
-    assert [x is not None for x in out] == [True, True, True, False, False, False, False, False, False]
+    assert [x is not None for x in out] == [True, True, True, False, False, False, True, False, False]
+    raw = ['```JSON lines\n{"a": 1}```', '```{"a": 1}```', '  \n']
+    assert column(spark, raw, An.parse_answer) == ['{"a": 1}', None, None]
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "array", "maxItems": 1, "items": {"type": "string", "minLength": 2}}, "b": {"enum": ["x"]}}}
     texts = ['{"a": ["ok"]}', '{"a": ["o", "ok"]}', '{"b": "y", "c": 1}', '{"a": 1}', None]
     want = [[], ["$.a: more than 1 items", "$.a[0]: shorter than 2"], ["$.a: missing", "$.b: not one of the allowed values", "$.c: not expected"], ["$.a: expected array"], ["$: not a JSON object"]]
     assert column(spark, texts, lambda c: An.validate_answer(c, schema)) == want
+
+
+def test_schemas_in_full():
+    whole = {"type": "integer"}
+    assert [An.problems(x, whole) == [] for x in (3, 3.0, 3.5, True, "3")] == [True, True, False, False, False]
+    assert An.problems([1], {"items": False}) == ["$[0]: not allowed"] and An.problems({"x": 1}, {"additionalProperties": {"type": "string"}}) == ["$.x: expected string"]
+    assert [An.problems(x, {"enum": [1, [0]]}) == [] for x in (1, 1.0, True, [0], [False])] == [True, True, False, True, False]
+    wrong = {"type": "text", "pattern": "a", "minItems": -1, "required": "a", "items": {"anyOf": []}, "properties": {"p": 3}, "title": "t"}
+    assert An.schema_problems(wrong) == ["schema.pattern: constraint not supported", "schema.type: unknown type text", "schema.required: wrong shape", "schema.minItems: not a count", "schema.items.anyOf: constraint not supported", "schema.properties.p: neither an object nor true or false"]
+
+
+def test_snippet_between_words(spark):
+    text = "one two three four five six seven eight nine ten"
+    cut = lambda at, end, width: column(spark, [text], lambda c: T.snippet_words(c, F.lit(at), F.lit(end), width))[0]
+    assert cut(19, 23, 14) == "four five six" and cut(0, 3, 9) == "one two" and cut(45, 48, 11) == "nine ten" and cut(19, 23, 400) == text and cut(8, 23, 4) == "three four five"
+
+
+def test_identity(spark):
+    from marginalia.functions.ids import identity_of
+
+    rows = spark.createDataFrame([("code", '{"b": 1, "a": 2}'), ("coding", "{}"), ("lens", "{")], "kind string, body string")
+    got = [r.x for r in rows.select(identity_of(F.col("kind"), F.col("body")).alias("x")).collect()]
+    assert got[0].startswith("code:") and len(got[0]) == 25 and got[1:] == [None, None]
