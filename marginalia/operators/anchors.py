@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_at, collapse_ws, find_matches
+from ..functions.text import PYWS, byte_at, collapse_ws, find_matches, quoted
 
 CONTEXT = 32
 
@@ -20,40 +16,37 @@ def resolve_quotes(quotes: DataFrame, units: DataFrame) -> DataFrame:
 
     The first exact occurrence counts; where there is none, the first one that differs in white space only
     (``ws-normalized``), and then ``exact`` holds the source's own words. Quotations found neither way, or blank, have
-    nulls. The second search runs on rows where the first found nothing."""
-    rows = quotes.filter(collapse_ws(F.col("quote")) != "").join(units.select("unit", "text", F.col("start").alias("base")), "unit")
-    at = F.expr("instr(text, quote)")
-    rows = rows.withColumn("at", at)
-    start = byte_at(F.col("text"), F.col("at") - 1)
-    count = F.expr(r"regexp_count(text, concat('(?=', concat('\\Q', replace(quote, '\\E', '\\E\\\\E\\Q'), '\\E'), ')'))")
-    exact = rows.filter("at > 0").select("quote_id", "unit", (F.col("base") + start).alias("start"), (F.col("base") + start + F.octet_length("quote")).alias("end"), F.col("quote").alias("exact"), F.lit("exact").alias("match"), count.cast("long").alias("occurrences"))
-    loose = rows.filter("at = 0").select("quote_id", "unit", "quote", "text", "base").mapInPandas(_loose, "quote_id long, unit long, start long, end long, exact string, match string, occurrences long")
-    none = quotes.filter(collapse_ws(F.coalesce("quote", F.lit(""))) == "").select("quote_id", "unit", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("exact", "string"), ("match", "string"), ("occurrences", "long"))])
-    return exact.unionByName(loose).unionByName(none)
-
-
-def _loose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["quote_id", "unit", "start", "end", "exact", "match", "occurrences"]
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            pattern = r"\s+".join(map(re.escape, row.quote.split()))
-            found = re.search(pattern, row.text)
-            if not found:
-                out.append((row.quote_id, row.unit, None, None, None, None, None))
-                continue
-            n = sum(1 for _ in re.finditer(f"(?={pattern})", " ".join(row.text.split())))
-            start = row.base + len(row.text[: found.start()].encode())
-            out.append((row.quote_id, row.unit, start, start + len(found[0].encode()), found[0], "ws-normalized", n))
-        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("start", "end", "occurrences")})
+    nulls. One pass: the pattern of the second search is only made and tried where the first found nothing."""
+    rows = quotes.join(units.select("unit", "text", F.col("start").alias("base")), "unit", "left")
+    rows = rows.withColumn("words", F.filter(F.split("quote", PYWS + "+"), lambda w: w != ""))
+    blank = F.coalesce(F.size("words"), F.lit(0)) <= 0
+    rows = rows.filter(blank | F.col("text").isNotNull()).withColumn("at", F.when(~blank, F.expr("instr(text, quote)")))
+    loose = F.array_join(F.transform("words", quoted), PYWS + "+")
+    rows = rows.withColumn("pattern", F.when(F.col("at") > 0, quoted(F.col("quote"))).when(F.col("at") == 0, loose))
+    # the text before the first match; all of it where there is none
+    rows = rows.withColumn("before", F.when(F.col("at") > 0, F.left("text", F.col("at") - 1)).when(F.col("at") == 0, F.get(F.split("text", F.col("pattern"), 2), 0)))
+    exact = F.when(F.col("at") > 0, F.col("quote")).when(F.col("at") == 0, F.nullif(F.expr("regexp_extract(text, pattern, 0)"), F.lit("")))
+    rows = rows.withColumn("exact", exact)
+    found = F.col("exact").isNotNull()
+    start = F.when(found, F.col("base") + F.octet_length("before"))
+    searched = F.when(F.col("at") > 0, F.col("text")).otherwise(collapse_ws(F.col("text")))
+    count = F.when(found, F.regexp_count(searched, F.concat(F.lit("(?="), F.col("pattern"), F.lit(")"))))
+    return rows.select(
+        "quote_id", "unit", start.cast("long").alias("start"), (start + F.octet_length("exact")).cast("long").alias("end"), "exact",
+        F.when(found, F.when(F.col("at") > 0, "exact").otherwise("ws-normalized")).alias("match"), count.cast("long").alias("occurrences"),
+    )
 
 
 def with_context(anchors: DataFrame, sources: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """``prefix`` and ``suffix``: up to ``width`` characters of the source on either side. ``sources(source, text)``."""
-    rows = anchors.join(sources.select("source", "text"), "source")
-    before = F.decode(F.expr("substring(encode(text, 'utf-8'), 1, cast(start as int))"), "utf-8")
-    after = F.decode(F.expr("substring(encode(text, 'utf-8'), cast(end + 1 as int), octet_length(text))"), "utf-8")
-    return rows.withColumn("prefix", F.right(before, F.lit(width))).withColumn("suffix", F.left(after, F.lit(width))).drop("text")
+    """``prefix`` and ``suffix``: up to ``width`` characters of the source on either side. ``sources(source, text)``. Only as
+    many bytes as that many characters can take are cut from the source, and cut again at the first whole character."""
+    rows = anchors.join(sources.select("source", F.encode("text", "utf-8").alias("_bytes")), "source")
+    low = F.greatest(F.lit(0), F.col("start") - 4 * width).cast("int")
+    before = F.call_function("substring", F.col("_bytes"), low + 1, (F.col("start") - low).cast("int"))
+    after = F.call_function("substring", F.col("_bytes"), (F.col("end") + 1).cast("int"), F.lit(4 * width))
+    # a character cut at the far end shows as a replacement mark, which is further away than the characters wanted
+    text = lambda b: F.make_valid_utf8(b.cast("string"))
+    return rows.withColumn("prefix", F.right(text(before), F.lit(width))).withColumn("suffix", F.left(text(after), F.lit(width))).drop("_bytes")
 
 
 def check_anchors(anchors: DataFrame, sources: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def pick_passages(hits: DataFrame, k: int) -> DataFrame:
     span = rows.groupBy("term").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     steps = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda j: F.col("t0") + (F.col("t1") - F.col("t0")) * j / max(k - 1, 1))
     aims = span.select("term", F.posexplode(steps).alias("j", "aim"))
-    near = rows.join(F.broadcast(aims), "term")
+    near = rows.join(aims, "term")
     side = F.col("t") < F.col("aim")
     # of one passage only the use nearest to a target can be its choice
     first = Window.partitionBy("term", "j", "key", side).orderBy(F.abs(F.col("t") - F.col("aim")), "t", "unit")

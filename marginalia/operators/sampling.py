@@ -34,7 +34,7 @@ def stratified_sample(units: DataFrame, strata: list[dict], seed: int) -> DataFr
         label = f"{seed}:{stratum['label']}"
         pool = rest.filter(in_stratum(stratum)).withColumn("_place", seeded(label, "unit"))
         pool = pool.withColumn("_first", F.row_number().over(Window.partitionBy("_key").orderBy("_place"))).filter("_first = 1")
-        pool = pool.withColumn("_turn", F.row_number().over(Window.partitionBy("group").orderBy("_place")))
+        pool = pool.withColumn("_turn", F.row_number().over(Window.partitionBy("group").orderBy("_place"))).filter(F.col("_turn") <= stratum["n"])  # no more of one group can be drawn, so ranking is cut short
         got = pool.orderBy("_turn", seeded(label, "group"), "_place").limit(stratum["n"]).select(F.lit(stratum["label"]).alias("stratum"), "unit", "_key")
         drawn.append(got)
         rest = rest.join(got.select(F.col("_key").alias("_taken")), F.col("_key") == F.col("_taken"), "left_anti")

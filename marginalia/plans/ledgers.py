@@ -134,7 +134,7 @@ def r4(spark, sf):
 
 @PLANS.query("p13_units_of", "SELECT source AS sample, doc_id AS unit FROM documents")
 def p13(spark, sf):
-    samples = table(spark, sf, "documents").groupBy(F.col("source").alias("sample")).agg(F.sort_array(F.collect_list("doc_id")).alias("about"))
+    samples = table(spark, sf, "documents").groupBy(F.col("source").alias("sample"), F.floor(F.col("doc_id") / 100)).agg(F.sort_array(F.collect_list("doc_id")).alias("about"))
     return S.units_of(samples).select("sample", "unit")
 
 

@@ -99,10 +99,13 @@ def p2(spark, sf):
 
 
 def pages(spark, sf):
-    from pyspark.sql import Window
+    """Documents of a source are a page's revisions in order of id; ids alone are numbered, inside ranges, and meet the texts
+    afterwards."""
+    from ..operators.lexicon import ranked
 
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.col("source").alias("page"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("idx"), "text")
+    ids = ranked(d.select("doc_id", "source"), ["source"], ["doc_id"], F.floor(F.col("doc_id") / 1000))
+    return d.select("doc_id", F.col("source").alias("page"), "text").join(ids.select("doc_id", F.col("_rn").cast("long").alias("idx")), "doc_id").select("doc_id", "page", "idx", "text")
 
 
 def pieces(spark, sf):
@@ -139,7 +142,7 @@ def quotes(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))
     first = b.select("item_id", F.col("text").alias("q"), F.element_at(F.split("text", r"\s+"), 3).alias("w"))
-    return words.join(F.broadcast(first), "w").select((F.col("doc_id") * 1000 + F.col("item_id")).alias("quote_id"), F.col("doc_id").alias("unit"), F.when(F.col("item_id") % 3 == 0, F.replace("q", F.lit(" "), F.lit("  "))).otherwise(F.col("q")).alias("quote"))
+    return words.join(first, "w").select((F.col("doc_id") * 1000 + F.col("item_id")).alias("quote_id"), F.col("doc_id").alias("unit"), F.when(F.col("item_id") % 3 == 0, F.replace("q", F.lit(" "), F.lit("  "))).otherwise(F.col("q")).alias("quote"))
 
 
 @PLANS.query("j1_resolve_quotes", r"""SELECT doc_id * 1000 + item_id AS quote_id, doc_id AS unit, CAST(strlen(left(d.text, pos - 1)) AS BIGINT) AS "start", CAST(strlen(left(d.text, pos - 1)) + strlen(b.text) AS BIGINT) AS "end",

@@ -147,12 +147,12 @@ SELECT term, event_id FROM numbered WHERE n <= {k} OR rn IN (SELECT {f} FROM gen
 
 @PLANS.query("w11_thin", THIN.format(k=60, f="CAST(round_even(i * (n - 1) / 59.0, 0) AS BIGINT)"))
 def w11_thin(spark, sf):
-    return L.thin(uses(spark, sf), ["term"], ["ts", "event_id"], 60).select("term", "event_id")
+    return L.thin(uses(spark, sf), ["term"], ["ts", "event_id"], 60, F.date_trunc("hour", "ts")).select("term", "event_id")
 
 
 @PLANS.query("w12_spread_examples", THIN.format(k=9, f="(i * (n - 1)) // 8"))
 def w12(spark, sf):
-    return L.spread_examples(uses(spark, sf), ["term"], ["ts", "event_id"], 9).select("term", "event_id")
+    return L.spread_examples(uses(spark, sf), ["term"], ["ts", "event_id"], 9, F.date_trunc("hour", "ts")).select("term", "event_id")
 
 
 @PLANS.query("w11_concordance", r"""SELECT unit, CAST(use AS BIGINT) AS use, said FROM (SELECT unit, unnest(range(len(m))) AS use, substr(unnest(m), 2, 4) AS said
