@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table, text_blocks, with_columns, words_of
+from .common import Scratch, partitions, table, text_blocks, with_columns, words_of
 
 #: Words, and pieces of words, whose ids a worker keeps; beyond that the words of the last block stay.
 CACHE_WORDS = 300_000
@@ -406,10 +406,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     text, id_ = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
     keyed = docs.select(text.alias("_m_text"), id_.alias("_m_id"), F.xxhash64(text).alias("_m_row"), *others)
     chunks = keyed.select("_m_text", "_m_id", "_m_row").mapInArrow(_chunk_rows, "chunk binary, id long, row long, no int")
-    chunks = materialize(chunks, "chunks")
+    scratch = Scratch(spark)
+    chunks = scratch.write(chunks, "chunks")
     place = F.struct("id", "row", "no")
     shared = chunks.groupBy("chunk").agg(F.min(place).alias("owner"), F.count("*").alias("times")).filter("times > 1").select(F.col("chunk").alias("shared"), "owner")
-    shared = materialize(shared, "shared-chunks")
+    shared = scratch.write(shared, "shared-chunks")
     dealt = keyed.repartition(partitions(spark), "_m_id", "_m_row")
 
     def of_document(rows: DataFrame, item) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_blocks
+from .common import Scratch, table, text_blocks
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {
@@ -325,16 +325,17 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     low = F.lit(NULL_ID).cast("long")
     text, role = F.coalesce(F.col(text_col), F.lit("")), F.col(role_col).cast("string")
     keyed = rows.select(text.alias("text"), role.alias("role"), F.coalesce(F.col(id_col).cast("long"), low).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), low).alias("at"), F.xxhash64(text, role).alias("tie"))
-    observed = materialize(keyed.mapInArrow(_observe, "conv long, at long, tie long, given int, seen binary"), "observed").dropDuplicates(["conv", "at", "tie"])
+    scratch = Scratch(rows.sparkSession)
+    observed = scratch.write(keyed.mapInArrow(_observe, "conv long, at long, tie long, given int, seen binary"), "observed").dropDuplicates(["conv", "at", "tie"])
     piece = F.floor(F.col("at") / chunk).cast("long").alias("chunk")
     grouped = observed.groupBy("conv", piece).agg(F.array_sort(F.collect_list(F.struct("at", "tie", "given", "seen"))).alias("turns"))
-    grouped = materialize(grouped, "transcripts")
+    grouped = scratch.write(grouped, "transcripts")
     model = _learn(observed, grouped)
-    chunks = materialize(grouped.mapInArrow(_fold(model), "conv long, chunk long, turns array<struct<at:long,tie:long,scores:array<double>>>, product array<double>"), "folded")
+    chunks = scratch.write(grouped.mapInArrow(_fold(model), "conv long, chunk long, turns array<struct<at:long,tie:long,scores:array<double>>>, product array<double>"), "folded")
     whole = chunks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "product"))).alias("chunks"))
-    ends = materialize(whole.mapInArrow(_ends, "of long, part long, before int, after int"), "ends")
+    ends = scratch.write(whole.mapInArrow(_ends, "of long, part long, before int, after int"), "ends")
     met = chunks.join(ends, (F.col("conv") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("conv", "turns", "before", "after")
-    speakers = materialize(met.mapInArrow(_decode, "of long, of_at long, of_tie long, before int, after int"), "speakers")
+    speakers = scratch.keep(met.mapInArrow(_decode, "of long, of_at long, of_tie long, before int, after int"), "speakers")
     once = keyed.dropDuplicates(["conv", "at", "tie"])
     placed = once.join(speakers.hint("merge"), (F.col("conv") == F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("tie") == F.col("of_tie"))).select("text", "role", "conv", "at", "before", "after")
     out = placed.mapInArrow(_write(model), "conv_id long, turn long, part int, role string, n_lines int, text string, chat string, learned boolean")

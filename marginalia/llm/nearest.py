@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, table
+from .common import Scratch, mix, table
 
 #: Distinct vectors of a shard, neighbours on the upper layers (twice as many on the lowest), width of a search and of
 #: the searches that build a graph.
@@ -246,21 +246,23 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
 
     place = Window.partitionBy("vec").orderBy("vec_id")
     ranked = usable(vectors).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).distinct().withColumn("place", F.row_number().over(place)).filter(f"place <= {k + 1}")
-    ranked = materialize(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("vec"))), "ranked")
+    scratch = Scratch(spark)
+    ranked = scratch.write(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("vec"))), "ranked")
     nodes = ranked.filter("place = 1").select("vec_id", "vec", F.size("vec").alias("dim"))
     shards = max(1, -(-nodes.count() // shard))
     index = nodes.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("long")).groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, ids array<long>, vectors binary, nodes array<binary>, links array<binary>")
-    index = materialize(index, "graphs")
+    index = scratch.write(index, "graphs")
     asked = usable(queries).distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("long")).groupBy(F.size("vec").alias("its_dim"), "block").agg(F.collect_list(F.struct("vec_id", "vec")).alias("q"))
     block = block.select("its_dim", F.col("q.vec_id").alias("query_ids"), F.col("q.vec").alias("queries")).mapInArrow(_flat, "its_dim int, query_ids array<long>, queries binary")
-    block = materialize(block, "query-blocks")
+    block = scratch.write(block, "query-blocks")
     asks = block.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("its_shard"))
     meet = index.hint("merge").join(asks, (F.col("dim") == F.col("its_dim")) & (F.col("shard") == F.col("its_shard")))
     hits = meet.select("dim", "ids", "vectors", "nodes", "links", "query_ids", "queries").mapInArrow(_searcher(k + 1, width), "query_id long, rep long, d double")
     few = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "rep"))).filter(f"r <= {k + 1}")
-    few = materialize(few.select("query_id", F.col("rep").alias("hit"), "d"), "hits")
+    few = scratch.write(few.select("query_id", F.col("rep").alias("hit"), "d"), "hits")
+    scratch.keep_only(ranked, few)
     members = ranked.select("rep", "vec_id", "vec")
     near = few.join(members, F.col("hit") == F.col("rep")).filter("vec_id <> query_id")
     own = asked.select(F.col("vec_id").alias("own_id"), F.col("vec").alias("own"))

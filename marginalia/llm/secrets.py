@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_columns
+from .common import Scratch, table, with_columns
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 SOME_ASSIGN = ASSIGN[:-2] + "{6,})"
@@ -154,9 +154,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     along = Window.partitionBy("id", "row", "kind").orderBy("i")
     end = F.sum(F.col("skip") + F.col("size")).over(along)
     placed = hits.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.col("size")).filter("ok").select("id", "row", "kind", "start", "end", "said")
-    placed = materialize(placed, "matches")
+    scratch = Scratch(docs.sparkSession)
+    placed = scratch.write(placed, "matches")
     base = placed.filter("kind < 3").select("id", "row", "kind", "start", "end", F.lit(None).cast("double").alias("p"))
-    tested = materialize(_tested(placed.filter("kind >= 3")), "tested")
+    tested = scratch.write(_tested(placed.filter("kind >= 3")), "tested")
     allowed = F.lit(-1.0)
     for k, cutoff in _cutoffs(tested, rate).items():
         allowed = F.when(F.col("class") == k, cutoff).otherwise(allowed)
@@ -169,6 +170,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = F.array(*map(F.lit, KINDS))
     listed = kept.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("_m_found"))
     listed = listed.select(F.col("id").alias("_m_of"), F.col("row").alias("_m_of_row"), "_m_found")
+    listed = scratch.keep(listed, "listed")
     out = docs.withColumns({"_m_id": id_, "_m_row": F.xxhash64(text)})
     out = out.join(listed, (F.col("_m_id") == F.col("_m_of")) & (F.col("_m_row") == F.col("_m_of_row")), "left")
     found = F.coalesce("_m_found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))

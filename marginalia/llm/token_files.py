@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, encoder
-from .common import BLOCK_BYTES, materialize, partitions, shared_dir, table, text_blocks
+from .common import BLOCK_BYTES, Scratch, partitions, shared_dir, table, text_blocks
 
 #: Tokens that a block holds at most, unless a single document has more.
 BLOCK_TOKENS = 1 << 18
@@ -122,7 +122,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     text = F.coalesce(F.col(text_col), F.lit(""))
     coded = docs.select(text.alias("_m_text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row")).mapInArrow(_encode(tokenizer), "id long, row long, n long, ids binary")
-    coded = materialize(coded, "token-ids")
+    scratch = Scratch(spark)
+    coded = scratch.write(coded, "token-ids")
     counts = coded.select("n", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))  # at most a row for each id of the vocabulary
     rank = np.zeros(max((r["id"] for r in found), default=0) + 1, np.uint32)
@@ -131,6 +132,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     dealt = coded.repartitionByRange(partitions(spark), "id", "row").sortWithinPartitions("id", "row").select("id", "n", "ids")
     blocks = "part int, block int, start long, docs array<long>, sizes array<long>, control binary, data binary"
     dealt.mapInArrow(_pack(spark.sparkContext.broadcast(rank)), blocks).write.parquet(f"{path}/blocks")
+    scratch.drop(coded)
 
 
 def _unpack(ids, digest: bool):
