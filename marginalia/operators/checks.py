@@ -71,6 +71,15 @@ def check_blobs(sources: DataFrame, blobs: DataFrame) -> DataFrame:
     return _problem(rows.filter("not coalesce(same, false)"), F.when(F.col("same").isNull(), "source bytes missing").otherwise("source bytes altered"))
 
 
+def check_prompt_parts(lenses: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``lenses(id, stack array<struct<name,sha256>>)`` and ``blobs(sha, content)``: parts of a lens's prompt that are missing or
+    do not hash to their name. Bytes are hashed where they lie."""
+    good = blobs.select("sha", (F.sha2("content", 256) == F.col("sha")).alias("same"))
+    parts = lenses.select("id", F.explode("stack").alias("p")).select("id", "p.name", "p.sha256")
+    rows = parts.join(good, F.col("sha256") == F.col("sha"), "left").filter("not coalesce(same, false)")
+    return _problem(rows, F.concat(F.when(F.col("same").isNull(), "prompt part missing: ").otherwise("prompt part altered: "), "name"))
+
+
 def check_units(units: DataFrame, sources: DataFrame) -> DataFrame:
     """``units(id, source, start, end)`` and ``sources(source, content)``: span outside its source, or splitting a
     character."""

@@ -74,6 +74,18 @@ def v1_content(spark, sf):
     return V.check_identity(rows.select(own.alias("id"), "kind", "body"))
 
 
+@PLANS.query("v5_prompt_parts", """SELECT s_suppkey AS id, CASE WHEN k % 5 = 1 THEN 'prompt part missing: p' || k ELSE 'prompt part altered: p' || k END AS reason FROM supplier, (SELECT s_suppkey AS k FROM supplier) WHERE (k = s_suppkey OR k = s_suppkey + 1) AND k % 5 IN (1, 2)
+  UNION ALL SELECT s_suppkey, 'prompt part missing: p' || (s_suppkey + 1) FROM supplier WHERE s_suppkey = (SELECT max(s_suppkey) FROM supplier) AND (s_suppkey + 1) % 5 NOT IN (1, 2)
+  UNION ALL SELECT s_suppkey, 'prompt part missing: p' || (s_suppkey + 1) FROM supplier WHERE s_suppkey = (SELECT max(s_suppkey) FROM supplier) AND (s_suppkey + 1) % 5 IN (1, 2)""")
+def v5_parts(spark, sf):
+    """A lens has the parts of its own number and the next; of the last number's next there is none."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    content = lambda c: F.concat(F.lit("part "), c.cast("string")).cast("binary")
+    one = lambda c: F.struct(F.concat(F.lit("p"), c.cast("string")).alias("name"), F.sha2(content(c), 256).alias("sha256"))
+    blobs = s.filter("s_suppkey % 5 <> 1").select(F.sha2(content(k), 256).alias("sha"), F.when(k % 5 == 2, F.lit(b"other")).otherwise(content(k)).alias("content"))
+    return V.check_prompt_parts(s.select(k.alias("id"), F.array(one(k), one(k + 1)).alias("stack")), blobs)
+
+
 HALVES = """, h AS (SELECT event_type AS kind, sha256(CAST(event_id AS VARCHAR) || chr(31) || CAST(user_id AS VARCHAR)) AS sha FROM events),
 d AS (SELECT kind, count(*) AS records, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha, 16, 15) AS BIGINT)) AS VARCHAR)) AS digest FROM h GROUP BY kind)"""
 

@@ -225,7 +225,8 @@ def v9(spark, sf):
     return V.check_calls(calls, files)
 
 
-@PLANS.query("v10_ledger_digest")
+@PLANS.query("v10_ledger_digest", """, h AS (SELECT event_type AS kind, sha256(concat_ws(chr(31), CAST(event_id AS VARCHAR), props)) AS sha FROM events)
+SELECT kind, count(*) AS records, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha, 16, 15) AS BIGINT)) AS VARCHAR)) AS digest FROM h GROUP BY kind""")
 def v10(spark, sf):
     e = table(spark, sf, "events")
     return V.ledger_digest(e.select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), "props").withColumnRenamed("props", "body"))

@@ -64,7 +64,7 @@ def p4(spark, sf):
     return units(spark, sf).filter("signature is not null").groupBy("signature").agg(F.count("*").alias("n"))
 
 
-@PLANS.query("p5_unit_text")
+@PLANS.query("p5_unit_text", """SELECT u.source, u."start", CAST(u."end" - u."start" AS INT) AS bytes, sha256(unhex(substr(hex(encode(s.text)), CAST(u."start" * 2 + 1 AS BIGINT), CAST((u."end" - u."start") * 2 AS BIGINT)))) AS sha FROM units u JOIN sources s ON u.source = s.source""")
 def p5(spark, sf):
     out = G.with_text(units(spark, sf), sources(spark, sf))
     return out.select("source", "start", F.octet_length("text").alias("bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha"))
@@ -89,7 +89,7 @@ def p1_open(spark, sf):
     return d.select(content_id("code", F.to_json(F.struct("source", F.col("n_chars").alias("n"), "lang"))).alias("id"))
 
 
-@PLANS.query("p2_repair_bytes")
+@PLANS.query("p2_repair_bytes", r"""SELECT doc_id, doc_id % 10 <> 3 AS ok, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 * strlen(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) ELSE strlen(text) END AS INT) AS bytes FROM documents WHERE text IS NOT NULL""")
 def p2(spark, sf):
     d = table(spark, sf, "documents").filter("text is not null")
     body = F.decode(F.encode("text", "utf-8"), "iso-8859-1")

@@ -161,7 +161,9 @@ def w11(spark, sf):
     return L.concordance(units(spark, sf), r"(?iu)(?<![A-Za-z0-9])with(?![A-Za-z0-9])").select("unit", F.col("use").cast("long").alias("use"), "said")
 
 
-@PLANS.query("a11_words_around")
+@PLANS.query("a11_words_around", r""", p AS (SELECT text, unnest(generate_series(1, length(text) - 3)) AS p FROM units WHERE text LIKE '%with%'),
+m AS (SELECT text, p FROM p WHERE substr(text, p, 4) = 'with' AND NOT regexp_matches(CASE WHEN p = 1 THEN '' ELSE substr(text, p - 1, 1) END, '[A-Za-z0-9]') AND NOT regexp_matches(substr(text, p + 4, 1), '[A-Za-z0-9]'))
+SELECT lower(trim(regexp_replace(substr(text, greatest(p - 28, 1), p + 31 - greatest(p - 29, 0)), '[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS context, count(*) AS uses FROM m GROUP BY ALL ORDER BY uses DESC, context LIMIT 5""")
 def a11(spark, sf):
     return L.words_around(units(spark, sf), r"(?<![A-Za-z0-9])with(?![A-Za-z0-9])")
 
