@@ -6,7 +6,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, name_key
@@ -58,8 +60,8 @@ def same_reading(lenses: DataFrame) -> DataFrame:
 def reader_totals(read: DataFrame, codings: DataFrame, lost: DataFrame) -> DataFrame:
     """Per lens: units read, of those read by another lens too, codings, distinct unit and code, codes per unit,
     quotations not found. ``codings`` and ``lost`` hold only records that count."""
-    several = read.groupBy("unit").agg(F.count("*").alias("readers"))
-    units = read.join(several, "unit").groupBy("lens").agg(F.count("*").alias("units_read"), F.count_if(F.col("readers") >= 2).alias("units_compared"))
+    several = read.groupBy("unit").agg(F.collect_set("lens").alias("lenses"))  # lenses are few
+    units = several.select(F.explode("lenses").alias("lens"), F.size("lenses").alias("readers")).groupBy("lens").agg(F.count("*").alias("units_read"), F.count_if(F.col("readers") >= 2).alias("units_compared"))
     pairs = codings.groupBy("by", "unit", "code").agg(F.count("*").alias("n")).groupBy("by").agg(F.sum("n").alias("codings"), F.count("*").alias("codes_applied"))
     missed = lost.groupBy("by").agg(F.count("*").alias("quotes_not_found"))
     out = units.join(pairs.withColumnRenamed("by", "lens"), "lens", "left").join(missed.withColumnRenamed("by", "lens"), "lens", "left")
@@ -92,22 +94,21 @@ def unit_divergence(read: DataFrame, codings: DataFrame) -> DataFrame:
 
 def pair_overlap(read: DataFrame, codings: DataFrame) -> DataFrame:
     """Per pair of lenses: units both read, each one's distinct units and codes over those, common ones, Jaccard (null
-    where neither has any). Lenses are few; pairs come from joins on the unit, never of codings with codings alone."""
+    where neither has any). Lenses are few: a unit's readers, and the lenses of each of its codes, are small sets, and
+    pairs are counted from these, never by joining codings with codings."""
+    readers = read.groupBy("unit").agg(F.collect_set("lens").alias("readers"))
+    marks = codings.groupBy("unit", "code").agg(F.collect_set("by").alias("by")).groupBy("unit").agg(F.collect_list("by").alias("codes"))
     lenses = read.select("lens").distinct()
-    pairs = lenses.select(F.col("lens").alias("a")).crossJoin(lenses.select(F.col("lens").alias("b"))).filter("a < b")
-    marks = codings.select("unit", "code", F.col("by").alias("lens")).distinct()
-    both = read.select("unit", F.col("lens").alias("a")).join(read.select("unit", F.col("lens").alias("b")), "unit").filter("a < b")
-    units = both.groupBy("a", "b").agg(F.count("*").alias("units"))
-
-    def own(side: str) -> DataFrame:
-        mine = marks.withColumnRenamed("lens", side)
-        return both.join(mine, ["unit", side]).groupBy("a", "b").agg(F.count("*").alias(f"{side}_pairs"))
-
-    common = marks.select("unit", "code", F.col("lens").alias("a")).join(marks.select("unit", "code", F.col("lens").alias("b")), ["unit", "code"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    out = pairs
-    for more in (units, own("a"), own("b"), common):
-        out = out.join(more, ["a", "b"], "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("units", "a_pairs", "b_pairs", "both")})
+    none = lenses.select(F.col("lens").alias("a")).crossJoin(lenses.select(F.col("lens").alias("b"))).filter("a < b").select("a", "b", *[F.lit(0).cast("long").alias(c) for c in ("units", "a_pairs", "b_pairs", "both")])
+    rows = readers.filter(F.size("readers") > 1).join(marks, "unit", "left").withColumn("codes", F.coalesce("codes", F.array().cast(marks.schema["codes"].dataType)))
+    met = rows.select("codes", "readers", F.explode("readers").alias("a")).select("codes", "a", F.explode("readers").alias("b")).filter("a < b")
+
+    def having(*sides: str) -> Column:
+        found = lambda by: reduce(Column.__and__, [F.array_contains(by, F.col(s)) for s in sides])
+        return F.size(F.filter("codes", found)).cast("long")
+
+    counts = met.select("a", "b", F.lit(1).cast("long").alias("units"), having("a").alias("a_pairs"), having("b").alias("b_pairs"), having("a", "b").alias("both"))
+    out = counts.unionByName(none).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("units", "a_pairs", "b_pairs", "both")])
     union = F.col("a_pairs") + F.col("b_pairs") - F.col("both")
     return out.withColumn("jaccard", F.when(union > 0, F.col("both") / union))
 
