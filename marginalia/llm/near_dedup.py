@@ -313,7 +313,7 @@ def _components(keyed: DataFrame, classes: DataFrame, ties: DataFrame, percent:
 
     # full sets of what shares a band: texts of the first documents of those classes
     wanted = central.join(classes.select("node", "id", "row"), F.col("member") == F.col("node")).select("id", "row", "node")
-    wanted = small_enough(scratch.write(wanted, "wanted"), 64)
+    wanted = small_enough(scratch.write(wanted, "wanted"), 176)  # measured: that much a row once it is broadcast
     found = keyed.join(wanted, (F.col("_m_id") == F.col("id")) & (F.col("_m_row") == F.col("row"))).select("_m_text", "node")
     found = found.mapInArrow(_sets(percent), "node binary, bands binary, sig binary, shingles binary")
     sets = scratch.write(found.dropDuplicates(["node"]), "sets")
