@@ -16,12 +16,13 @@ def resolve_quotes(quotes: DataFrame, units: DataFrame) -> DataFrame:
 
     The first exact occurrence counts; where there is none, the first one that differs in white space only
     (``ws-normalized``), and then ``exact`` holds the source's own words. Quotations found neither way, or blank, have
-    nulls. One pass: the pattern of the second search is only made and tried where the first found nothing."""
-    rows = quotes.join(units.select("unit", "text", F.col("start").alias("base")), "unit", "left")
-    rows = rows.withColumn("words", F.filter(F.split("quote", PYWS + "+"), lambda w: w != ""))
-    blank = F.coalesce(F.size("words"), F.lit(0)) <= 0
-    rows = rows.filter(blank | F.col("text").isNotNull()).withColumn("at", F.when(~blank, F.expr("instr(text, quote)")))
-    loose = F.array_join(F.transform("words", quoted), PYWS + "+")
+    nulls. One pass: texts with white space collapsed, which are made once a unit, tell what is worth a closer look."""
+    flat_quotes = quotes.select("quote_id", "unit", "quote", collapse_ws(F.coalesce("quote", F.lit(""))).alias("flat_quote"))
+    flat_units = units.select("unit", "text", F.col("start").alias("base"), collapse_ws(F.col("text")).alias("flat"))
+    rows = flat_quotes.join(flat_units, "unit", "left").filter((F.col("flat_quote") == "") | F.col("text").isNotNull())
+    near = (F.col("flat_quote") != "") & F.coalesce(F.contains("flat", "flat_quote"), F.lit(False))
+    rows = rows.withColumn("at", F.when(near, F.expr("instr(text, quote)")))
+    loose = F.array_join(F.transform(F.split("flat_quote", " "), quoted), PYWS + "+")
     rows = rows.withColumn("pattern", F.when(F.col("at") > 0, quoted(F.col("quote"))).when(F.col("at") == 0, loose))
     # the text before the first match; all of it where there is none
     rows = rows.withColumn("before", F.when(F.col("at") > 0, F.left("text", F.col("at") - 1)).when(F.col("at") == 0, F.get(F.split("text", F.col("pattern"), 2), 0)))
@@ -29,7 +30,7 @@ def resolve_quotes(quotes: DataFrame, units: DataFrame) -> DataFrame:
     rows = rows.withColumn("exact", exact)
     found = F.col("exact").isNotNull()
     start = F.when(found, F.col("base") + F.octet_length("before"))
-    searched = F.when(F.col("at") > 0, F.col("text")).otherwise(collapse_ws(F.col("text")))
+    searched = F.when(F.col("at") > 0, F.col("text")).otherwise(F.col("flat"))
     count = F.when(found, F.regexp_count(searched, F.concat(F.lit("(?="), F.col("pattern"), F.lit(")"))))
     return rows.select(
         "quote_id", "unit", start.cast("long").alias("start"), (start + F.octet_length("exact")).cast("long").alias("end"), "exact",
