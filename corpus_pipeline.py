@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, decontamination, line_dedup, near_dedup, quality
-from marginalia.llm.common import materialize, table
+from marginalia.llm.common import Scratch, table
 
 
 #: Similarity in percent from which documents are near-duplicates.
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for name, stage in STAGES:  # the table of a stage goes when the next is written
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return docs

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    """One temporary folder an application; only a single machine uses it."""
+    return tempfile.mkdtemp(prefix=f"marginalia-{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where none is set, a folder in the warehouse, which is shared as well, or on a
-    single machine a temporary one."""
+    """The session's ``spark.checkpoint.dir``. Where none is set: on a single machine a temporary folder, on a cluster a
+    folder in the warehouse if that lies in a shared store.
+
+    Raises ValueError on a cluster whose warehouse is a path of the local file system: every machine would see files of
+    its own there, and tables read back would be partly or wholly empty.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
-        return tempfile.mkdtemp(prefix="marginalia-")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marginalia-scratch"
+        return _own_folder(spark.sparkContext.applicationId)
+    at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marginalia-scratch"
+    store = spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {at} is local to each machine")
+    return at

@@ -258,3 +258,19 @@ def test_board(spark):
     assert rows(board.round_answers(answered, seats), "seat", "activity") == [(0, "a"), (1, "b")]
     with pytest.raises(Exception, match="not exactly one"):
         board.round_answers(answered.filter("seat = 0"), seats).collect()
+
+
+def test_shared_folder_is_shared(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from marginalia.sources.folders import shared_folder
+
+    def session(master, **conf):
+        conf = {"spark.sql.warehouse.dir": "file:/nowhere/warehouse", **conf}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)), sparkContext=SimpleNamespace(master=master, applicationId="app-1"), _jvm=spark._jvm, _jsc=spark._jsc)
+
+    assert shared_folder(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://store/x/"})) == "hdfs://store/x"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
