@@ -9,7 +9,6 @@ Input rules that all operators keep:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.folders import shared_folder
+
 #: Text bytes that a Python worker handles in one go.
 BLOCK_BYTES = 3 << 20
 
@@ -30,30 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a folder in the warehouse, which they share
-    as well; on a single machine a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        at = tempfile.mkdtemp(prefix="marginalia-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marginalia-scratch"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables written to the shared folder on the way to a result. A table that later steps no longer need is dropped;
     ``keep`` writes the table that the result is read from and drops all others."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.at, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
+        self.spark, self.at, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{len(self.paths)}-{name}"

@@ -22,8 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.folders import shared_folder
+
 from .bpe import default_tokenizer, encoder
-from .common import BLOCK_BYTES, Scratch, partitions, shared_dir, table, text_blocks
+from .common import BLOCK_BYTES, Scratch, partitions, table, text_blocks
 
 #: Tokens that a block holds at most, unless a single document has more.
 BLOCK_TOKENS = 1 << 18
@@ -175,6 +177,6 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return read_token_files(spark, path, digest=True)

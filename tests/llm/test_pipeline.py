@@ -11,11 +11,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
-    from marginalia.llm.common import materialize
+    from marginalia.llm.common import Scratch
 
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        after = materialize(stage(spark, docs, SF), name.replace(" ", "-"))
+        after = Scratch(spark).write(stage(spark, docs, SF), name.replace(" ", "-"))
         out.append((name, docs, after))
         docs = after
     return out
