@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontamination, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
+from . import bpe, chat_format, decontamination, fill_middle, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_files": token_files.op9_token_files,
     "op10_bpe": bpe.op10_bpe,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
 }
 
 SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_fill_in_middle": fill_middle.OP11_SQL,
 }
