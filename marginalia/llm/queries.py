@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontamination, fill_middle, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
+from . import bpe, chat_format, decontamination, fill_middle, hidden_lm, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_bpe": bpe.op10_bpe,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_lm_score": hidden_lm.op12_lm_score,
 }
 
 SQL = {
