@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontamination, fill_middle, hidden_lm, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
+from . import bpe, chat_format, decontamination, fill_middle, filter_audit, hidden_lm, line_dedup, near_dedup, nearest, quality, secrets, substring_dedup, token_files
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     "op12_lm_score": hidden_lm.op12_lm_score,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op11_fill_in_middle": fill_middle.OP11_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
