@@ -37,18 +37,22 @@ def _digest(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.left(F.sha2(text.cast("binary"), 256), F.lit(20)))
 
 
-def _canonical(body: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
+def canonical_text(text: str | None) -> str | None:
+    """Canonical JSON of a JSON text; None where it does not parse, nests too deeply, or holds half of a surrogate pair, which no
+    encoded text can hold."""
+    try:
+        out = None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return out if out is None or out.encode() else None
+    except (ValueError, RecursionError):
+        return None
+
 
-    return body.map(one)
+def _canonical(body: pd.Series) -> pd.Series:
+    return body.map(canonical_text)
 
 
 def canonical(body_json: Column) -> Column:
-    """JSON text with sorted keys and no blanks, other characters kept; null where it does not parse."""
+    """JSON text with sorted keys and no blanks, other characters kept; null where it does not parse or cannot be written."""
     return F.pandas_udf(_canonical, "string")(body_json)
 
 

@@ -97,6 +97,45 @@ def test_schemas_in_full():
     assert An.schema_problems(wrong) == ["schema.pattern: constraint not supported", "schema.type: unknown type text", "schema.required: wrong shape", "schema.minItems: not a count", "schema.items.anyOf: constraint not supported", "schema.properties.p: neither an object nor true or false"]
 
 
+def test_replies_with_one_object(spark):
+    fence = "`" * 3
+    raw = ['{see}\n' + fence + '\n{"a": 1}\n' + fence + '\n{end}', '\x1c{"a": 1}\u3000', fence + 'x\n \u00a0{"a": 2}\n\n' + fence, '{"a": 1} and more}', '{"a": ' + "[" * 100_000 + "]" * 100_000 + "}", '{"a": 1e999}', '{"a": "\\ud800"}', "{", ""]
+    assert column(spark, raw, An.parse_answer) == ['{"a": 1}', '{"a": 1}', '{"a": 2}', None, None, '{"a": 1e999}', '{"a": "\\ud800"}', None, None]
+
+
+def test_validation_never_raises(spark):
+    """Numbers out of range, malformed schemas, names that are no Unicode, and deep nesting are problems, not errors."""
+    check = lambda text, schema: column(spark, [text], lambda c: An.validate_answer(c, schema))[0]
+    assert check('{"a": 1e999}', {"properties": {"a": {"type": "integer"}}}) == ["$.a: expected integer"]
+    assert check('{"a": -1e999}', {"properties": {"a": {"type": "number"}}}) == ["$.a: expected number"]
+    assert check('{"a": [1]}', {"properties": {"a": {"items": [{"type": "string"}]}}}) == ["schema.properties.a.items: neither an object nor true or false"]
+    assert check('{"a": 1}', {"properties": ["a"]}) == ["schema.properties: wrong shape"]
+    assert check('{"a": "x"}', {"properties": {"a": {"minLength": "3"}}}) == ["schema.properties.a.minLength: not a count"]
+    assert check('{"a": 1}', {"type": 5}) == ["schema.type: unknown type 5"]
+    assert check("{}", {"required": "ab"}) == ["schema.required: wrong shape"] and check("{}", {"required": ["a", 1]}) == ["schema.required: wrong shape"]
+    assert check("{}", {"type": ["object", {}], "enum": 3, "maxItems": True}) == ["schema.type: unknown type {}", "schema.enum: wrong shape", "schema.maxItems: not a count"]
+    assert check("{}", 7) == ["schema: neither an object nor true or false"] and check("{}", False) == ["$: not allowed"] and check("{}", True) == []
+    assert check('{"\\ud800": 1}', {"additionalProperties": False}) == ["$.?: not expected"]
+    deep = '{"a": ' + "[" * 700 + "]" * 700 + "}"
+    assert check(deep, {"items": {"type": "string"}}) == [] and len(check(deep, {"properties": {"a": {"enum": [1]}}})) == 1
+
+
+def test_problems_in_order():
+    schema = {"required": ["z", "a"], "properties": {"a": {"type": ["array", "null"], "minItems": 3, "enum": [None], "items": {"required": ["k"]}}, "b": {"minLength": 2}}, "additionalProperties": {"type": "boolean"}}
+    value = {"b": "é", "a": [{}, {"k": 1}], "c": 0}
+    assert An.problems(value, schema) == ["$.z: missing", "$.b: shorter than 2", "$.a: not one of the allowed values", "$.a: fewer than 3 items", "$.a[0].k: missing", "$.c: expected boolean"]
+    assert An.problems({"a": None, "z": True}, schema) == []
+    same = [({"x": [1, {"y": True}]}, {"x": [1.0, {"y": True}]}, True), ({"x": 1}, {"x": True}, False), ([], {}, False), ("1", 1, False), (0, False, False), (10**20, 1e20, True), ({"a": 1, "b": 2}, {"b": 2, "a": 1}, True)]
+    assert [An.problems(a, {"enum": [b]}) == [] for a, b, _ in same] == [x for *_, x in same]
+
+
+def test_canonical_never_raises(spark):
+    from marginalia.functions.ids import canonical
+
+    texts = ['{"b": 1.0, "a": [true, null, "é"]}', '{"a": "\\ud800"}', '{"a": "\\ud83d\\ude00"}', "[" * 100_000, "x", None]
+    assert column(spark, texts, canonical) == ['{"a":[true,null,"é"],"b":1.0}', None, '{"a":"\U0001f600"}', None, None, None]
+
+
 def test_snippet_between_words(spark):
     text = "one two three four five six seven eight nine ten"
     cut = lambda at, end, width: column(spark, [text], lambda c: T.snippet_words(c, F.lit(at), F.lit(end), width))[0]

@@ -274,3 +274,8 @@ def test_shared_folder_is_shared(spark, monkeypatch):
     for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(session(master))
+
+
+def test_identity_of_a_body_that_cannot_be_encoded(spark):
+    records = spark.createDataFrame([("code:x", "code", '{"a": "\\ud800"}'), ("code:y", "code", "{"), ("m", "memo", '{"a": "\\udfff"}')], "id string, kind string, body string")
+    assert rows(checks.check_identity(records), "id", "reason") == [("code:x", "record id does not match its content"), ("code:y", "record id does not match its content")]
