@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexicon import ranked
+from .ranks import ranked
 
 THREAD = r"\bt\d{3,}\b"
 
@@ -18,11 +18,11 @@ def _digits(place, least: int = 3):
 def threads(notes: DataFrame) -> DataFrame:
     """``notes(id, notebook, at, about, body, signed)`` with ``thread``, ``stands``: notes about the same ordered units are one
     thread; of a notebook's notes on it the earliest stands. Threads are numbered by the notebook, time and id of the
-    note that first made them; they are ranked inside a notebook's times."""
+    note that first made them."""
     key = F.sha2(F.to_json(F.struct("about")).cast("binary"), 256)
     rows = notes.withColumn("key", key)
     first = rows.groupBy("key").agg(F.min(F.struct("notebook", "at", "id")).alias("made"))
-    numbered = ranked(first, [], ["made"], F.struct("made.notebook", "made.at")).select("key", F.concat(F.lit("t"), _digits(F.col("_rn") + 1)).alias("thread"))
+    numbered = ranked(first, [], ["made"]).select("key", F.concat(F.lit("t"), _digits(F.col("_rn") + 1)).alias("thread"))
     mine = Window.partitionBy("key", "notebook").orderBy("at", "id")
     return rows.withColumn("stands", F.row_number().over(mine) == 1).join(numbered, "key").drop("key")
 

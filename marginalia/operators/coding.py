@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, name_key
 from ..sources.folders import shared_folder
-from .lexicon import ranked
+from .ranks import ranked
 
 
 def gather_names(codings: DataFrame) -> DataFrame:
@@ -16,9 +16,7 @@ def gather_names(codings: DataFrame) -> DataFrame:
     rows = codings.select("by", "code", collapse_ws(F.col("name")).alias("form")).withColumn("key", name_key(F.col("form")))
     forms = rows.groupBy("key", "form").agg(F.count("*").alias("n")).groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("form"))).alias("m"))
     counts = rows.groupBy("key").agg(F.count("*").alias("uses"), F.countDistinct("by").alias("readers"), F.countDistinct("code").alias("codes"))
-    # names are numbered over all groups, ranked inside ranges of uses and first letters
-    piece = F.struct((-F.col("uses")).alias("uses"), F.left("key", F.lit(3)).alias("letters"))
-    ordered = ranked(counts.join(forms, "key"), [], [F.col("uses").desc(), F.col("key")], piece).withColumn("place", F.col("_rn") + 1)
+    ordered = ranked(counts.join(forms, "key"), [], [F.col("uses").desc(), F.col("key")]).withColumn("place", F.col("_rn") + 1)
     width = F.greatest(F.lit(3), F.length(F.col("_n").cast("string")))
     digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(F.col("place").cast("string")))), F.col("place").cast("string"))
     return ordered.select(F.concat(F.lit("n"), digits).alias("id"), "key", F.col("m.form").alias("name"), "uses", "readers", "codes")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, find_matches
+from .ranks import ranked
 
 #: Terms that one job searches for at most; a term list is written by hand.
 MAX_TERMS = 10_000
@@ -127,24 +128,9 @@ def top(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
 
 
-def ranked(rows: DataFrame, by: list, order: list, coarse: Column | None = None) -> DataFrame:
-    """``_rn``, a row's place in its group from 0, and ``_n``, the group's size. ``coarse``, a coarser form of the first
-    column of the order (an hour of a time, a prefix of a name), deals a group over many tasks: rows are ranked inside
-    its ranges, and ranges are offset by the counts before them."""
-    piece = F.lit(0) if coarse is None else coarse
-    rows = rows.withColumn("_piece", piece)
-    counts = rows.groupBy(*by, "_piece").agg(F.count("*").alias("_size"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    sofar = F.coalesce(F.sum("_size").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select(*by, "_piece", sofar.alias("_before"), F.sum("_size").over(whole).alias("_n"))  # a row for each range
-    placed = rows.join(before.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_piece"]}), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_piece"]])
-    rank = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)) - 1 + F.col("_before")
-    return placed.withColumn("_rn", rank).drop("_piece", "_before", *(f"_of_{c}" for c in [*by, "_piece"]))
-
-
 def concordance(units: DataFrame, pattern: str, width: int = 60) -> DataFrame:
     """Every use of a pattern with the text on either side, numbered in order of time, unit and position: ``n, use, left,
-    said, right`` and the unit's other columns. Uses are ranked inside hours, so that no task sorts them all."""
+    said, right`` and the unit's other columns. Texts are searched once."""
     others = [c for c in units.columns if c != "text"]
     rows = units.select(*others, "text", F.posexplode(find_matches(F.col("text"), pattern)).alias("i", "m"))
     low = F.greatest(F.col("m.start") - width, F.lit(0))
@@ -152,12 +138,12 @@ def concordance(units: DataFrame, pattern: str, width: int = 60) -> DataFrame:
     right = collapse_ws(F.substring(F.col("text"), F.col("m.end") + 1, F.lit(width)))
     found = rows.select(*others, F.col("i").alias("use"), left.alias("left"), F.col("m.said").alias("said"), right.alias("right"))
     time = F.coalesce("time", F.lit(""))
-    return ranked(found, [], [time, F.col("unit"), F.col("use")], F.substring(time, 1, 13)).withColumn("n", F.col("_rn") + 1).drop("_rn", "_n")
+    return ranked(found, [], [time, F.col("unit"), F.col("use")]).withColumn("n", F.col("_rn") + 1).drop("_rn", "_n")
 
 
-def thin(rows: DataFrame, by: list, order: list, k: int, coarse: Column | None = None) -> DataFrame:
+def thin(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
     """At most k rows of each group, evenly spaced with the first and last kept; positions are rounded half to even."""
-    placed = ranked(rows, by, order, coarse)
+    placed = ranked(rows, by, order)
     # row r is shown when some i in 0..k-1 has round(i * (n-1) / (k-1)) = r
     step = (F.col("_n") - 1) / F.lit(max(k - 1, 1))
     i = F.round(F.col("_rn") / step).cast("int")
@@ -166,9 +152,9 @@ def thin(rows: DataFrame, by: list, order: list, k: int, coarse: Column | None =
     return placed.filter((F.col("_n") <= k) | hit).drop("_rn", "_n")
 
 
-def spread_examples(rows: DataFrame, by: list, order: list, k: int, coarse: Column | None = None) -> DataFrame:
+def spread_examples(rows: DataFrame, by: list, order: list, k: int) -> DataFrame:
     """At most k rows of each group, evenly spaced by integer position from the first to the last."""
-    placed = ranked(rows, by, order, coarse)
+    placed = ranked(rows, by, order)
     # floor(i * (n-1) / (k-1)) = r for i = ceil(r * (k-1) / (n-1))
     gap = F.greatest(F.col("_n") - 1, F.lit(1))
     i = F.ceil(F.col("_rn") * (k - 1) / gap)

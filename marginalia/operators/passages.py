@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .lexicon import ranked
+from .ranks import ranked
 
 
 def merge_passages(entries: DataFrame) -> DataFrame:
@@ -29,14 +29,12 @@ def passages(merged: DataFrame) -> DataFrame:
     return rows.select("passage.unit", "passage.source", "start", "end", "tier", "entries", "first_entry")
 
 
-def number_passages(rows: DataFrame, hourly: bool = True) -> DataFrame:
+def number_passages(rows: DataFrame) -> DataFrame:
     """``number`` such as ``2.014``: within a tier by first seen, page, unit, found before not found, start, first entry;
-    at least three digits. Tiers are few, so passages are ranked inside ranges of the order; ``hourly`` says that times no
-    longer than an hour's form are all of one length, so that an hour is a range."""
+    at least three digits. Tiers are few and each holds a large share of all passages, which are sorted by ranges."""
     seen, page, unit = F.coalesce("first_seen", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("unit").cast("string")
     order = [seen, page, unit, F.col("start").isNull(), F.coalesce("start", F.lit(0)), F.col("first_entry")]
-    piece = F.struct(F.substring(seen, 1, 13).alias("hour"), page.alias("page"), F.left(unit, F.lit(2)).alias("unit")) if hourly else None
-    rows = ranked(rows, ["tier"], order, piece).withColumn("place", F.col("_rn") + 1)
+    rows = ranked(rows, ["tier"], order).withColumn("place", F.col("_rn") + 1)
     width = F.greatest(F.lit(3), F.length(F.col("_n").cast("string")))
     digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(F.col("place").cast("string")))), F.col("place").cast("string"))
     return rows.withColumn("number", F.concat(F.col("tier").cast("string"), F.lit("."), digits)).drop("place", "_rn", "_n")

@@ -104,7 +104,7 @@ def pages(spark, sf):
     from ..operators.lexicon import ranked
 
     d = table(spark, sf, "documents")
-    ids = ranked(d.select("doc_id", "source"), ["source"], ["doc_id"], F.floor(F.col("doc_id") / 1000))
+    ids = ranked(d.select("doc_id", "source"), ["source"], ["doc_id"])
     return d.select("doc_id", F.col("source").alias("page"), "text").join(ids.select("doc_id", F.col("_rn").cast("long").alias("idx")), "doc_id").select("doc_id", "page", "idx", "text")
 
 

@@ -1,11 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables kept there on the way to a result."""
 
 from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -32,3 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     if store.getUri().getScheme() == "file":
         raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {at} is local to each machine")
     return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: computed once, whatever reads it and whichever executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
