@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import dropped, written
@@ -35,3 +35,31 @@ def ranked(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     groups = numbered.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
     met = numbered.join(groups, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
     return met.withColumn("_rn", F.col("_rn") - F.col("_first")).drop("_first", *[f"_of_{c}" for c in by])
+
+
+def running_max(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """``name``: the largest ``value`` among the rows before a row in its group, null where there are none.
+
+    An associative scan: rows are dealt by ranges of group and order, each task takes the running maximum of its own piece of a
+    group, and the maxima of pieces are carried on from piece to piece. A group of any size is spread over as many tasks as it
+    has pieces. ``rows`` are computed once.
+    """
+    once = written(rows.withColumn("_value", value), "to-scan")
+    placed = once.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_at", ROW_BITS)), "in-order")
+    dropped(once)
+    pieces = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_piece")).agg(F.max("_value").alias("_most"))
+    earlier = Window.partitionBy(*[f"_of_{c}" for c in by]).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # pieces without one before them need no row; most groups have a single piece
+    carried = pieces.withColumn("_carried", F.max("_most").over(earlier)).filter("_carried is not null").drop("_most")
+    here = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("_own", F.max("_value").over(here))
+    met = own.join(carried, _same(by) & (F.col("_part") == F.col("_piece")), "left")
+    return met.withColumn(name, F.greatest("_own", "_carried")).drop("_value", "_at", "_part", "_piece", "_own", "_carried", *[f"_of_{c}" for c in by])
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return out

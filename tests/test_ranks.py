@@ -48,3 +48,20 @@ def test_many_times(spark):
     found = board.threads(notes).agg(F.min("thread"), F.max(F.struct(F.length("thread"), "thread")), F.countDistinct("thread")).first()
     assert found[0] == "t001" and found[1][1] == f"t{n}" and found[2] == n
     assert board.threads(notes).filter(f"id = '{n - 1}'").first().thread == "t001"
+
+
+def test_running_max(spark):
+    from marginalia.operators.ranks import running_max
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, *range(40)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, i long, v long").repartition(5)
+    found = {(r.g, r.i): r.m for r in running_max(df, ["g"], ["i"], F.col("v"), "m").collect()}
+    best = {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        assert found[g, i] == best.get(g)
+        if v is not None:
+            best[g] = max(v, best.get(g, v))
+    assert len(found) == len(rows)
+    spread = running_max(spark.range(50_000).selectExpr("1 as g", "id as i", "id % 977 as v").repartition(8), ["g"], ["i"], F.col("v"), "m")
+    assert spread.filter("i > 976 and m <> 976 or i > 0 and i < 977 and m <> i - 1 or i = 0 and m is not null").count() == 0
