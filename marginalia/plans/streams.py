@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from ..sources import ledger as L
 from ..sources.folders import shared_folder
 from ..streaming import ledger as R
+from ..streaming.tail import files_under, open_store
 from .tables import Plans, table
 
 PLANS = Plans()
@@ -78,15 +80,34 @@ def r1(spark, sf):
     return _streamed(spark, R.tail_ledger(spark, _written(spark, sf), RECORD)).select("id")
 
 
+@PLANS.query("r1_finished_lines", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS status FROM events")
+def r1_lines(spark, sf):
+    """A ledger of four files, each of which ends inside a line when it is first read; the lines are finished before it is read again."""
+    path, out = _folder(spark), _folder(spark)
+    rows = _records(spark, sf).withColumns({"id": F.col("term"), "n": F.col("term").cast("long")}).withColumn("file", F.col("n") % 4)
+    last = rows.groupBy("file").agg(F.max("n").alias("last"))  # a row a file
+    rows = rows.join(F.broadcast(last), "file").select("file", "n", "last", F.to_json(F.struct(*RECORD.fieldNames())).alias("line"))
+    rows.filter("n < last").repartition(4, "file").sortWithinPartitions("file", "n").select("file", "line").write.partitionBy("file").text(path)
+    ends = {r.file: r.line.encode() for r in rows.filter("n = last").collect()}  # four lines
+    for part in (slice(None, 25), slice(25, None)):
+        for name, _ in files_under(path):
+            with open_store(path)[0].open_append_stream(name) as f:
+                line = ends[int(re.search(r"file=(\d+)", name)[1])]
+                f.write(line[part] + (b"" if part.stop else b"\n"))
+        R.run_available(R.tail_ledger(spark, path, RECORD), f"{out}/out", f"{out}/mark")
+    return spark.read.schema("id string, status string").parquet(f"{out}/out")
+
+
 @PLANS.query("r2_finished_stream", "SELECT CAST(event_id AS VARCHAR) AS term FROM events WHERE user_id % 2 = 0 AND user_id % 7 < 5")
 def r2(spark, sf):
-    """Activities of even users ended at the time of each of their records; authors 5 and 6 are not theirs."""
+    """Activities of even users ended 400 days after each of their records; authors 5 and 6 are not theirs."""
     e = spark.readStream.schema(_records(spark, sf).schema).parquet(_copied(spark, _records(spark, sf)))
     rows = e.select(F.col("term").alias("id"), F.concat_ws("-", "activity", "term").alias("activity"), "by", F.to_timestamp("at").alias("at_time"))
     done = spark.readStream.schema(_records(spark, sf).schema).parquet(_copied(spark, _records(spark, sf)))
     lens = F.when(F.col("by").isin("u5", "u6"), "other").otherwise(F.col("by"))
-    acts = done.filter("cast(activity as long) % 2 = 0").select(F.concat_ws("-", "activity", "term").alias("id"), lens.alias("lens"), F.lit("ok").alias("status"), F.lit("read").alias("type"), F.to_timestamp("at").alias("at_time"))
-    return _streamed(spark, R.finished_stream(rows, acts, "400 days", "1 hour").select(F.col("id").alias("term"))).select("term")
+    ended = (F.to_timestamp("at") + F.expr("interval 400 days")).alias("at_time")
+    acts = done.filter("cast(activity as long) % 2 = 0").select(F.concat_ws("-", "activity", "term").alias("id"), lens.alias("lens"), F.lit("ok").alias("status"), F.lit("read").alias("type"), ended)
+    return _streamed(spark, R.finished_stream(rows, acts).select(F.col("id").alias("term"))).select("term")
 
 
 def _copied(spark, rows) -> str:

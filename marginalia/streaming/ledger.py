@@ -2,34 +2,85 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources.ledger import ENVELOPE
+from .tail import Tail
 
 
 def tail_ledger(spark: SparkSession, path: str, schema: T.StructType = ENVELOPE, within: str | None = None) -> DataFrame:
-    """Records of JSON-lines files as they land in a folder, the first per id; lines that do not parse are passed over.
+    """Records of JSON-lines files that are being written, in a folder or one file, the first per id; lines that do not parse are
+    passed over. A file is followed by bytes: a line is read once its end is written, so a half-written one is read later and
+    whole, and lines added to a file are read as well as new files.
 
     State holds one entry for each id for ever, unless ``within`` (such as ``2 days``) bounds it: then an id that comes
     again later than that after the watermark on ``at`` counts as new."""
-    lines = spark.readStream.option("lineSep", "\n").text(path)
+    spark.dataSource.register(Tail)
+    lines = spark.readStream.format(Tail.name()).load(path)
     rows = lines.filter(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("r"), F.col("value").alias("body_json")).select("r.*", "body_json").filter("id is not null")
     if not within:
         return rows.dropDuplicates(["id"])
     return rows.withColumn("at_time", F.to_timestamp("at")).withWatermark("at_time", within).dropDuplicatesWithinWatermark(["id"])
 
 
-def finished_stream(records: DataFrame, activities: DataFrame, delay: str = "1 hour", longest: str = "6 hours") -> DataFrame:
+#: Times in waiting records keep their microseconds.
+AS_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
+def _gate(forgets: bool):
+    """What waits for an activity is kept as text until it ends; then its lens is kept, for records that come later."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        lens, ended, waiting = state.get if state.exists else (None, None, "[]")
+        rows = json.loads(waiting)
+        for batch in batches:
+            for whose, at, row in zip(batch["whose"], batch["ended"], batch["row"], strict=True):
+                if row is not None:
+                    rows.append([whose, row])
+                elif lens is None:
+                    lens, ended = whose, int(at)
+        if lens is None:
+            state.update((None, None, json.dumps(rows)))
+            return
+        state.update((lens, ended, "[]"))
+        if forgets:
+            state.setTimeoutTimestamp(max(ended // 1000, state.getCurrentWatermarkMs()) + 1)
+        own = [row for whose, row in rows if whose == lens]
+        if own:
+            yield pd.DataFrame({"done": key[0], "lens": lens, "ended": ended, "row": own})
+
+    return run
+
+
+def finished_stream(records: DataFrame, activities: DataFrame, forget: str | None = None) -> DataFrame:
     """``records(id, activity, by, at_time, ...)`` once the finished activity ``activities(id, lens, status, type, at_time)`` of
-    their own lens has arrived, never before. An activity ends at most ``longest`` after its records; what falls outside
-    the watermarks is left out and shows in the batch count of unfinished records."""
-    left = records.withWatermark("at_time", delay)
-    right = activities.filter("type = 'read' and status = 'ok'").select(F.col("id").alias("done"), "lens", F.col("at_time").alias("done_at")).withWatermark("done_at", delay)
-    same = (F.col("activity") == F.col("done")) & (F.col("by") == F.col("lens"))
-    near = (F.col("done_at") >= F.col("at_time") - F.expr(f"interval {longest}")) & (F.col("done_at") <= F.col("at_time") + F.expr(f"interval {longest}"))
-    return left.join(right, same & near, "inner")
+    their own lens has arrived, never before, with ``done, lens, done_at``. Whichever of the two comes first, and however much
+    later the other: records wait in the state of their activity, and a finished activity lets later ones pass at once.
+
+    State has the records of open activities and the lens of each finished one. With ``forget`` (such as ``30 days``) an activity
+    that ended so long before the newest row is dropped from it, and rows that come so late are left out. All records of an
+    activity are held by one task; they are those of one batch of units.
+    """
+    kept = records.columns
+    waits = records.select("activity", F.col("by").alias("whose"), F.lit(None).cast("long").alias("ended"), F.to_json(F.struct(*kept), AS_JSON).alias("row"), "at_time")
+    ends = activities.filter("type = 'read' and status = 'ok'")
+    ends = ends.select(F.col("id").alias("activity"), F.col("lens").alias("whose"), F.unix_micros("at_time").alias("ended"), F.lit(None).cast("string").alias("row"), "at_time")
+    both = waits.unionByName(ends)
+    if forget:
+        both = both.withWatermark("at_time", forget)
+    timeout = GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    out = both.groupBy("activity").applyInPandasWithState(_gate(bool(forget)), "done string, lens string, ended long, row string", "lens string, ended long, waiting string", "append", timeout)
+    return out.select(F.from_json("row", records.schema, AS_JSON).alias("r"), "done", "lens", F.timestamp_micros("ended").alias("done_at")).select("r.*", "done", "lens", "done_at")
 
 
 def daily_terms_stream(hits: DataFrame, late: str = "1 day") -> DataFrame:

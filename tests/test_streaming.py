@@ -52,6 +52,95 @@ def test_finished_records_wait_for_their_activity(spark, tmp_path):
     assert [r.id for r in batch.collect()] == ["c1"]
 
 
+def test_a_line_finished_later(spark, tmp_path):
+    """Half a line is left alone; once it is finished, and with what follows, it is read whole. New files are read too."""
+    land, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    land.mkdir()
+    line = lambda i: json.dumps({"id": f"r{i}", "kind": "memo é"}) + "\n"
+    seen = lambda: sorted(r.id for r in spark.read.schema("id string").parquet(out).collect())
+    whole = line(2)
+    (land / "a.jsonl").write_text(line(1) + whole[:9])
+    S.run_available(S.tail_ledger(spark, str(land)), out, mark)
+    assert seen() == ["r1"]
+    with (land / "a.jsonl").open("a") as f:
+        f.write(whole[9:] + line(3) + "not json\n" + line(1))
+    (land / "b.jsonl").write_text(line(4) + line(5)[:-1])
+    S.run_available(S.tail_ledger(spark, str(land)), out, mark)
+    assert seen() == ["r1", "r2", "r3", "r4"]
+    with (land / "b.jsonl").open("a") as f:
+        f.write("\n")
+    S.run_available(S.tail_ledger(spark, str(land)), out, mark)
+    assert seen() == ["r1", "r2", "r3", "r4", "r5"]
+
+
+def test_pieces_of_a_file(tmp_path, monkeypatch):
+    """Whatever the sizes of pieces and chunks, every whole line is read once, at its place."""
+    import random
+
+    from marginalia.streaming import tail
+
+    rng = random.Random(3)
+    lines = ["x" * rng.randrange(0, 30) + "é" for _ in range(300)]
+    (tmp_path / "f").write_text("\n".join(lines) + "\nhalf")
+    (tmp_path / "_left_out").write_text("a\n")
+    raw = (tmp_path / "f").read_bytes()
+    for piece, chunk in ((7, 5), (64, 16), (1000, 3), (10**6, 10**6)):
+        monkeypatch.setattr(tail, "PIECE", piece)
+        monkeypatch.setattr(tail, "CHUNK", chunk)
+        reader = tail.TailReader(f"file:{tmp_path}")
+        end = reader.latestOffset()
+        assert list(end.values()) == [len(raw) - 4]
+        found = [(s, v) for p in reader.partitions({}, end) for b in reader.read(p) for s, v in zip(b["start"].to_pylist(), b["value"].to_pylist(), strict=True)]
+        assert [v for _, v in found] == lines and all(raw[s : s + len(v.encode())].decode() == v for s, v in found)
+        middle = raw.index(b"\n", 500) + 1
+        later = [v for p in reader.partitions({next(iter(end)): middle}, end) for b in reader.read(p) for v in b["value"].to_pylist()]
+        assert later == raw[middle:-4].decode().splitlines() and reader.partitions(end, end) == []
+
+
+def test_activities_days_late(spark, tmp_path):
+    """Whichever comes first, however far apart in time; a record passes once, and one of another lens never."""
+    recs, acts, out, mark = tmp_path / "recs", tmp_path / "acts", str(tmp_path / "out"), str(tmp_path / "mark")
+    coding = lambda i, a, at, by="l": {"id": i, "activity": a, "by": by, "at": at}
+    act = lambda i, at, status="ok", kind="read": {"id": i, "lens": "l", "type": kind, "status": status, "at": at}
+
+    def run(name, new, done, forget=None):
+        for at, rows in ((recs, new), (acts, done)):
+            at.mkdir(exist_ok=True)
+            write(at / name, rows)
+        schema = lambda cols: T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        time = F.to_timestamp("at").alias("at_time")
+        records = S.tail_ledger(spark, str(recs), schema(["id", "activity", "by", "at"])).select("id", "activity", "by", time)
+        activities = S.tail_ledger(spark, str(acts), schema(["id", "lens", "type", "status", "at"])).select("id", "lens", "type", "status", time)
+        S.run_available(S.finished_stream(records, activities, forget), out, mark)
+        return sorted((r.id, r.at_time.isoformat(), r.done, r.done_at.isoformat()) for r in spark.read.parquet(out).collect()) if list((tmp_path / "out").glob("*.parquet")) else []
+
+    early, late = "2026-06-01T00:00:00.123456Z", "2026-07-30T00:00:00Z"
+    assert run("1", [coding("c1", "x", early), coding("c2", "y", early), coding("c3", "x", early, "m"), coding("c6", "z", early), coding("c7", "v", early)], [act("w", late)]) == []
+    one = ("c1", "2026-06-01T00:00:00.123456", "x", "2026-07-30T00:00:00")
+    assert run("2", [], [act("x", late), act("z", late, "failed"), act("v", late, "ok", "merge")]) == [one]
+    two = ("c4", "2026-01-01T00:00:00", "x", "2026-07-30T00:00:00")
+    assert run("3", [coding("c4", "x", "2026-01-01T00:00:00Z"), coding("c5", "x", early, "m")], [act("x", late)]) == [one, two]
+    assert [r[0] for r in run("4", [], [act("y", early)])] == ["c1", "c2", "c4"]
+
+
+def test_finished_activities_are_forgotten(spark, tmp_path):
+    schema = "id string, activity string, by string, at_time timestamp"
+    done = "id string, lens string, type string, status string, at_time timestamp"
+    recs, acts, out, mark = (str(tmp_path / x) for x in ("recs", "acts", "out", "mark"))
+
+    def run(new, ended):
+        spark.createDataFrame(new, schema.replace("timestamp", "string")).withColumn("at_time", F.to_timestamp("at_time")).write.mode("append").parquet(recs)
+        spark.createDataFrame(ended, done.replace("timestamp", "string")).withColumn("at_time", F.to_timestamp("at_time")).write.mode("append").parquet(acts)
+        stream = S.finished_stream(spark.readStream.schema(schema).parquet(recs), spark.readStream.schema(done).parquet(acts), "1 day")
+        S.run_available(stream, out, mark)
+        return sorted(r.id for r in spark.read.parquet(out).collect())
+
+    assert run([("a", "x", "l", "2026-06-01 00:00:00")], [("x", "l", "read", "ok", "2026-06-01 01:00:00")]) == ["a"]
+    assert run([("b", "x", "l", "2026-06-01 02:00:00"), ("c", "y", "l", "2026-06-09 00:00:00")], [("z", "l", "read", "ok", "2026-06-09 00:00:00")]) == ["a", "b"]
+    assert run([("d", "q", "l", "2026-06-09 00:00:00")], [("q", "l", "read", "ok", "2026-06-09 00:00:00")]) == ["a", "b", "d"]
+    assert run([("e", "x", "l", "2026-06-09 00:00:00")], [("y", "l", "read", "ok", "2026-06-09 00:00:00")]) == ["a", "b", "c", "d"]
+
+
 def test_daily_terms(spark, tmp_path):
     land, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     land.mkdir()
