@@ -18,6 +18,7 @@ def ranked(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     written; each task sorts its range. What a partition holds is counted, the counts are added up, and a row's place is what
     stands before its partition and before it there. So a group may be as large as the table, no window has more rows than
     there are partitions, and ``rows`` are computed once. Only rows that are equal in group and whole order share a task.
+    The result reads a table in the shared folder, which dropped() deletes once nothing needs it.
     """
     once = written(rows, "to-rank")
     placed = once.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
@@ -30,11 +31,15 @@ def ranked(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     place = F.col("_before") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
     numbered = placed.join(F.broadcast(sizes), part == F.col("_part")).withColumn("_rn", place)
     if not by:
-        return numbered.withColumn("_n", F.col("_all")).drop("_at", "_part", "_size", "_before", "_all")
+        out = numbered.withColumn("_n", F.col("_all")).drop("_at", "_part", "_size", "_before", "_all")
+        out._written_at = placed._written_at
+        return out
     numbered = numbered.drop("_part", "_size", "_before", "_all", "_at")
     groups = numbered.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
     met = numbered.join(groups, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    return met.withColumn("_rn", F.col("_rn") - F.col("_first")).drop("_first", *[f"_of_{c}" for c in by])
+    out = met.withColumn("_rn", F.col("_rn") - F.col("_first")).drop("_first", *[f"_of_{c}" for c in by])
+    out._written_at = placed._written_at
+    return out
 
 
 def running_max(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
