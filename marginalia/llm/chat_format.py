@@ -23,6 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.ranks import ranked
+from marginalia.sources.folders import dropped
+
 from .common import Scratch, table, text_blocks
 
 ROLES = ("system", "user", "assistant")
@@ -69,9 +72,18 @@ def _log_share(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 0.5) / (counts + 0.5).sum(axis=-1, keepdims=True))
 
 
+#: What speakers after speakers (system, user, assistant, start) count for before any is seen: a system speaks first or not at all,
+#: a user opens, user and assistant take turns.
+_ORDER_PRIOR = np.array([[0.1, 9.0, 0.9], [0.1, 2.0, 7.9], [0.1, 7.9, 2.0], [2.0, 7.5, 0.5]])
+#: What a size of a line counts for before any is seen: users ask, assistants write longer lines.
+_SIZE = np.repeat(np.arange(_SIZES), 2)
+_ASKS = np.tile([False, True], _SIZES)
+_SAID_PRIOR = 0.5 * np.stack([np.ones(_CODES), np.where(_ASKS, 2.0, 1.0), np.where(_SIZE > 6, 1.5, 1.0)])
+
+
 def model_of(order: np.ndarray, opening: np.ndarray, going_on: np.ndarray) -> Model:
     """From counts of speakers after speakers (4 x 3), and of size codes by speaker (3 x 24 each)."""
-    said, on = _log_share(opening), _log_share(going_on)
+    order, said, on = order + _ORDER_PRIOR, _log_share(opening + _SAID_PRIOR), _log_share(going_on)
     with_label = lambda odds, codes: (odds[:, :, None] + codes[:, None, :]).reshape(3, -1)
     return Model(_log_share(order), with_label(_AT_TURN, said), with_label(_INSIDE, said), with_label(_GOING_ON, on))
 
@@ -185,8 +197,8 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
     return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().flatten()
 
 
-def _doubles(values: pa.Array) -> np.ndarray:
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 3)
+def _doubles(values: pa.Array, modes: int, mode: int) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, modes, 4, 3)[:, mode]
 
 
 class _Chains:
@@ -220,8 +232,8 @@ class _Chains:
         return out[0], out[1]
 
 
-def _fold(model: Model):
-    """Turns of a chunk: their matrices, and the product."""
+def _fold(model: Model, modes: int):
+    """Turns of a chunk: their matrices, and the product; in a second mode as if no role were given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,36 +242,52 @@ def _fold(model: Model):
             sizes, (at, tie, given, seen) = _lists(batch.column(2))
             lines = np.concatenate(([0], np.cumsum(pc.binary_length(seen).to_numpy(zero_copy_only=False).astype(np.int64))))
             codes = np.frombuffer(b"".join(seen.to_pylist()), np.uint8)
-            matrices = _Turns(model, codes, lines, given.to_numpy(zero_copy_only=False)).matrices()
-            products = _Chains(sizes, matrices).products()
+            known = given.to_numpy(zero_copy_only=False)
+            matrices = [_Turns(model, codes, lines, g).matrices() for g in (known, np.full_like(known, UNKNOWN))[:modes]]
+            products = [_Chains(sizes, m).products() for m in matrices]
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            twelve = pa.array(np.arange(len(matrices) + 1) * 12, pa.int32())
-            turns = pa.StructArray.from_arrays([at, tie, pa.ListArray.from_arrays(twelve, pa.array(matrices.ravel()))], names=["at", "tie", "scores"])
-            product = pa.ListArray.from_arrays(pa.array(np.arange(len(products) + 1) * 12, pa.int32()), pa.array(products.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, turns), product], names=["conv", "chunk", "turns", "product"])
+            turns = pa.StructArray.from_arrays([at, tie, _listed(matrices)], names=["at", "tie", "scores"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, turns), _listed(products)], names=["conv", "chunk", "turns", "product"])
 
     return run
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of a conversation: the speakers before and at the end of each."""
-    for batch in batches:
-        if batch.num_rows:
-            sizes, (chunk, product) = _lists(batch.column(1))
-            before, after = _Chains(sizes, _doubles(product)).states(np.full(len(sizes), START))
-            conv = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
-            yield pa.RecordBatch.from_arrays([conv, chunk, pa.array(before), pa.array(after)], names=["of", "part", "before", "after"])
+def _listed(modes: list[np.ndarray]) -> pa.ListArray:
+    """A list of all modes' scores for each member."""
+    flat = np.stack(modes, 1).reshape(len(modes[0]), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns of a chunk: the speakers before and at the end of each."""
-    for batch in batches:
-        if batch.num_rows:
-            sizes, (at, tie, scores) = _lists(batch.column(1))
-            ends = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]
-            before, after = _Chains(sizes, _doubles(scores)).states(*ends)
-            conv = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
-            yield pa.RecordBatch.from_arrays([conv, at, tie, pa.array(before), pa.array(after)], names=["of", "of_at", "of_tie", "before", "after"])
+def _ends(modes: int):
+    """Chunks of a conversation: for each mode the speakers before and at the end of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes, (chunk, product) = _lists(batch.column(1))
+                found = [x for m in range(modes) for x in _Chains(sizes, _doubles(product, modes, m)).states(np.full(len(sizes), START))]
+                conv = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
+                yield pa.RecordBatch.from_arrays([conv, chunk, *map(pa.array, found)], names=["of", "part", *_END_NAMES[: 2 * modes]])
+
+    return run
+
+
+def _decode(modes: int):
+    """Turns of a chunk: for each mode the speakers before and at the end of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes, (at, tie, scores) = _lists(batch.column(1))
+                ends = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 2 + 2 * modes)]
+                found = [x for m in range(modes) for x in _Chains(sizes, _doubles(scores, modes, m)).states(*ends[2 * m : 2 * m + 2])]
+                conv = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
+                yield pa.RecordBatch.from_arrays([conv, at, tie, *map(pa.array, found)], names=["of", "of_at", "of_tie", *_END_NAMES[: 2 * modes]])
+
+    return run
+
+
+_END_NAMES = ("before", "after", "before_unseen", "after_unseen")
 
 
 def markup(role: str, said: str) -> str:
@@ -267,13 +295,16 @@ def markup(role: str, said: str) -> str:
     return f"<|im_start|>{role}\n" + said.replace("<\\", "<\\\\").replace("<|", "<\\|") + "<|im_end|>\n"
 
 
-def _write(model: Model):
+def _write(model: Model, modes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
             codes, offsets, lines = line_codes(block.column(0))
             given = _given(block.column(1))
             ends = [block.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
             who, opens = _Turns(model, codes, offsets, given).speakers(*ends)
+            unseen = who
+            if modes == 2:
+                unseen, _ = _Turns(model, codes, offsets, np.full_like(given, UNKNOWN)).speakers(*[block.column(i).to_numpy(zero_copy_only=False) for i in (6, 7)])
             said, out = lines.to_pylist(), []
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 cuts = [*np.flatnonzero(opens[k]).tolist(), b - a]
@@ -285,12 +316,12 @@ def _write(model: Model):
                         text = _CLOSE.sub("", "\n".join(mine)) if marked[1] else "\n".join(mine)
                     else:
                         text = "\n".join(mine)
-                    out.append((k, part, ROLES[role], j - i, text, markup(ROLES[role], text), ROLES[role] == "assistant"))
-            k, part, role, n, text, chat, learned = zip(*out, strict=True)
+                    out.append((k, part, ROLES[role], j - i, text, markup(ROLES[role], text), ROLES[role] == "assistant", ROLES[unseen[k][i]]))
+            k, part, role, n, text, chat, learned, other = zip(*out, strict=True)
             k = pa.array(k)
             yield pa.RecordBatch.from_arrays(
-                [block.column(2).take(k), block.column(3).take(k), pa.array(part, pa.int32()), pa.array(role), pa.array(n, pa.int32()), pa.array(text), pa.array(chat), pa.array(learned)],
-                names=["conv_id", "turn", "part", "role", "n_lines", "text", "chat", "learned"],
+                [block.column(2).take(k), block.column(3).take(k), pa.array(part, pa.int32()), pa.array(role), pa.array(n, pa.int32()), pa.array(text), pa.array(chat), pa.array(learned), pa.array(other)],
+                names=["conv_id", "turn", "part", "role", "n_lines", "text", "chat", "learned", "role_unseen"],
             )
 
     return run
@@ -314,34 +345,44 @@ def _learn(observed: DataFrame, grouped: DataFrame) -> Model:
     return model_of(order, sums[:, 0], sums[:, 1])
 
 
-def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK, unseen: bool = False) -> DataFrame:
     """Messages ``conv_id, turn, part, role, n_lines, text, chat, learned``, in order of turn and part: ``chat`` is the
-    message in markup, ``learned`` says whether a model should learn to write it (the assistant's).
+    message in markup, ``learned`` says whether a model should learn to write it (the assistant's). With ``unseen`` a second
+    decoding withholds every given role: ``role_unseen`` is the role that the lines and their order alone give a message.
 
     Null texts are empty, null ids and turns sort before all others, rows that are equal in all four columns count once;
     rows that share a turn follow each other in the order of a hash. Labels are taken off messages they open, where the
-    table gives no known role; a turn of known role keeps its text byte for byte. An empty table gives an empty result.
+    table gives no known role; a turn of known role keeps its text byte for byte. Columns other than those four are left
+    out, whatever their names. An empty table gives an empty result.
+
+    Turns are ranked by a prefix sum and folded ``chunk`` at a time, so a conversation of any length, and any number of rows without
+    id or turn, spreads over tasks.
     """
-    low = F.lit(NULL_ID).cast("long")
+    low, modes = F.lit(NULL_ID).cast("long"), 1 + unseen
     text, role = F.coalesce(F.col(text_col), F.lit("")), F.col(role_col).cast("string")
     keyed = rows.select(text.alias("text"), role.alias("role"), F.coalesce(F.col(id_col).cast("long"), low).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), low).alias("at"), F.xxhash64(text, role).alias("tie"))
     scratch = Scratch(rows.sparkSession)
     observed = scratch.write(keyed.mapInArrow(_observe, "conv long, at long, tie long, given int, seen binary"), "observed").dropDuplicates(["conv", "at", "tie"])
-    piece = F.floor(F.col("at") / chunk).cast("long").alias("chunk")
-    grouped = observed.groupBy("conv", piece).agg(F.array_sort(F.collect_list(F.struct("at", "tie", "given", "seen"))).alias("turns"))
+    placed = ranked(observed, ["conv"], ["at", "tie"])
+    piece = F.floor(F.col("_rn") / chunk).cast("long").alias("chunk")
+    grouped = placed.groupBy("conv", piece).agg(F.array_sort(F.collect_list(F.struct("at", "tie", "given", "seen"))).alias("turns"))
     grouped = scratch.write(grouped, "transcripts")
+    dropped(placed)
     model = _learn(observed, grouped)
-    chunks = scratch.write(grouped.mapInArrow(_fold(model), "conv long, chunk long, turns array<struct<at:long,tie:long,scores:array<double>>>, product array<double>"), "folded")
+    ends = ", ".join(f"{c} int" for c in _END_NAMES[: 2 * modes])
+    names = _END_NAMES[: 2 * modes]
+    chunks = scratch.write(grouped.mapInArrow(_fold(model, modes), "conv long, chunk long, turns array<struct<at:long,tie:long,scores:array<double>>>, product array<double>"), "folded")
     whole = chunks.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("chunk", "product"))).alias("chunks"))
-    ends = scratch.write(whole.mapInArrow(_ends, "of long, part long, before int, after int"), "ends")
-    met = chunks.join(ends, (F.col("conv") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("conv", "turns", "before", "after")
-    speakers = scratch.keep(met.mapInArrow(_decode, "of long, of_at long, of_tie long, before int, after int"), "speakers")
+    met = scratch.write(whole.mapInArrow(_ends(modes), f"of long, part long, {ends}"), "ends")
+    met = chunks.join(met, (F.col("conv") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("conv", "turns", *names)
+    speakers = scratch.keep(met.mapInArrow(_decode(modes), f"of long, of_at long, of_tie long, {ends}"), "speakers")
     once = keyed.dropDuplicates(["conv", "at", "tie"])
-    placed = once.join(speakers.hint("merge"), (F.col("conv") == F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("tie") == F.col("of_tie"))).select("text", "role", "conv", "at", "before", "after")
-    out = placed.mapInArrow(_write(model), "conv_id long, turn long, part int, role string, n_lines int, text string, chat string, learned boolean")
-    return out.withColumns({c: F.nullif(F.col(c), low) for c in ("conv_id", "turn")})
+    placed = once.join(speakers.hint("merge"), (F.col("conv") == F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("tie") == F.col("of_tie"))).select("text", "role", "conv", "at", *names)
+    out = placed.mapInArrow(_write(model, modes), "conv_id long, turn long, part int, role string, n_lines int, text string, chat string, learned boolean, role_unseen string")
+    return out.withColumns({c: F.nullif(F.col(c), low) for c in ("conv_id", "turn")}).drop(*([] if unseen else ["role_unseen"]))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return found.select("conv_id", "turn", "part", "role", "n_lines", F.length("text").alias("n_chars"), F.sha2(F.encode("chat", "utf-8"), 256).alias("chat_sha256"), "learned")
+    found = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), unseen=True)
+    digest = F.sha2(F.encode("chat", "utf-8"), 256).alias("chat_sha256")
+    return found.select("conv_id", "turn", "part", "role", "n_lines", F.length("text").alias("n_chars"), digest, "learned", "role_unseen", (F.col("role") == F.col("role_unseen")).alias("agrees"))

@@ -84,3 +84,83 @@ def test_viterbi_is_the_best_of_all_paths():
     who, _ = lines.speakers(before, after)
     assert tuple(np.concatenate(who).tolist()) == want
     assert abs(chat._Chains(np.array([len(turns)]), matrices).products()[0, chat.START].max() - best[want]) < 1e-9
+
+
+def plain_speakers(model, turns):
+    """Viterbi over the lines of one conversation, a line at a time, no role given: the speaker of the first line of each turn."""
+    score, back, firsts, n = {chat.START: 0.0}, [], [], 0
+    for text in turns:
+        codes, _, _ = chat.line_codes(pa.array([text]))
+        firsts.append(n)
+        for i, code in enumerate(codes.tolist()):
+            now, came = {}, {}
+            for r in range(3):
+                for last, s in score.items():
+                    opened = model.order[last, r] + (model.turn[r, code] if i == 0 else chat._LEAVE + model.inside[r, code])
+                    step = opened if i == 0 or last != r else max(opened, chat._STAY + model.going_on[r, code])
+                    if r not in now or s + step > now[r]:
+                        now[r], came[r] = s + step, last
+            score = now
+            back.append(came)
+            n += 1
+    path = [max(score, key=lambda r: (score[r], -r))]
+    for came in back[:0:-1]:
+        path.append(came[path[-1]])
+    path = path[::-1]
+    return [chat.ROLES[path[i]] for i in firsts]
+
+
+@pytest.fixture(scope="module")
+def given():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/conversations.parquet").to_pylist()
+    return sorted({(r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows})
+
+
+def test_query_by_hand(spark, given, monkeypatch):
+    """Every column; the role found without any given one is that of a plain Viterbi under the same model."""
+    import hashlib
+
+    from marginalia.llm import queries
+
+    kept = []
+    learn = chat._learn
+    monkeypatch.setattr(chat, "_learn", lambda *a: kept.append(learn(*a)) or kept[-1])
+    found = sorted(tuple(r) for r in queries.QUERIES["op6_chat_format"](spark, "/root/testdata/sf0.01").collect())
+    want, close = [], 0
+    for conv, turns in itertools.groupby(given, key=lambda r: r[0]):
+        turns = list(turns)
+        for (_, turn, role, text), other in zip(turns, plain_speakers(kept[0], [t[3] for t in turns]), strict=True):
+            sha = hashlib.sha256(chat.markup(role, text).encode()).hexdigest()
+            want.append((conv, turn, 0, role, text.count("\n") + 1, len(text), sha, role == "assistant", other, role == other))
+    assert [r[:8] for r in found] == [r[:8] for r in sorted(want)]
+    close = sum(a == b for a, b in zip(found, sorted(want), strict=True))
+    assert close >= 0.995 * len(found)  # equal scores may fall either way
+    assert sum(r[9] for r in found) >= 0.9 * len(found)
+
+
+def test_hidden_roles(spark, given):
+    """With the roles of every second conversation hidden at least nine in ten are found again; with all hidden, most."""
+    frame = lambda hide: spark.createDataFrame([(c, t, None if hide(c) else r, x) for c, t, r, x in given], ROWS)
+    truth = {(c, t): r for c, t, r, _ in given}
+    for hide, least in ((lambda c: c % 2 == 0, 0.9), (lambda c: True, 0.75)):
+        found = {(m.conv_id, m.turn): m.role for m in chat.format_chats(frame(hide)).filter("part = 0").collect()}
+        asked = [k for k in truth if hide(k[0])]
+        right = sum(found[k] == truth[k] for k in asked)
+        assert right >= least * len(asked) and len(set(found.values())) > 1
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    """Thousands of rows of no conversation and no turn, dealt in chunks; other columns do not matter."""
+    rows = [(None, None, None, f"text {i}", "x", i) for i in range(700)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk string, part long").repartition(3)
+    a, b = (sorted((m.text, m.n_lines) for m in chat.format_chats(docs, chunk=c).collect()) for c in (16, 128))
+    assert a == b == sorted((f"text {i}", 1) for i in range(700))
+
+
+def test_very_long_transcript(spark):
+    text = "\n".join(f"{('User', 'Assistant')[i % 2]}: line {i}{'?' if i % 2 == 0 else ''}" for i in range(40_000))
+    found = chat.format_chats(spark.createDataFrame([(1, 0, None, text), (2, 0, "user", "Hm?")], ROWS)).filter("conv_id = 1").collect()
+    assert [(m.part, m.role, m.text) for m in sorted(found, key=lambda m: m.part)][:3] == [(0, "user", "line 0?"), (1, "assistant", "line 1"), (2, "user", "line 2?")]
+    assert len(found) == 40_000
