@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, find_matches
+from ..sources.terms import BETWEEN, EDGE_LEFT, EDGE_RIGHT
 from .ranks import ranked
 
 #: Terms that one job searches for at most; a term list is written by hand.
@@ -24,16 +27,71 @@ def _term_rows(terms: DataFrame) -> list:
     return rows
 
 
+#: A pattern as sources.terms writes it for words; its first word has no other letter or digit on either side.
+_PLAIN = re.compile(rf"(\(\?iu\))?{re.escape(EDGE_LEFT)}([A-Za-z0-9]+)((?:[A-Za-z0-9_]|\\[^A-Za-z0-9]|{re.escape(BETWEEN)})*){re.escape(EDGE_RIGHT)}")
+#: Letters that are one with an ASCII letter when case is ignored.
+_ALIKE = ("ſıİK", "siik")
+
+
+def trie_pattern(words: set[str]) -> str:
+    """A pattern for any of the words that looks at each letter once, however many words there are."""
+    by_first: dict[str, set[str]] = {}
+    for w in words:
+        if w:
+            by_first.setdefault(w[0], set()).add(w[1:])
+    arms = [first + trie_pattern(rest) for first, rest in sorted(by_first.items())]
+    body = arms[0] if len(arms) == 1 else f"(?:{'|'.join(arms)})"
+    return (f"(?:{body})?" if "" in words else body) if arms else ""
+
+
+def _anchored(rows: list) -> tuple[dict[str, dict[str, list]], list]:
+    """Terms by flag and first word, each with its pattern, or None where the word is all; and terms without such a word."""
+    anchors: dict[str, dict[str, list]] = {"": {}, "(?iu)": {}}
+    loose = []
+    for r in rows:
+        plain = _PLAIN.fullmatch(r.pattern)
+        if not plain:
+            loose.append(r)
+            continue
+        flag, word, more = plain[1] or "", plain[2], plain[3]
+        anchors[flag].setdefault(word.lower() if flag else word, []).append((r.term, r.pattern if more else None))
+    return anchors, loose
+
+
 def term_hits(units: DataFrame, terms: DataFrame) -> DataFrame:
     """``units(unit, text, ...)`` to one row for each unit and term found in it: all columns but text, ``term, n``.
-    One pass over the texts, no join and no shuffle."""
+
+    The first words of all terms are one pattern, for which a text is searched once. Terms of one word are counted from what that
+    finds; the pattern of a longer one is only searched for in texts that hold its first word. Given patterns are searched for in
+    every text. There is no join and no shuffle."""
     others = [c for c in units.columns if c != "text"]
     rows = _term_rows(terms)
     if not rows:
         return units.select(*others, F.lit("").alias("term"), F.lit(0).alias("n")).limit(0)
-    found = F.array(*[F.struct(F.lit(r.term).alias("term"), F.regexp_count("text", F.lit(r.pattern)).alias("n")) for r in rows])
-    hits = units.select(*others, F.explode(F.filter(found, lambda f: f["n"] > 0)).alias("f"))
-    return hits.select(*others, "f.term", "f.n")
+    anchors, loose = _anchored(rows)
+    anchors = {flag: words for flag, words in anchors.items() if words}
+    found = {}
+    for i, (flag, words) in enumerate(anchors.items()):
+        said = F.regexp_extract_all("text", F.lit(f"{flag}{EDGE_LEFT}{trie_pattern(set(words))}{EDGE_RIGHT}"), F.lit(0))
+        found[f"_said{i}"] = F.transform(said, lambda m: F.lower(F.translate(m, *_ALIKE))) if flag else said
+    texts = units.select(*others, "text", *[c.alias(name) for name, c in found.items()])
+    hits = [_counted(F.col(name), words) for name, words in zip(found, anchors.values(), strict=True)]
+    if loose:
+        hits.append(F.array(*[F.struct(F.lit(r.term).alias("term"), F.regexp_count("text", F.lit(r.pattern)).alias("n")) for r in loose]))
+    out = texts.select(*others, F.explode(F.filter(F.concat(*hits), lambda f: f["n"] > 0)).alias("f"))
+    return out.select(*others, "f.term", "f.n")
+
+
+def _counted(said: Column, words: dict[str, list]) -> Column:
+    """From the first words found in a text, as often as they are there: the terms that begin so, with their numbers."""
+    term = lambda t: F.struct(F.lit(t[0]).alias("term"), F.lit(t[1]).cast("string").alias("pattern"))
+    table = F.create_map(*[x for w, found in words.items() for x in (F.lit(w), F.array(*map(term, found)))])
+
+    def one(word: Column) -> Column:
+        uses = F.size(F.filter(said, lambda x: x == word))
+        return F.transform(F.try_element_at(table, word), lambda t: F.struct(t["term"].alias("term"), F.when(t["pattern"].isNull(), uses).otherwise(F.regexp_count("text", t["pattern"])).alias("n")))
+
+    return F.coalesce(F.flatten(F.transform(F.array_distinct(said), one)), F.array().cast("array<struct<term:string,n:int>>"))
 
 
 def trace_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import PYWS
 
 EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: What may stand between the words of a term.
+BETWEEN = rf"(?:{PYWS}|[-_])+"
 
 
 def terms_table(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def terms_table(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     label = F.when(custom, F.trim(F.split_part("bare", F.lit(" = "), F.lit(1)))).otherwise(F.col("bare"))
     given = F.trim(F.expr("substring(bare, instr(bare, ' = ') + 3)"))
     words = F.transform(F.split("bare", rf"(?:{PYWS}|-)+"), lambda w: F.regexp_replace(w, r"([^A-Za-z0-9_])", r"\\$1"))
-    body = F.concat(F.lit(EDGE_LEFT), F.array_join(words, rf"(?:{PYWS}|[-_])+"), F.lit(EDGE_RIGHT))
+    body = F.concat(F.lit(EDGE_LEFT), F.array_join(words, BETWEEN), F.lit(EDGE_RIGHT))
     shouted = (F.upper("bare") == F.col("bare")) & F.col("bare").rlike(r"\p{L}")
     pattern = F.when(custom, given).when(shouted, body).otherwise(F.concat(F.lit("(?iu)"), body))
     rows = rows.select(*by, label.alias("label"), pattern.alias("pattern"), "ord", "heading")

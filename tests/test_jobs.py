@@ -279,3 +279,27 @@ def test_shared_folder_is_shared(spark, monkeypatch):
 def test_identity_of_a_body_that_cannot_be_encoded(spark):
     records = spark.createDataFrame([("code:x", "code", '{"a": "\\ud800"}'), ("code:y", "code", "{"), ("m", "memo", '{"a": "\\udfff"}')], "id string, kind string, body string")
     assert rows(checks.check_identity(records), "id", "reason") == [("code:x", "record id does not match its content"), ("code:y", "record id does not match its content")]
+
+
+def test_many_terms_at_once(spark):
+    """Terms found through their first words are those that each pattern finds by itself."""
+    import random
+
+    rng = random.Random(8)
+    words = ["cat", "CAT", "cats", "Ca", "c", "naïve", "don't", "x9", "set", "is", "foo_bar", "éa", "end"]
+    lines = ["cat", "CAT", "cats", "ca", "c", "naïve cat", "don't", "x9 end", "set", "is", "foo_bar", "foo", "éa", "cat cat", "end-is", "both = [Cc]at|end", "edge = (?<![A-Za-z0-9])ca(?![A-Za-z0-9])", "digit = (?<![A-Za-z0-9])x\\d(?![A-Za-z0-9])", "SET IS", "cat"]
+    seps = [" ", " ", "-", "_", ". ", "\n", "", " \u00a0"]
+    texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "\u017fet \u0130s ıs", "ſTHE SET IS", "x\u212a c\u212a"]
+    table = terms.terms_of(spark, "\n".join(lines))
+    units = spark.createDataFrame(list(enumerate(texts)), "unit int, text string")
+    found = {(r.unit, r.term): r.n for r in lexicon.term_hits(units, table).collect()}
+    each = units.select("unit", F.explode(F.array(*[F.struct(F.lit(r.term).alias("term"), F.regexp_count("text", F.lit(r.pattern)).alias("n")) for r in table.collect()])).alias("f")).select("unit", "f.*")
+    assert found == {(r.unit, r.term): r.n for r in each.filter("n > 0").collect()} and len(found) > 300
+    assert lexicon.term_hits(units, table.limit(0)).collect() == []
+
+
+def test_trie_pattern():
+    import re
+
+    words = {"a", "ab", "abc", "b", "bcd", "bce", "xyz"}
+    assert {w for w in [*words, "", "abcd", "bc", "xy"] if re.fullmatch(lexicon.trie_pattern(words), w)} == words
