@@ -75,11 +75,12 @@ def day_of(time: Column) -> Column:
     return F.when(time.rlike(TIME), F.substring(time, 1, 10)).otherwise("unknown day")
 
 
-def find_matches(text: Column, pattern: str) -> Column:
+def find_matches(text: Column, pattern: str | Column) -> Column:
     """All matches in order: array of ``start, end`` (code points) ``, said``. The text between matches comes from a
     split by the same pattern, so positions are running lengths."""
     kind = "array<struct<start:int,end:int,said:string>>"
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("said")))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.zip_with(F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("said")))
     pairs = F.filter(pairs, lambda p: p["said"].isNotNull())
 
     def add(acc: Column, p: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PYWS, byte_at, collapse_ws, find_matches, quoted
@@ -72,10 +72,10 @@ def evidence_check(evidence: DataFrame, shown: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).filter("reason is not null").select("reading", "id", "quote", "reason")
 
 
-def term_anchor(units: DataFrame, pattern: str) -> DataFrame:
-    """The first match of a pattern in each unit as a byte span of its source: ``unit, start, end, exact``."""
+def term_anchor(units: DataFrame, pattern: str | Column) -> DataFrame:
+    """The first match of a pattern, or of each unit's own, as a byte span of its source: ``unit``, the unit's other columns but
+    text, ``start, end, exact``. A unit starts at ``start`` in its source."""
+    others = [c for c in units.columns if c not in ("unit", "start", "end", "text", "exact")]
     rows = units.withColumn("m", F.get(find_matches(F.col("text"), pattern), F.lit(0))).filter("m is not null")
     start = F.col("start") + byte_at(F.col("text"), F.col("m.start"))
-    return rows.select("unit", start.alias("start"), (start + F.octet_length("m.said")).alias("end"), F.col("m.said").alias("exact"))
-
-
+    return rows.select("unit", *others, start.alias("start"), (start + F.octet_length("m.said")).alias("end"), F.col("m.said").alias("exact"))

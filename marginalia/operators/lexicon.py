@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, find_matches
 from ..sources.terms import BETWEEN, EDGE_LEFT, EDGE_RIGHT
+from .anchors import term_anchor
 from .ranks import ranked
 
 #: Terms that one job searches for at most; a term list is written by hand.
@@ -142,6 +143,14 @@ def first_use(hits: DataFrame) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
+def first_use_anchors(hits: DataFrame, units: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, unit, time, n, start, end, exact``: the first hit of each term with the span of its first match in the source.
+    ``units(unit, start, text)``. Only the texts of first hits are searched again, each by its own term's pattern."""
+    first = first_use(hits).select("term", "unit", "time", "n").join(terms.select("term", "pattern"), "term")
+    placed = term_anchor(first.join(units.select("unit", "start", "text"), "unit"), F.col("pattern"))
+    return placed.select("term", "unit", "time", "n", "start", "end", "exact")
+
+
 def day_axis(days: DataFrame) -> DataFrame:
     """Every day from the first to the last of column ``day``, so that time is to scale."""
     ends = days.agg(F.min(F.col("day").cast("date")).alias("a"), F.max(F.col("day").cast("date")).alias("b")).filter("a is not null")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import ledger as L
-from ..sources.folders import shared_folder
+from ..sources.folders import open_store, shared_folder
 from ..streaming import ledger as R
-from ..streaming.tail import files_under, open_store
+from ..streaming.tail import files_under
 from .tables import Plans, table
 
 PLANS = Plans()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import CONTENT_ADDRESSED
+from .folders import open_store
 
 #: The envelope of every record; the body stays as JSON text beside it.
 ENVELOPE = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "v", "at", "by", "activity")])
@@ -56,9 +60,26 @@ def append_records(new: DataFrame, existing: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.when(F.col("known").isNull(), True).otherwise(wrong)).drop("known")
 
 
-def read_export(spark: SparkSession, path: str, schema: T.StructType, key: str = "page_id") -> DataFrame:
-    """JSON lines, gzipped or not; as gzip does not split, rows are dealt by ``key`` at once."""
-    return spark.read.schema(schema).json(path).repartition(key)
+def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines, gzipped or not; as gzip does not split, rows are dealt to tasks in turn at once, whatever page they are of."""
+    return spark.read.schema(schema).json(path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def write_blobs(rows: DataFrame, path: str) -> None:
+    """``rows(content)``, or with the names to give them ``rows(sha, content)``: a file each, in folders by the first two digits of its
+    digest. A content that comes more than once is one file. Tasks write by themselves; a task that runs again writes the same."""
+    named = rows if "sha" in rows.columns else rows.withColumn("sha", F.sha2("content", 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_store(path)
+        for batch in batches:
+            for sha, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{at}/{sha[:2]}", recursive=True)
+                with store.open_output_stream(f"{at}/{sha[:2]}/{sha}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    named.select("sha", "content").dropDuplicates(["sha"]).mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

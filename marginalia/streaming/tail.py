@@ -10,15 +10,12 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..sources.folders import open_store
+
 #: Bytes that one task reads, and that are looked at together for line ends.
 PIECE, CHUNK = 64 << 20, 1 << 20
 
 
-def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-
-
 def files_under(path: str) -> list[tuple[str, int]]:
     """Files and sizes: the path itself, or all in the folder; those that begin with a dot or an underscore are left out."""
     store, at = open_store(path)

@@ -303,3 +303,26 @@ def test_trie_pattern():
 
     words = {"a", "ab", "abc", "b", "bcd", "bce", "xyz"}
     assert {w for w in [*words, "", "abcd", "bc", "xy"] if re.fullmatch(lexicon.trie_pattern(words), w)} == words
+
+
+def test_appending_a_known_record_is_an_error(spark):
+    new = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert rows(ledger.append_records(new, spark.createDataFrame([("c",)], "id string"), "coding"), "id") == [("a",), ("b",)]
+    with pytest.raises(Exception, match="id is in the ledger already: b"):
+        ledger.append_records(new, spark.createDataFrame([("b",)], "id string"), "coding").collect()
+
+
+def test_blobs_written_and_read(spark, tmp_path):
+    texts = [b"one", b"", b"two", b"one", "é".encode()]
+    df = spark.createDataFrame([(t,) for t in texts], "content binary")
+    for _ in range(2):
+        ledger.write_blobs(df, f"file:{tmp_path}/blobs")
+    back = ledger.read_blobs(spark, f"{tmp_path}/blobs").collect()
+    assert sorted((r.sha, bytes(r.content)) for r in back) == sorted({(hashlib.sha256(t).hexdigest(), t) for t in texts})
+
+
+def test_first_use_with_its_place(spark):
+    table = terms.terms_of(spark, "the pot\nlid = [Ll]id\nnothing")
+    units = spark.createDataFrame([(1, 100, "é The  pot, the pot", "2026-06-02"), (2, 0, "A lid on the-pot", "2026-06-03"), (3, 50, "the pot", None)], "unit int, start int, text string, time string")
+    found = lexicon.first_use_anchors(lexicon.term_hits(units.select("unit", "text", "time"), table), units, table)
+    assert rows(found, "term", "unit", "start", "end", "exact") == [("lid", 2, 2, 5, "lid"), ("the pot", 3, 50, 57, "the pot")]
