@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,9 +84,17 @@ def write_blobs(rows: DataFrame, path: str) -> None:
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """``sha, content``: bytes kept in files named by their digest."""
+    """``sha, content``: bytes kept in files named by their digest. Spark's readers pass over files without bytes, so the file of
+    the empty content is looked for by its name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("sha"), "content")
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("sha"), "content")
+    nothing = hashlib.sha256().hexdigest()
+    for at in (f"{path}/{nothing}", f"{path}/{nothing[:2]}/{nothing}"):
+        file = spark._jvm.org.apache.hadoop.fs.Path(at)
+        store = file.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(file) and not store.getFileStatus(file).getLen():
+            return found.unionByName(spark.createDataFrame([(nothing, b"")], found.schema))
+    return found
 
 
 def write_page_data(rows: DataFrame, path: str, by: str | None = None) -> None:
