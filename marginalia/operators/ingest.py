@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import unit_id
 from ..functions.text import LINE_BLANKS, classify_line, signature_of, signature_uncertain
+from .ranks import carried, in_pieces
 
 
 def repair_bytes(revisions: DataFrame) -> DataFrame:
@@ -76,10 +77,10 @@ def follow(pieces: DataFrame, revisions: DataFrame) -> DataFrame:
 def deleted_after(units: DataFrame, deletions: DataFrame) -> DataFrame:
     """``units(unit, page, time)`` and ``deletions(page, time)``: the first deletion of the unit's page at or after its
     first time, or null. Both sides are merged by page and time in one sort, so a page of many units and many
-    deletions costs no pairs."""
+    deletions costs no pairs; a busy page is scanned piece by piece."""
     both = units.select("page", "time", F.lit(0).alias("side"), "unit").unionByName(deletions.select("page", "time", F.lit(1).alias("side"), F.lit(None).alias("unit")))
-    back = Window.partitionBy("page").orderBy(F.col("time").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("deleted", F.min(F.when(F.col("side") == 1, F.col("time"))).over(back)).filter("side = 0")
+    placed = in_pieces(both, ["page"], [F.col("time").desc(), F.col("side").desc()])
+    found = carried(placed, ["page"], F.when(F.col("side") == 1, F.col("time")), "deleted", least=True).filter("side = 0")
     return found.select("unit", F.col("deleted").alias("page_deleted_after"))
 
 

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from .ranks import ranked
+from .ranks import carried, in_pieces, ranked
 
 
 def merge_passages(entries: DataFrame) -> DataFrame:
     """``entries(id, unit, source, start, end, family, ...)`` with ``passage`` added: half-open spans of one unit and source
     that overlap chain into one passage, touching ones do not. Entries without a span stand alone. ``passage`` is a
-    struct of unit, source and the passage's start, or of the entry's id."""
+    struct of unit, source and the passage's start, or of the entry's id. A unit's spans are merged piece by piece, and how
+    far they reach is carried on, so a unit that very many have marked is spread over tasks."""
     placed = F.col("start").isNotNull() & F.col("end").isNotNull()
-    by = Window.partitionBy("unit", "source").orderBy("start", "end", "id")
-    found = entries.filter(placed).withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    by = ["unit", "source"]
+    found = carried(in_pieces(entries.filter(placed), by, ["start", "end", "id"]), by, F.col("end"), "reach")
     found = found.withColumn("first", F.col("reach").isNull() | (F.col("start") >= F.col("reach")))
-    found = found.withColumn("group_start", F.last(F.when(F.col("first"), F.col("start")), ignorenulls=True).over(by)).withColumn("alone", F.lit(None).cast("string"))
+    # starts never fall in this order, so the last first one is the largest
+    found = carried(found, by, F.when(F.col("first"), F.col("start")), "since").drop("_at", "_part")
+    found = found.withColumn("group_start", F.when(F.col("first"), F.col("start")).otherwise(F.col("since"))).withColumn("alone", F.lit(None).cast("string"))
     rest = entries.filter(~placed).withColumns({"group_start": F.lit(None).cast("long"), "alone": F.col("id").cast("string")})
-    both = found.drop("reach", "first").withColumn("group_start", F.col("group_start").cast("long")).unionByName(rest)
+    both = found.drop("reach", "first", "since").withColumn("group_start", F.col("group_start").cast("long")).unionByName(rest)
     return both.withColumn("passage", F.struct("unit", "source", "group_start", "alone")).drop("group_start", "alone")
 
 

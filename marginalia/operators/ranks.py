@@ -42,29 +42,35 @@ def ranked(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return out
 
 
-def running_max(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
-    """``name``: the largest ``value`` among the rows before a row in its group, null where there are none.
-
-    An associative scan: rows are dealt by ranges of group and order, each task takes the running maximum of its own piece of a
-    group, and the maxima of pieces are carried on from piece to piece. A group of any size is spread over as many tasks as it
-    has pieces. ``rows`` are computed once.
-    """
-    once = written(rows.withColumn("_value", value), "to-scan")
+def in_pieces(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """Rows dealt by ranges of group and order, with ``_part`` and, inside a part, ``_at``: what carried() works on. Rows are
+    computed once; a group of any size is spread over as many tasks as it has parts."""
+    once = written(rows, "to-scan")
     placed = once.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
     placed = written(placed.withColumn("_part", F.shiftright("_at", ROW_BITS)), "in-order")
     dropped(once)
-    pieces = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_piece")).agg(F.max("_value").alias("_most"))
+    return placed
+
+
+def carried(placed: DataFrame, by: list[str], value: Column, name: str, least: bool = False) -> DataFrame:
+    """``name``: the largest (or least) ``value`` among the rows before a row in its group, null where there are none.
+
+    An associative scan: each task takes the running maximum of its own piece of a group, and the maxima of pieces are carried on
+    from piece to piece. No window has more rows of a group than one part holds, or than the group has parts."""
+    best, both = (F.min, F.least) if least else (F.max, F.greatest)
+    valued = placed.withColumn("_value", value)
+    pieces = valued.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_piece")).agg(best("_value").alias("_most"))
     earlier = Window.partitionBy(*[f"_of_{c}" for c in by]).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     # pieces without one before them need no row; most groups have a single piece
-    carried = pieces.withColumn("_carried", F.max("_most").over(earlier)).filter("_carried is not null").drop("_most")
+    brought = pieces.withColumn("_brought", best("_most").over(earlier)).filter("_brought is not null").drop("_most")
     here = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    own = placed.withColumn("_own", F.max("_value").over(here))
-    met = own.join(carried, _same(by) & (F.col("_part") == F.col("_piece")), "left")
-    return met.withColumn(name, F.greatest("_own", "_carried")).drop("_value", "_at", "_part", "_piece", "_own", "_carried", *[f"_of_{c}" for c in by])
+    same = F.col("_part") == F.col("_piece")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    met = valued.withColumn("_own", best("_value").over(here)).join(brought, same, "left")
+    return met.withColumn(name, both("_own", "_brought")).drop("_value", "_piece", "_own", "_brought", *[f"_of_{c}" for c in by])
 
 
-def _same(by: list[str]) -> Column:
-    out = F.lit(True)
-    for c in by:
-        out = out & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return out
+def running_max(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the largest ``value`` among the rows before a row in its group and order, null where there are none."""
+    return carried(in_pieces(rows, by, order), by, value, name).drop("_at", "_part")

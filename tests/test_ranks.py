@@ -65,3 +65,31 @@ def test_running_max(spark):
     assert len(found) == len(rows)
     spread = running_max(spark.range(50_000).selectExpr("1 as g", "id as i", "id % 977 as v").repartition(8), ["g"], ["i"], F.col("v"), "m")
     assert spread.filter("i > 976 and m <> 976 or i > 0 and i < 977 and m <> i - 1 or i = 0 and m is not null").count() == 0
+
+
+def test_one_unit_with_all_spans(spark):
+    """A unit that all have marked: passages as one window over it would make them, ties and touching spans included."""
+    from marginalia.operators.passages import merge_passages, passages
+
+    rng = random.Random(6)
+    spans = [(i, rng.randrange(0, 40_000), rng.randrange(1, 12)) for i in range(5000)]
+    rows = [(i, "u", "s", a, a + n, i % 3) for i, a, n in spans] + [(9000, "u", "s", None, None, 1), (9001, "u", None, 3, 5, 1)]
+    found = passages(merge_passages(spark.createDataFrame(rows, "id long, unit string, source string, start long, end long, family int").repartition(6)))
+    want, reach = [], None
+    for i, _, _, a, b, _ in sorted((r for r in rows[:5000]), key=lambda r: (r[3], r[4], r[0])):
+        if reach is None or a >= reach:
+            want.append([a, b, 0])
+        want[-1][1], want[-1][2] = max(want[-1][1], b), want[-1][2] + 1
+        reach = b if reach is None else max(reach, b)
+    assert sorted((r.start, r.end, r.entries) for r in found.filter("source = 's' and start is not null").collect()) == sorted(map(tuple, want))
+    assert found.filter("start is null or source is null").count() == 2
+
+
+def test_busy_page(spark):
+    from marginalia.operators.ingest import deleted_after
+
+    rng = random.Random(7)
+    units = [(i, rng.choice("aaab"), rng.randrange(1000)) for i in range(3000)]
+    gone = [(rng.choice("aaac"), rng.randrange(1000)) for _ in range(40)]
+    found = deleted_after(spark.createDataFrame(units, "unit long, page string, time int"), spark.createDataFrame(gone, "page string, time int"))
+    assert {r.unit: r.page_deleted_after for r in found.collect()} == {u: min((t for p, t in gone if p == page and t >= at), default=None) for u, page, at in units}
