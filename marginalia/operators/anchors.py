@@ -59,10 +59,29 @@ def check_anchors(anchors: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.coalesce(inside & same, F.lit(False))).drop("content")
 
 
+#: A word with something else on both sides, which is a whole word of every text that holds the passage.
+INNER = r"(?<=[^A-Za-z0-9_])[A-Za-z0-9_]+(?=[^A-Za-z0-9_])"
+
+
 def quotes_in_shown(passages: DataFrame, shown: DataFrame) -> DataFrame:
-    """``passages(message, reader, passage)`` that occur in none of the texts ``shown(reader, text)`` to their reader."""
-    hits = passages.join(shown, "reader", "left").groupBy("message", "reader", "passage").agg(F.bool_or(F.contains("text", "passage")).alias("found"))
-    return hits.filter(~F.coalesce("found", F.lit(False))).select("message", "reader", "passage")
+    """``passages(message, reader, passage)`` that occur in none of the texts ``shown(reader, text)`` to their reader.
+
+    An index of the reader's texts by words: a passage is looked for only in texts that hold the one of its inner words that fewest
+    of them hold. Only passages without such a word (two words at most) are looked for in all texts of their reader."""
+    keys = ["message", "reader", "passage"]
+    asked = passages.select(*keys).distinct().withColumn("words", F.array_distinct(F.regexp_extract_all("passage", F.lit(INNER), F.lit(0))))
+    texts = shown.select("reader", F.sha2("text", 256).alias("id"), "text").filter("text is not null").dropDuplicates(["reader", "id"])
+    wanted = asked.select(*keys, F.explode("words").alias("word"))
+    held = texts.select("reader", "id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
+    held = held.join(wanted.select("reader", "word").distinct(), ["reader", "word"], "left_semi")
+    spread = held.groupBy("reader", "word").agg(F.count("*").alias("n"))
+    rarest = wanted.join(spread, ["reader", "word"], "left").groupBy(*keys).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("m")).filter("m.n > 0")
+    near = rarest.select(*keys, F.col("m.word").alias("word")).join(held, ["reader", "word"]).join(texts, ["reader", "id"]).filter(F.contains("text", "passage"))
+    few = asked.filter(F.size("words") == 0).join(texts, "reader").filter(F.contains("text", "passage"))
+    found = near.select(*keys).unionByName(few.select(*keys)).distinct()
+    seen = found.select(*[F.col(c).alias(f"_{c}") for c in keys])
+    same = F.col("message").eqNullSafe(F.col("_message")) & (F.col("reader") == F.col("_reader")) & (F.col("passage") == F.col("_passage"))
+    return passages.select(*keys).distinct().join(seen, same, "left_anti")
 
 
 def evidence_check(evidence: DataFrame, shown: DataFrame) -> DataFrame:

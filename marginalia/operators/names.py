@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import DATE_CODE, date_codes, date_of, kinds_of, name_features, name_parts
@@ -14,6 +14,8 @@ from ..functions.names import DATE_CODE, date_codes, date_of, kinds_of, name_fea
 SINGULAR = r"(?<![A-Za-z])(I|[Mm]y|[Mm]e)(?![A-Za-z])"
 PLURAL = r"(?<![A-Za-z])([Ww]e|[Oo]ur|[Uu]s)(?![A-Za-z])"
 TOKEN = r"[A-Za-z0-9_]+"
+#: Characters in a run by which names without a letter or digit are looked up.
+GRAM = 3
 
 
 def first_saved(saves: DataFrame) -> DataFrame:
@@ -47,8 +49,9 @@ def signed_as_another(posts: DataFrame) -> DataFrame:
 def mentions(posts: DataFrame, names: DataFrame, least: int = 8) -> DataFrame:
     """``posts(post, body, signature)`` and ``names(name)`` to distinct ``post, name`` where the body uses a known name of
     ``least`` or more characters that is not the post's own signature. Names of letters, digits and underscores are
-    whole tokens, so this is a join on tokens. A name with other characters joins on its longest token; posts that hold
-    one are searched for all their names at once, the longest first, so that no name counts inside a longer one."""
+    whole tokens, so this is a join on tokens. A name with other characters joins on its longest token, one without any token
+    on the one of its short runs of characters that fewest posts hold; posts that hold one are searched for all their
+    names at once, the longest first, so that no name counts inside a longer one."""
     known = names.filter(F.length("name") >= least).select("name").distinct()
     plain = F.col("name").rlike(rf"^{TOKEN}\z")
     tokens = F.array_distinct(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)))
@@ -58,8 +61,11 @@ def mentions(posts: DataFrame, names: DataFrame, least: int = 8) -> DataFrame:
     if not odd.isEmpty():
         own = F.regexp_extract_all("name", F.lit(TOKEN), F.lit(0))
         anchor = F.aggregate(own, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
-        with_blank = posts.select("post", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))  # the blank is for names without any token
-        near = with_blank.join(odd.withColumn("anchor", anchor), F.col("token") == F.col("anchor")).select("post", "name")
+        odd = odd.withColumn("anchor", anchor)
+        near = words.join(odd.filter("anchor <> ''"), F.col("token") == F.col("anchor")).select("post", "name")
+        bare = odd.filter("anchor = ''").select("name")
+        if not bare.isEmpty():
+            near = near.unionByName(_by_rarest_gram(posts, bare, min(GRAM, least)))
         near = near.join(posts.select("post", "body"), "post").filter(F.contains("body", "name")).select("post", "name")
         asked = near.select("post").distinct()
         several = found.join(asked, "post", "left_semi").unionByName(near).groupBy("post").agg(F.collect_set("name").alias("names"))
@@ -69,6 +75,22 @@ def mentions(posts: DataFrame, names: DataFrame, least: int = 8) -> DataFrame:
     return found.join(posts.select("post", "signature"), "post").filter(~F.col("name").eqNullSafe(F.col("signature"))).select("post", "name")
 
 
+def _grams(text: str, n: int) -> Column:
+    """Distinct runs of n characters, none of them a letter, digit or underscore."""
+    long = F.regexp_extract_all(text, F.lit(rf"[^A-Za-z0-9_]{{{n},}}"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(long, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n)))))
+
+
+def _by_rarest_gram(posts: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """``post, name``: posts that hold the gram of a name without tokens that is in fewest posts."""
+    held = posts.select("post", F.explode(_grams("body", n)).alias("gram"))
+    wanted = names.select("name", F.explode(_grams("name", n)).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    spread = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(spread, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).filter("m.n > 0")
+    return held.join(rarest.select("name", F.col("m.gram").alias("of")), F.col("gram") == F.col("of")).select("post", "name")
+
+
 def _said(bodies: pd.Series, names: pd.Series) -> pd.Series:
     def one(body: str, some: list[str]) -> list[str]:
         longest = "|".join(sorted(map(re.escape, some), key=len, reverse=True))

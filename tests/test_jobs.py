@@ -326,3 +326,27 @@ def test_first_use_with_its_place(spark):
     units = spark.createDataFrame([(1, 100, "é The  pot, the pot", "2026-06-02"), (2, 0, "A lid on the-pot", "2026-06-03"), (3, 50, "the pot", None)], "unit int, start int, text string, time string")
     found = lexicon.first_use_anchors(lexicon.term_hits(units.select("unit", "text", "time"), table), units, table)
     assert rows(found, "term", "unit", "start", "end", "exact") == [("lid", 2, 2, 5, "lid"), ("the pot", 3, 50, 57, "the pot")]
+
+
+def test_passages_by_their_rarest_word(spark):
+    """Those of the plain search, without comparing a passage with texts that lack its word."""
+    import random
+
+    rng = random.Random(9)
+    words = ["the", "cat", "sat", "é", "mat", "don't", "a", "naïve", "rare1", "rare2"]
+    texts = [(rng.choice("xyz"), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for _ in range(60)] + [("x", None), ("x", "")]
+    said = [(m, r, t[a : a + rng.randrange(1, 25)]) for m, (r, t) in enumerate(texts) if t for a in [rng.randrange(len(t))]]
+    said += [(m, rng.choice("xyzw"), "".join(rng.choice("thecat sé'") for _ in range(rng.randrange(1, 9)))) for m in range(100, 160)]
+    said += [(None, "x", "cat"), (200, "x", None), (201, None, "cat"), (202, "x", "the zebra sat"), (202, "x", "the zebra sat")]
+    found = anchors.quotes_in_shown(spark.createDataFrame(said, "message int, reader string, passage string"), spark.createDataFrame(texts, "reader string, text string"))
+    want = {(m, r, p) for m, r, p in said if p is None or not any(p in (t or "") and t is not None for q, t in texts if q == r)}
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr) and 5 < len(want) < len(said)
+
+
+def test_names_without_letters(spark):
+    from marginalia.operators import names
+
+    posts = [(1, "asked ★★☆☆★★☆☆ about it", "x"), (2, "日本語の名前です、と言う", "y"), (3, "★★☆☆★★☆", "z"), (4, "--------- and ★★☆☆★★☆☆", "★★☆☆★★☆☆"), (5, "plain words only", "x"), (6, "日本語の名前で", "y")]
+    known = ["★★☆☆★★☆☆", "日本語の名前です", "---------", "never seen ★☆", "☆☆☆☆☆☆☆☆☆", "Some Name"]
+    found = names.mentions(spark.createDataFrame(posts, "post int, body string, signature string"), spark.createDataFrame([(n,) for n in known], "name string"))
+    assert rows(found, "post", "name") == [(1, "★★☆☆★★☆☆"), (2, "日本語の名前です"), (4, "---------")]
