@@ -252,10 +252,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = coded.select("block", "high", "low", "trained").mapInArrow(_words, "block long, place int, high long, low int, n long")
     same = Window.partitionBy("high", "low")
     counted = words.withColumns({"count": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("block", "place")) == 1})
-    counted = scratch.write(counted.select("block", "place", "high", "n", "count", "first"), "counted")
-    end = (F.col("place") == 0).alias("end")
-    kind = F.when(end, END).otherwise(WORDS + F.pmod(F.col("high") % (CLASSES - WORDS) + F.when(F.col("high") < 0, 2**64 % (CLASSES - WORDS)).otherwise(0), F.lit(CLASSES - WORDS)))
-    by_class = counted.groupBy(kind.cast("int").alias("c")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("first") & (F.col("count") > 0), 1).otherwise(0)).alias("d"))
+    # the remainder of the unsigned number; the end has the first place of a block
+    rest = F.pmod(F.col("high") % (CLASSES - WORDS) + F.when(F.col("high") < 0, 2**64 % (CLASSES - WORDS)).otherwise(0), F.lit(CLASSES - WORDS))
+    kind = F.when(F.col("place") == 0, END).otherwise(WORDS + rest).cast("int").alias("c")
+    counted = scratch.write(counted.select("block", "place", kind, "n", "count", "first"), "counted")
+    by_class = counted.groupBy("c").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("first") & (F.col("count") > 0), 1).otherwise(0)).alias("d"))
     base = base_of([(r.c, r.t, r.d) for r in by_class.collect()])  # a row a class
 
     chain, logs = first_model(states, base), []

@@ -13,9 +13,11 @@ from typing import NamedTuple
 
 import numpy as np
 
-STRETCH = 2048
+STRETCH = 4096
 #: Symbols that are worked through at once.
-GROUP = 300_000
+GROUP = 200_000
+#: Steps after which scores whose scale does not matter are brought back to a sum of one.
+SCALED = 8
 _TINY = 1e-300
 
 
@@ -74,11 +76,12 @@ def _backward(chain: Chain, lay: _Layout, emitted: np.ndarray, leave: np.ndarray
     """Up to a factor: likelihood of what comes after each symbol by its state, and that times its own emission."""
     after, own, ones, turned = np.empty(emitted.shape), np.empty(emitted.shape), np.ones((emitted.shape[1], 1)), np.ascontiguousarray(chain.move.T)
     later = 0
-    for _, a, m in lay.steps(back=True):
+    for t, a, m in lay.steps(back=True):
         now = after[a : a + m]
         if later:
-            now[:later] = own[a + m : a + m + later] @ turned
-            now[:later] /= now[:later] @ ones + _TINY
+            np.matmul(own[a + m : a + m + later], turned, out=now[:later])
+            if not t % SCALED:
+                now[:later] /= now[:later] @ ones + _TINY
         now[later:] = leave[later:m]
         np.multiply(now, emitted[a : a + m], out=own[a : a + m])
         later = m
@@ -89,14 +92,16 @@ def _folded(chain: Chain, lay: _Layout, n: int) -> tuple[np.ndarray, np.ndarray]
     """A matrix for each stretch, from the state at its first symbol to that at its last, emissions of both included, and the
     logarithm of the factor taken out of it."""
     k = len(chain.start)
-    fold, logs = np.repeat(np.eye(k)[None], n, 0), np.zeros(n)
+    fold, logs, ones = np.repeat(np.eye(k)[None], n, 0), np.zeros(n), np.ones(k * k)
     for t, a, m in lay.steps():
         now = fold[:m] if not t else (fold[:m].reshape(-1, k) @ chain.move).reshape(m, k, k)
-        now = now * chain.emit[lay.symbols[a : a + m]][:, None, :]
-        total = now.reshape(m, -1) @ np.full(k * k, 1.0) + _TINY
-        fold[:m] = now / total[:, None, None]
-        logs[:m] += np.log(total)
-    return fold, logs
+        now = np.multiply(now, chain.emit[lay.symbols[a : a + m]][:, None, :], out=fold[:m])
+        if not t % SCALED:
+            total = now.reshape(m, -1) @ ones + _TINY
+            now /= total[:, None, None]
+            logs[:m] += np.log(total)
+    total = fold.reshape(n, -1) @ ones + _TINY
+    return fold / total[:, None, None], logs + np.log(total)
 
 
 class Sequences:
@@ -164,8 +169,8 @@ class Sequences:
             log += np.log(factor[self.pieces[self.of[some]][lay.stretch] == 1]).sum()
             here = share * after
             here /= here @ np.ones((k, 1)) + _TINY
-            for s in range(k):
-                emit[s] += np.bincount(lay.symbols, here[:, s], symbols)
+            for s, of_state in enumerate(np.ascontiguousarray(here.T)):
+                emit[s] += np.bincount(lay.symbols, of_state, symbols)
             n, piece = len(some), self.piece[some]
             start += here[:n][piece == 0].sum(0)
             move += _moves(chain, share[lay.before], own[n:])
