@@ -90,11 +90,12 @@ class Marks:
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, list[int]]:
-    """The data buffer of texts without nulls, and where each text starts in it (one entry more than texts)."""
+    """The bytes of texts without nulls, and where each text starts in them (one entry more than texts). Texts may be a slice of a
+    batch, whose other bytes are left alone."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), offsets.tolist()
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, (offsets - offsets[0]).tolist()
 
 
 def _holds(texts: pa.Array, marks: Marks) -> list[bool]:
@@ -111,7 +112,8 @@ def _arranged(sentinels: tuple[str, ...], rate: int, spm: int, as_digest: bool):
             data, at = _bytes(texts)
             buffers = (memoryview(data), marks.buffer)
             ends = np.flatnonzero(data == 10) + 1  # of lines; no byte of a longer character is 10
-            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            chars = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
             out = []
             draws = zip(*(block.column(i).to_pylist() for i in range(1, 5)), strict=True)
             for a, b, held, (h1, h2, h3, h4) in zip(at[:-1], at[1:], _holds(texts, marks), draws, strict=True):
