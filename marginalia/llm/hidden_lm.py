@@ -122,27 +122,32 @@ def _expected(chain):
                     flat = np.concatenate(([c.log], c.start, c.move.ravel(), c.emit.ravel()))
                     total = flat if total is None else total + flat
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+            # a task's counts travel in single precision, sums in double
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["counts"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of doubles, added up."""
-    total = None
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            flat = np.frombuffer(x)
-            total = flat.copy() if total is None else total + flat
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+def _summed(kind: type):
+    """Vectors of numbers, added up in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                flat = np.frombuffer(x, kind).astype(np.float64)
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    return run
 
 
 def add_up(vectors: DataFrame, tasks: int) -> np.ndarray | None:
     """The sum of one vector a task: over about as many tasks as the square root of their number, then over those."""
     width = max(1, math.isqrt(tasks))
-    once = vectors.repartition(width).mapInArrow(_summed, "counts binary")
-    found = once.repartition(1).mapInArrow(_summed, "counts binary").collect()  # one row
+    once = vectors.repartition(width).mapInArrow(_summed(np.float32), "counts binary")
+    found = once.repartition(1).mapInArrow(_summed(np.float64), "counts binary").collect()  # one row
     return np.frombuffer(found[0].counts) if found else None
 
 
