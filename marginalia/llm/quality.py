@@ -162,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = known.filter(~held_out(F.col("_m_label_id"))).orderBy(F.xxhash64("_m_label_id"), "_m_label_id", "label").limit(max_labelled)
     id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     some = docs.select(id_.alias("_m_label_id")).filter(F.col("_m_label_id").isNotNull() & ~held_out(F.col("_m_label_id")))
-    some = some.orderBy(F.xxhash64("_m_label_id", F.lit("unlabelled")), "_m_label_id").limit(max_unlabelled).distinct().withColumn("label", F.lit(UNLABELLED))
+    some = some.distinct().orderBy(F.xxhash64("_m_label_id", F.lit("unlabelled")), "_m_label_id").limit(max_unlabelled).withColumn("label", F.lit(UNLABELLED))
     wanted = F.broadcast(known.unionByName(some))  # no more rows than both bounds
     rows = docs.select(id_.alias("_m_id"), text.alias("_m_text")).join(wanted, F.col("_m_id") == F.col("_m_label_id"))
     got = rows.select("_m_text", "label").mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
