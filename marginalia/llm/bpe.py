@@ -14,21 +14,20 @@ import gc
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, table, text_blocks, with_columns, words_of
 
-#: Words, and pieces of words, whose ids a worker keeps; beyond that the words of the last block stay.
-CACHE_WORDS = 300_000
-CACHE_PIECES = 400_000
+#: Pieces whose ids a worker keeps; beyond that the pieces of the last block stay.
+CACHE_PIECES = 200_000
 #: Bytes that decide about a cut; a cut falls after one byte in ``CHUNK`` on average.
 ROLL, CHUNK = 16, 1024
 #: Middles shorter than this are not worth sharing.
@@ -46,12 +45,26 @@ def default_tokenizer() -> str:
 
 #: Words of these characters alone (no apostrophe, no ``<``) split into letters, single digits and the rest, whatever
 #: stands around them; composing and white space change nothing in them.
-_SIMPLE = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
-_PIECES = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+").findall
+_SIMPLE = "^[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
+_NO_LETTERS = "[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017f]+"
 
 
-def _simple(word: str):
-    return word.isprintable() and "'" not in word and "<" not in word if word.isascii() else _SIMPLE(word)
+def pieces_of(words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Pieces of words one after another, and where each word's pieces start (one entry more than words). A simple word
+    is cut where it can be encoded piece by piece and lower-cased; any other word is one piece, as it is."""
+    cut = pc.replace_substring_regex(pc.utf8_lower(words), _NO_LETTERS, r" \0 ")
+    cut = pc.if_else(pc.match_substring_regex(words, _SIMPLE), pc.ascii_trim_whitespace(cut), words)
+    lists = pc.ascii_split_whitespace(cut)
+    return lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+
+
+def runs_of(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat one after another, and where each of them starts there (one entry more than runs)."""
+    to = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    kind = np.int32 if max(len(flat), int(to[-1])) < 1 << 31 else np.int64
+    at = np.repeat((starts - to[:-1]).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at], to
 
 
 #: The pre-tokenizer and normalizer for which that holds.
@@ -102,73 +115,50 @@ def splits_words(tokenizer) -> bool:
 
 
 class WordEncoder(TextEncoder):
-    """Encodes texts with a tokenizer of which splits_words() holds, each distinct word once; simple words are put
-    together from pieces that are encoded once each."""
+    """Encodes texts with a tokenizer of which splits_words() holds: each distinct word of a block is put together from
+    pieces, and each distinct piece is encoded once."""
 
     def __init__(self, path: str):
         super().__init__(load_tokenizer(path))
-        from tokenizers import Tokenizer, pre_tokenizers
-
         if not splits_words(self.tokenizer):
             raise ValueError("tokens of this tokenizer may cross white space; use TextEncoder")
-        told = json.loads(self.tokenizer.to_str())
-        self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": []}))
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.shown = byte_characters()
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {}
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit integers."""
-        split = [_PIECES(w.lower()) if _simple(w) else None for w in words]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        known = self.pieces
-        new = list({p for parts in split if parts for p in parts if p not in known})
-        said = [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in new]
-        for at in range(0, len(new), 256):
-            group = said[at : at + 256]
-            coded = self.plain.encode(" ".join(group), add_special_tokens=False)
-            raw = np.array(coded.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(coded.word_ids, minlength=len(group)))).tolist()
-            known.update((p, raw[a:b]) for p, a, b in zip(new[at : at + 256], [0, *ends], ends, strict=False))
-        whole = [w for w, parts in zip(words, split, strict=True) if parts is None]
-        rest = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)] if whole else [])
-        get = known.__getitem__
-        return [next(rest) if parts is None else get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in split]
-
-    def learn(self, words: list[str]) -> None:
-        coded = self._encoded(words)
-        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
-        self._add(words, sizes, np.frombuffer(b"".join(coded), "<u4"))
-
-    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+    def learn(self, pieces: list[str]) -> None:
+        """Pieces of simple words go to the model alone, other words through the whole tokenizer."""
+        simple = pc.match_substring_regex(pa.array(pieces, pa.string()), _SIMPLE).to_numpy(zero_copy_only=False).tolist()
+        rest = iter(self.together([p for p, own in zip(pieces, simple, strict=True) if not own]))
+        tokens, sizes, flat = self.tokenizer.model.tokenize, [], []
+        for piece, own in zip(pieces, simple, strict=True):
+            if own:
+                said = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+                got = [t.id for t in tokens(said)]
+            else:
+                got = next(rest)
+            sizes.append(len(got))
+            flat += got
+        self._add(pieces, np.array(sizes, np.int32), np.array(flat, np.uint32))
+
+    def _add(self, pieces: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
         at = len(self.known)
         while len(self.ids) < self.n_ids + len(flat):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while len(self.starts) < at + len(words):
+        while len(self.starts) < at + len(pieces):
             self.starts, self.sizes = np.concatenate((self.starts, self.starts)), np.concatenate((self.sizes, self.sizes))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.starts[at : at + len(words)] = self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.sizes[at : at + len(words)] = sizes
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.starts[at : at + len(pieces)] = self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.sizes[at : at + len(pieces)] = sizes
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
         self.n_ids += len(flat)
 
-    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words one after another, and where each word's ids end."""
-        sizes = self.sizes[place]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = np.repeat(self.starts[place] - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return self.ids[at], ends
-
-    def keep_only(self, words: list[str], place: np.ndarray) -> None:
-        flat, _ = self._gather(place)
+    def keep_only(self, pieces: list[str], place: np.ndarray) -> None:
         sizes = self.sizes[place]
+        flat, _ = runs_of(self.ids, self.starts[place], sizes)
         self.known, self.n_ids = {}, 0
-        self._add(words, sizes, flat)
+        self._add(pieces, sizes, flat)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         collects = gc.isenabled()
@@ -180,20 +170,23 @@ class WordEncoder(TextEncoder):
                 gc.enable()
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        index, offsets, distinct = words_of(texts)
-        words = distinct.to_pylist()
-        places = list(map(self.known.get, words))
-        new = [w for w, place in zip(words, places, strict=True) if place is None]
+        index, offsets, words = words_of(texts)
+        coded, firsts = pieces_of(words)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = list(map(self.known.get, pieces))
+        new = [p for p, place in zip(pieces, places, strict=True) if place is None]
         if new:
-            first = len(self.known)
+            fresh = iter(range(len(self.known), len(self.known) + len(new)))
             self.learn(new)
-            fresh = iter(range(first, first + len(new)))
             places = [next(fresh) if place is None else place for place in places]
         place = np.array(places, np.int64)
-        ids, ends = self._gather(place[index])
-        if len(self.known) > CACHE_WORDS:
-            self.keep_only(words, place)
-        return ids, np.concatenate(([0], ends))[offsets]
+        at = place[coded.indices.to_numpy(zero_copy_only=False)]
+        flat, to = runs_of(self.ids, self.starts[at], self.sizes[at])  # of the distinct words
+        starts = to[firsts]
+        ids, to = runs_of(flat, starts[:-1][index], np.diff(starts)[index])
+        if len(self.known) > CACHE_PIECES:
+            self.keep_only(pieces, place)
+        return ids, to[offsets]
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -201,8 +194,10 @@ _encoders: dict[str, TextEncoder] = {}
 
 def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
-        tokenizer = load_tokenizer(path)
-        _encoders[path] = WordEncoder(path) if splits_words(tokenizer) else TextEncoder(tokenizer)
+        try:
+            _encoders[path] = WordEncoder(path)
+        except ValueError:
+            _encoders[path] = TextEncoder(load_tokenizer(path))
     return _encoders[path]
 
 
@@ -429,10 +424,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return with_columns(out, **{k: F.col(v) for k, v in made.items()}).drop(*made.values())
 
 
-def token_strings(path: str) -> list[str | None]:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+def token_strings(tokenizer) -> list[str | None]:
     size = max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
     return [tokenizer.id_to_token(i) for i in range(size)]
 
@@ -444,7 +436,8 @@ _known_strings: dict[str, tuple] = {}
 def _strings(path: str) -> tuple:
     """What _text_of() needs, and the decimal numbers of all ids."""
     if path not in _known_strings:
-        token, tokenizer = token_strings(path), load_tokenizer(path)
+        tokenizer = encoder(path).tokenizer
+        token = token_strings(tokenizer)
         number = [str(i) for i in range(len(token))]
         _known_strings[path] = (token if tokenizer.decoder is None else lambda ids: tokenizer.decode(ids, skip_special_tokens=False)), number
     return _known_strings[path]
