@@ -178,8 +178,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return model.calibrate(model.basis(x[marked]) @ model.weights, label[marked])
 
 
-def _scorer(model):
+def _scorer(model, kept: int | None):
+    """Texts are the first column, or the one of that number, which is then passed on as it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if kept is not None:
+            batches = (b.add_column(0, "_m_text", b.column(kept)) for b in batches)
         for block in text_blocks(batches, 0):
             scores = model.value.score(np.array([features(t) for t in block.column(0).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*block.columns[1:], pa.array(scores)], names=[*block.schema.names[1:], "_m_score"])
@@ -194,7 +198,9 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
     spark = docs.sparkSession
     rest = [c for c in docs.columns if keep_text or c != text_col]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    out = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_m_text"), *rest).mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"{fields}_m_score double")
+    kept = rest.index(text_col) if (text_col, "string") in docs.select(*rest).dtypes else None  # then the text travels once
+    sent = docs.select(*rest) if kept is not None else docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_m_text"), *rest)
+    out = sent.mapInArrow(_scorer(spark.sparkContext.broadcast(model), kept), f"{fields}_m_score double")
     return with_columns(out, score=F.col("_m_score"), predicted=(F.col("_m_score") >= threshold).cast("int")).drop("_m_score")
 
 
