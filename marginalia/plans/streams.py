@@ -101,9 +101,9 @@ def r1_lines(spark, sf):
 @PLANS.query("r2_finished_stream", "SELECT CAST(event_id AS VARCHAR) AS term FROM events WHERE user_id % 2 = 0 AND user_id % 7 < 5")
 def r2(spark, sf):
     """Activities of even users ended 400 days after each of their records; authors 5 and 6 are not theirs."""
-    e = spark.readStream.schema(_records(spark, sf).schema).parquet(_copied(spark, _records(spark, sf)))
+    written, schema = _copied(spark, _records(spark, sf)), _records(spark, sf).schema
+    e, done = (spark.readStream.schema(schema).parquet(written) for _ in range(2))
     rows = e.select(F.col("term").alias("id"), F.concat_ws("-", "activity", "term").alias("activity"), "by", F.to_timestamp("at").alias("at_time"))
-    done = spark.readStream.schema(_records(spark, sf).schema).parquet(_copied(spark, _records(spark, sf)))
     lens = F.when(F.col("by").isin("u5", "u6"), "other").otherwise(F.col("by"))
     ended = (F.to_timestamp("at") + F.expr("interval 400 days")).alias("at_time")
     acts = done.filter("cast(activity as long) % 2 = 0").select(F.concat_ws("-", "activity", "term").alias("id"), lens.alias("lens"), F.lit("ok").alias("status"), F.lit("read").alias("type"), ended)

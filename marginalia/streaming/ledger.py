@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,30 +35,39 @@ def tail_ledger(spark: SparkSession, path: str, schema: T.StructType = ENVELOPE,
 AS_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
+#: Activities are held in so many buckets, by hash. A call for a group takes milliseconds whatever it holds, so groups are
+#: bounded, not one for each activity. A checkpoint goes with this number.
+BUCKETS = 1 << 13
+
+
 def _gate(forgets: bool):
-    """What waits for an activity is kept as text until it ends; then its lens is kept, for records that come later."""
+    """What waits for an activity is kept as text until it ends; then its lens is kept, for records that come later. Both for all
+    activities of a bucket; a finished one is forgotten by itself."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        lens, ended, waiting = state.get if state.exists else (None, None, "[]")
-        rows = json.loads(waiting)
-        for batch in batches:
-            for whose, at, row in zip(batch["whose"], batch["ended"], batch["row"], strict=True):
+        waiting, done = json.loads(zlib.decompress(state.get[0])) if state.exists else ({}, {})
+        now, touched, own = state.getCurrentWatermarkMs() if forgets else 0, set(), []
+        for batch in batches if not state.hasTimedOut else ():
+            for activity, whose, ended, row in zip(batch["activity"], batch["whose"], batch["ended"], batch["row"], strict=True):
+                touched.add(activity)
                 if row is not None:
-                    rows.append([whose, row])
-                elif lens is None:
-                    lens, ended = whose, int(at)
-        if lens is None:
-            state.update((None, None, json.dumps(rows)))
-            return
-        state.update((lens, ended, "[]"))
+                    waiting.setdefault(activity, []).append([whose, row])
+                elif whose is not None and activity not in done:
+                    done[activity] = [whose, int(ended), 0]
+        for activity in touched & done.keys():
+            lens, ended, _ = found = done[activity]
+            found[2] = max(ended // 1000, now) + 1
+            own += [(activity, lens, ended, row) for whose, row in waiting.pop(activity, []) if whose == lens]
         if forgets:
-            state.setTimeoutTimestamp(max(ended // 1000, state.getCurrentWatermarkMs()) + 1)
-        own = [row for whose, row in rows if whose == lens]
+            done = {activity: found for activity, found in done.items() if found[2] >= now}
+        if waiting or done:
+            state.update((zlib.compress(json.dumps([waiting, done], ensure_ascii=False).encode(), 1),))
+            if forgets and done:
+                state.setTimeoutTimestamp(min(until for _, _, until in done.values()))
+        else:
+            state.remove()
         if own:
-            yield pd.DataFrame({"done": key[0], "lens": lens, "ended": ended, "row": own})
+            yield pd.DataFrame(own, columns=["done", "lens", "ended", "row"])
 
     return run
 
@@ -65,21 +75,21 @@ def _gate(forgets: bool):
 def finished_stream(records: DataFrame, activities: DataFrame, forget: str | None = None) -> DataFrame:
     """``records(id, activity, by, at_time, ...)`` once the finished activity ``activities(id, lens, status, type, at_time)`` of
     their own lens has arrived, never before, with ``done, lens, done_at``. Whichever of the two comes first, and however much
-    later the other: records wait in the state of their activity, and a finished activity lets later ones pass at once.
+    later the other: records wait in the state of their activity, and a finished activity lets later ones pass at once. Records
+    of no activity never pass, and are not kept.
 
     State has the records of open activities and the lens of each finished one. With ``forget`` (such as ``30 days``) an activity
     that ended so long before the newest row is dropped from it, and rows that come so late are left out. All records of an
     activity are held by one task; they are those of one batch of units.
     """
     kept = records.columns
-    waits = records.select("activity", F.col("by").alias("whose"), F.lit(None).cast("long").alias("ended"), F.to_json(F.struct(*kept), AS_JSON).alias("row"), "at_time")
+    waits = records.select("activity", F.col("by").alias("whose"), F.lit(None).cast("string").alias("ended"), F.to_json(F.struct(*kept), AS_JSON).alias("row"), "at_time")
     ends = activities.filter("type = 'read' and status = 'ok'")
-    ends = ends.select(F.col("id").alias("activity"), F.col("lens").alias("whose"), F.unix_micros("at_time").alias("ended"), F.lit(None).cast("string").alias("row"), "at_time")
-    both = waits.unionByName(ends)
-    if forget:
-        both = both.withWatermark("at_time", forget)
+    ends = ends.select(F.col("id").alias("activity"), F.col("lens").alias("whose"), F.unix_micros("at_time").cast("string").alias("ended"), F.lit(None).cast("string").alias("row"), "at_time")
+    both = waits.unionByName(ends).filter("activity is not null").withColumn("bucket", F.pmod(F.xxhash64("activity"), F.lit(BUCKETS)))
+    both = both.withWatermark("at_time", forget) if forget else both.drop("at_time")
     timeout = GroupStateTimeout.EventTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    out = both.groupBy("activity").applyInPandasWithState(_gate(bool(forget)), "done string, lens string, ended long, row string", "lens string, ended long, waiting string", "append", timeout)
+    out = both.groupBy("bucket").applyInPandasWithState(_gate(bool(forget)), "done string, lens string, ended long, row string", "held binary", "append", timeout)
     return out.select(F.from_json("row", records.schema, AS_JSON).alias("r"), "done", "lens", F.timestamp_micros("ended").alias("done_at")).select("r.*", "done", "lens", "done_at")
 
 

@@ -141,6 +141,38 @@ def test_finished_activities_are_forgotten(spark, tmp_path):
     assert run([("e", "x", "l", "2026-06-09 00:00:00")], [("y", "l", "read", "ok", "2026-06-09 00:00:00")]) == ["a", "b", "c", "d"]
 
 
+def gated(spark, at, new, ended, forget=None):
+    """One run of the gate over records and activities of the folder ``at``, after ``new`` and ``ended`` are added to them."""
+    sides = []
+    for name, rows, schema in (("recs", new, "id string, activity string, by string, at_time string"), ("acts", ended, "id string, lens string, type string, status string, at_time string")):
+        df = spark.createDataFrame(rows, schema).withColumn("at_time", F.to_timestamp("at_time")).coalesce(1)
+        df.write.mode("append").parquet(f"{at}/{name}")
+        sides.append(spark.readStream.schema(df.schema).parquet(f"{at}/{name}"))
+    S.run_available(S.finished_stream(*sides, forget), f"{at}/out", f"{at}/mark")
+    return sorted(r.id for r in spark.read.parquet(f"{at}/out").collect())
+
+
+def test_groups_do_not_grow_with_activities(spark, tmp_path, monkeypatch):
+    """A call for a group takes milliseconds: activities share groups, and each still passes by itself."""
+    monkeypatch.setattr(S, "BUCKETS", 8, raising=False)
+    at = "2026-06-01 00:00:00"
+    first = gated(spark, tmp_path, [(f"r{i}", f"a{i}", f"l{i % 3}", at) for i in range(300)], [(f"a{i}", "l1", "read", "ok", at) for i in range(0, 300, 2)])
+    assert first == sorted(f"r{i}" for i in range(0, 300, 2) if i % 3 == 1)
+    assert spark.read.format("statestore").load(f"{tmp_path}/mark").count() <= 8
+    second = gated(spark, tmp_path, [(f"s{i}", f"a{i}", "l1", at) for i in range(300)] + [("n", None, "l1", at)], [("a1", "l1", "read", "ok", at), ("a2", "l0", "read", "ok", at)])
+    assert second == sorted([*first, "r1", "s1", *(f"s{i}" for i in range(0, 300, 2))])
+
+
+def test_activities_of_a_group_are_forgotten_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 1, raising=False)
+    day = lambda n: f"2026-06-{n:02} 00:00:00"
+    ends = lambda i, n: (i, "l", "read", "ok", day(n))
+    assert gated(spark, tmp_path, [("a", "x", "l", day(1)), ("w", "open", "l", day(1))], [ends("x", 1), ends("y", 5)], "1 day") == ["a"]
+    assert gated(spark, tmp_path, [("b", "y", "l", day(5)), ("c", "x", "l", day(5))], [ends("z", 6)], "1 day") == ["a", "b"]
+    assert gated(spark, tmp_path, [("d", "z", "l", day(7)), ("e", "y", "l", day(7))], [ends("open", 7)], "1 day") == ["a", "b", "d", "e", "w"]
+    assert gated(spark, tmp_path, [("f", "y", "l", day(9)), ("g", "open", "l", day(9))], [ends("q", 9)], "1 day") == ["a", "b", "d", "e", "g", "w"]
+
+
 def test_daily_terms(spark, tmp_path):
     land, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     land.mkdir()
