@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from .folders import open_store
 #: The envelope of every record; the body stays as JSON text beside it.
 ENVELOPE = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "kind", "v", "at", "by", "activity")])
 
+#: Names that go in a batch, and bytes of blobs after which one is sent.
+LISTED, READ = 10_000, 4 << 20
+
 
 def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, seq, value``: non-blank lines split at ``\\n`` only, numbered so that the order of the ledger is kept."""
@@ -70,6 +75,8 @@ def write_blobs(rows: DataFrame, path: str) -> None:
     """``rows(content)``, or with the names to give them ``rows(sha, content)``: a file each, in folders by the first two digits of its
     digest. A content that comes more than once is one file. Tasks write by themselves; a task that runs again writes the same."""
     named = rows if "sha" in rows.columns else rows.withColumn("sha", F.sha2("content", 256))
+    top, place = open_store(path)
+    top.create_dir(place, recursive=True)  # also where there is nothing to write
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = open_store(path)
@@ -83,9 +90,66 @@ def write_blobs(rows: DataFrame, path: str) -> None:
     named.select("sha", "content").dropDuplicates(["sha"]).mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
 
 
+def _listed(root: str, deep: bool):
+    """Rows ``at, folder`` to what is in these folders, at any depth if ``deep``; a file stays. Hidden names are left out, as Spark
+    leaves them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(root)
+        for batch in batches:
+            for at, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                under = store.get_file_info(fs.FileSelector(at, recursive=deep)) if folder else [store.get_file_info(at)]
+                rows = [(f.path, not f.is_file) for f in under if (f.is_file or not deep) and not re.search(r"/[._]", f.path[len(at) :])]
+                for i in range(0, len(rows), LISTED):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + LISTED], strict=True)], names=["at", "folder"])
+
+    return run
+
+
+def _contents(root: str):
+    """Rows ``at, folder`` of files to ``sha, content``, some bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(root)
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows]), pa.array([c for _, c in rows], pa.binary())], names=["sha", "content"])
+        rows, size = [], 0
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                with store.open_input_stream(at) as f:
+                    rows.append((at.rsplit("/", 1)[-1], f.read()))
+                size += len(rows[-1][1])
+                if size >= READ or len(rows) >= LISTED:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """``sha, content``: bytes kept in files named by their digest. Spark's readers pass over files without bytes, so the file of
-    the empty content is looked for by its name."""
+    """``sha, content``: bytes kept in files named by their digest, in a folder and those in it. Tasks list the folders, one each, and
+    read the files, dealt out by name: the driver knows none of them, as Spark's own reader has it hold every name and size."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    try:
+        store, top = open_store(root)
+        there = store.get_file_info(top)
+    except (OSError, ValueError):  # a store that only Spark opens
+        return _blobs_by_spark(spark, path)
+    if there.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    parts, row = int(spark.conf.get("spark.sql.shuffle.partitions")), "at string, folder boolean"
+    start = spark.range(1, numPartitions=1).select(F.lit(top).alias("at"), F.lit(not there.is_file).alias("folder"))
+    found = start.mapInArrow(_listed(root, False), row)
+    files = found.repartition(parts, "at").mapInArrow(_listed(root, True), row)
+    blobs = files.repartition(parts, "at").mapInArrow(_contents(root), "sha string, content binary")
+    return blobs.hint("merge")  # Spark takes them for as few as the folders are, and would broadcast all of them in a join
+
+
+def _blobs_by_spark(spark: SparkSession, path: str) -> DataFrame:
+    """The same by Spark's reader, with all names on the driver. It passes over files without bytes, so the file of the empty
+    content is looked for by its name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("sha"), "content")
     nothing = hashlib.sha256().hexdigest()
